@@ -30,3 +30,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.filter("vec_id % 50 = 0"))
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
