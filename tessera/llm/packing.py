@@ -3,40 +3,61 @@
 from __future__ import annotations
 
 import heapq
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, Words] = {}
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
-def encoder(path: str):
-    """A function that turns texts into arrays of ids, as the tokenizer file at ``path`` does.
+class Words(dict):
+    """Word (bytes, A-Z lower-cased, without white space) -> its ids as little-endian bytes."""
 
-    The tokenizer never joins what ASCII white space parts, and drops it; so each such word is
-    encoded once and its ids are remembered.
-    """
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember new words. A comma or full stop after a letter is a token of its own, so most
+        words with one follow from the word without."""
+        ends = {w: w[:-1] for w in words if w[-1:] in (b",", b".") and w[:-1].decode("utf-8", "replace").isalpha()}
+        new = [w for w in {ends.get(w, w) for w in words} | {b",", b"."} if w not in self]
+        for i in range(0, len(new), 4096):
+            self.update(zip(new[i : i + 4096], self.encoded(new[i : i + 4096]), strict=True))
+        self.update((w, self[base] + self[w[-1:]]) for w, base in ends.items())
+
+
+def encoder(path: str):
+    """A function that turns UTF-8 texts into ids (as bytes), as the tokenizer file at ``path`` does.
+
+    The tokenizer lower-cases, never joins what ASCII white space parts, and drops it; so each
+    such word is encoded once and its ids are remembered.
+    """
+    known = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Words(path))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            done = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        get = known.get
+        words = [text.lower().split() for text in texts]
+        found = [list(map(get, ws)) for ws in words]
+        lack = [i for i, ids in enumerate(found) if None in ids]
+        known.learn({w for i in lack for w, ids in zip(words[i], found[i], strict=True) if ids is None})
+        for i in lack:
+            found[i] = list(map(get, words[i]))
+        return [b"".join(ids) for ids in found]
 
     return encode
 
@@ -112,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         encode = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
+        end = struct.pack("<I", end_id)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         out: list[tuple] = []
         rest: list[tuple] = []

@@ -45,3 +45,30 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The rules of the url filter: verdict, host, path.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.link_graph import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
+
+
+@query
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.archives import round_trip
+    from tessera.llm.common import scratch
+
+    return round_trip(table(spark, sf_dir, "pages"), scratch(spark))
+
+
+ORACLES["op7_archives"] = """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, '')) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, '')) THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
+FROM pages
+"""
