@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,18 +26,32 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
+    def spelled(self, words: list[bytes]) -> list[bytes]:
+        """As encoded(), for words of letters only: each ends at the one id that closes a word, so many
+        go to the tokenizer as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self.encoded(words)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in itertools.pairwise(cuts)]
+
     def learn(self, words: set[bytes]) -> None:
         """Remember new words. A comma or full stop after a letter is a token of its own, so most
         words with one follow from the word without."""
-        ends = {w: w[:-1] for w in words if w[-1:] in (b",", b".") and w[:-1].decode("utf-8", "replace").isalpha()}
+        letters = lambda w: w.decode("utf-8", "replace").isalpha()
+        ends = {w: w[:-1] for w in words if w[-1:] in (b",", b".") and letters(w[:-1])}
         new = [w for w in {ends.get(w, w) for w in words} | {b",", b"."} if w not in self]
-        for i in range(0, len(new), 4096):
-            self.update(zip(new[i : i + 4096], self.encoded(new[i : i + 4096]), strict=True))
+        for made, part in ((self.spelled, [w for w in new if letters(w)]), (self.encoded, [w for w in new if not letters(w)])):
+            for i in range(0, len(part), 512):
+                self.update(zip(part[i : i + 512], made(part[i : i + 512]), strict=True))
         self.update((w, self[base] + self[w[-1:]]) for w, base in ends.items())
 
 
