@@ -6,12 +6,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import save
+
 #: A gzip member ends with the length of its content as four little-endian bytes. Members hold less
 #: than 2**24 bytes, so each ends with a zero byte; the writer's line separator supplies it.
 MEMBER = (1 << 24) - 1
@@ -25,7 +26,7 @@ def members(data: bytes) -> Iterator[bytes]:
         yield (z.compress(data[at : at + MEMBER]) + z.flush())[:-1]
 
 
-def write_archive(df: DataFrame, column: str, path: str, suffix: str) -> None:
+def write_archive(df: DataFrame, column: str, path: str) -> None:
     """One archive for each partition: gzip members as they come, by the text writer, which adds bytes unchanged."""
     df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
 
@@ -159,7 +160,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows = pages.select(pages[id_col].cast("long"), pages[url_col].cast("string"), pages[html_col].cast("string"))
-    write_archive(rows.mapInArrow(run, "value binary"), "value", path, "arc.gz")
+    write_archive(rows.mapInArrow(run, "value binary"), "value", path)
 
 
 def _parsed(spark: SparkSession, path: str, read, schema: str, flush: int = 1 << 22) -> DataFrame:
@@ -185,26 +186,39 @@ def _parsed(spark: SparkSession, path: str, read, schema: str, flush: int = 1 <<
     return files.mapInArrow(run, ", ".join(f"{n} {f.split()[1]}" for n, f in zip(names, schema.split(", "), strict=True)))
 
 
-def record_id(archive: Column | str, number: int | None = None) -> str:
+def record_id(archive: str, number: int) -> str:
     return f"urn:uuid:{uuid.uuid5(SPACE, f'{archive}/{number}')}"
 
 
-ARC_SCHEMA = "record_id string, page_id long, url string, ip string, date string, mime string, http binary, payload binary, payload_digest string, payload_bytes long"
+def iso(date: str) -> str:
+    """The 14 digits of an ARC date (fewer: padded with zeros) as WARC writes them."""
+    d = date[:14].ljust(14, "0")
+    month, day = (max("01", d[i : i + 2]) for i in (4, 6))
+    return f"{d[:4]}-{month}-{day}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def described(record: dict) -> dict:
+    """An ARC record with a synthesised identifier and date and its payload's digest."""
+    page = http_field(record["http"], b"x-page-id")
+    return record | {
+        "record_id": record_id(record["archive"], record["number"]), "page_id": int(page) if page else None, "date": iso(record["date"]),
+        "payload_digest": hashlib.sha256(record["payload"]).hexdigest(), "payload_bytes": len(record["payload"]),
+    }
+
+
+DIGESTS = "archive string, number long, record_id string, page_id long, payload_digest string, payload_bytes long"
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ARC files below ``path`` with synthesised identifiers, dates and payload digests."""
+def arc_digests(spark: SparkSession, path: str) -> DataFrame:
+    """One small row for each record of the ARC files below ``path``."""
+    wanted = [f.split()[0] for f in DIGESTS.split(", ")]
 
     def read(content, name: str) -> Iterator[dict]:
-        for r in arc_records(content, name):
-            page = http_field(r["http"], b"x-page-id")
-            stamp = datetime.strptime(r["date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S").replace(tzinfo=UTC)
-            yield {
-                "record_id": record_id(name, r["number"]), "page_id": int(page) if page else None, "url": r["url"], "ip": r["ip"], "date": stamp.strftime("%Y-%m-%dT%H:%M:%SZ"), "mime": r["mime"],
-                "http": r["http"], "payload": r["payload"], "payload_digest": hashlib.sha256(r["payload"]).hexdigest(), "payload_bytes": len(r["payload"]),
-            }
+        for record in arc_records(content, name):
+            d = described(record)
+            yield {c: d[c] for c in wanted}
 
-    return _parsed(spark, path, read, ARC_SCHEMA)
+    return _parsed(spark, path, read, DIGESTS)
 
 
 def warc_record(r: dict) -> bytes:
@@ -222,33 +236,37 @@ def warc_record(r: dict) -> bytes:
     return head.encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
 
-def convert(arc: DataFrame, path: str, least_bytes: int = 100) -> None:
-    """Write ARC records as WARC files below ``path``.
+def convert(spark: SparkSession, arc_path: str, path: str, least_bytes: int = 100) -> None:
+    """Write the ARC files below ``arc_path`` as WARC files below ``path``.
 
     Of records with equal payloads of ``least_bytes`` or more, the one with the smallest page id (then
-    record id) is kept as a response and the others become revisits of it. The decision is made on digests
-    alone, by aggregation; payloads are shuffled once, by their own record.
+    record id) is kept as a response and the others become revisits of it. That is decided on digests
+    alone, by aggregation; each archive is then converted as a whole, beside the list of its revisits.
     """
-    first = arc.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-    first = first.agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    small = arc.select("record_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least_bytes)
-    links = small.join(first, "payload_digest").select(F.col("record_id").alias("own_id"), F.col("first.record_id").alias("refers_id")).filter("own_id <> refers_id")
-    rows = arc.join(links, arc["record_id"] == links["own_id"], "left").drop("own_id")
+    digests = save(arc_digests(spark, arc_path)).filter(F.col("payload_bytes") >= least_bytes)
+    first = digests.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = digests.join(first, "payload_digest").filter("record_id <> first.record_id")
+    revisits = again.groupBy("archive").agg(F.collect_list("number").alias("numbers"), F.collect_list("first.record_id").alias("refers"))
+    files = spark.read.format("binaryFile").load(arc_path).filter("length > 0")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    rows = files.join(revisits, files["name"] == revisits["archive"], "left").select("name", "content", "numbers", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for i in range(len(batch)):
-                record = warc_record({n: batch.column(n)[i].as_py() for n in batch.schema.names})
-                out += members(record)
-                size += len(record)
-                if size > 1 << 22:
+            for name, content, numbers, refers in zip(*batch.columns, strict=True):
+                known = dict(zip(numbers.as_py() or (), refers.as_py() or (), strict=True))
+                out, size = [], 0
+                for record in arc_records(content.as_buffer(), name.as_py()):
+                    made = warc_record(described(record) | {"refers_id": known.get(record["number"])})
+                    out += members(made)
+                    size += len(made)
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                        out, size = [], 0
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    write_archive(rows.mapInArrow(run, "value binary"), "value", path, "warc.gz")
+    write_archive(rows.mapInArrow(run, "value binary"), "value", path)
 
 
 def warc_records(data: bytes, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -301,9 +319,8 @@ def round_trip(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """
     spark = pages.sparkSession
     write_arc(pages, f"{folder}/arc", **columns)
-    arc = read_arc(spark, f"{folder}/arc")
-    convert(arc, f"{folder}/warc")
-    warc = read_warc(spark, f"{folder}/warc").select("record_id", "record_type", "refers_id", "page_id", "payload_bytes", "payload_digest")
+    convert(spark, f"{folder}/arc", f"{folder}/warc")
+    warc = save(read_warc(spark, f"{folder}/warc").select("record_id", "record_type", "refers_id", "page_id", "payload_bytes", "payload_digest"))
     target = warc.filter("record_type = 'response'").select(F.col("record_id").alias("target_id"), F.col("page_id").alias("refers_to"))
     out = warc.join(target, warc["refers_id"] == target["target_id"], "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
