@@ -72,3 +72,10 @@ SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payl
   CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id > min(page_id) OVER (PARTITION BY coalesce(html, '')) THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
 FROM pages
 """
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
