@@ -79,3 +79,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import join
 
     return join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm_scoring import score
+
+    return score(table(spark, sf_dir, "documents"))
