@@ -86,3 +86,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.lm_scoring import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
