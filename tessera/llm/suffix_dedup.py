@@ -43,7 +43,7 @@ def order_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table.
 
     A suffix array of every position would be many times the text. Suffixes are therefore sampled by content: each string
@@ -62,7 +62,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     or the compressed runs of a range.
 
     Rows, one for each input row: doc_id, the columns named in ``carry``, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256, kept (the remaining bytes). Strings never cross texts. Null text counts as empty. Repeated rows repeat
+    kept_sha256, kept (the remaining bytes; with ``as_text`` a
+    string, without bytes of characters that were cut in two). Strings never cross texts. Null text counts as empty. Repeated rows repeat
     each other's strings. A null id is kept. Empty table: no rows. Other columns are ignored.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"carried_{n}") for n, c in enumerate(carry)))
@@ -243,7 +244,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     out_schema = T.StructType([
         T.StructField("doc_id", T.LongType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry),
-        T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()),
+        T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -272,7 +273,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 spans = _spans(gone.get((part, n), []))
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((doc, *extra, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, *extra, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     back = sorted_runs.filter(F.col("kind") == MAP).unionByName(replies)
