@@ -107,3 +107,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.piece_fst import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
