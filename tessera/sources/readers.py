@@ -30,7 +30,7 @@ def load_passages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, workspace: str) -> DataFrame:
     """Whole files as documents, by url."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.lit(workspace).alias("workspace_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("text"))
 
 
