@@ -69,10 +69,11 @@ def encoder(path: str):
         get = known.get
         words = [text.lower().split() for text in texts]
         found = [list(map(get, ws)) for ws in words]
-        lack = [i for i, ids in enumerate(found) if None in ids]
-        known.learn({w for i in lack for w, ids in zip(words[i], found[i], strict=True) if ids is None})
-        for i in lack:
-            found[i] = list(map(get, words[i]))
+        lack = [(ws, ids, [k for k, v in enumerate(ids) if v is None]) for ws, ids in zip(words, found, strict=True) if None in ids]
+        known.learn({ws[k] for ws, _, places in lack for k in places})
+        for ws, ids, places in lack:
+            for k in places:
+                ids[k] = known[ws[k]]
         return [b"".join(ids) for ids in found]
 
     return encode
