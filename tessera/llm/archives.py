@@ -246,7 +246,8 @@ def convert(spark: SparkSession, arc_path: str, path: str, least_bytes: int = 10
     digests = save(arc_digests(spark, arc_path)).filter(F.col("payload_bytes") >= least_bytes)
     first = digests.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = digests.join(first, "payload_digest").filter("record_id <> first.record_id")
-    revisits = again.groupBy("archive").agg(F.collect_list("number").alias("numbers"), F.collect_list("first.record_id").alias("refers"))
+    # written, so that the planner knows its size: only a long list makes the archives be shuffled to meet it
+    revisits = save(again.groupBy("archive").agg(F.collect_list("number").alias("numbers"), F.collect_list("first.record_id").alias("refers")))
     files = spark.read.format("binaryFile").load(arc_path).filter("length > 0")
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     rows = files.join(revisits, files["name"] == revisits["archive"], "left").select("name", "content", "numbers", "refers")
