@@ -58,7 +58,7 @@ def n_grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     place = np.arange(len(words))
     distance = np.where(back < 0, 0, np.minimum(np.ceil(np.log2(place - back + 1.0)), 12)).astype(np.uint64)
     follows = np.zeros(len(words), bool)
-    follows[1:] = (back[1:] >= 0) & (back[1:] == back[:-1] + 1)
+    follows[1:] = (back[:-1] >= 0) & (back[1:] == back[:-1] + 1)
     recurs = distance * np.uint64(2) + follows
     return [*out, (hashed(recurs, 4), first), pairs(recurs, first, 5)]
 
@@ -67,46 +67,84 @@ def _texts(values) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in values]
 
 
-def _sums(weights: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(weights[buckets])])
-    return total[first[1:]] - total[first[:-1]]
+class Counts:
+    """n-gram counts of the target and of all raw text, and which documents the target is made of."""
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray, members: np.ndarray, smoothing: float):
+        self.target, self.raw, self.members, self.smoothing = target, raw, np.sort(members), smoothing
+        self.share = target.sum() / max(1.0, raw.sum())
+
+    def log_ratios(self, ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """log p(text | target) - log p(text | raw) of each text, and its number of n-grams.
+
+        Both models leave the text's own n-grams out, else every text would be likelier under the model that has seen it. Their
+        pseudo-counts are in proportion to their sizes, so that n-grams that neither has seen decide nothing.
+        """
+        grams = n_grams(texts)
+        count = np.sum([np.diff(f) for _, f in grams], axis=0).astype(np.int64)
+        if self.share == 0:
+            return np.zeros(len(texts)), count
+        key = np.sort(np.concatenate([b + np.repeat(np.arange(len(texts)), np.diff(f)) * BUCKETS for b, f in grams]))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        own = np.diff(np.append(first, len(key)))
+        text, bucket = np.divmod(key[first], BUCKETS)
+        inside = np.isin(ids, self.members)
+        target = self.target[bucket] - own * inside[text] + self.smoothing * self.share
+        raw = (self.raw[bucket] - own + self.smoothing) * self.share
+        return np.bincount(text, own * np.log(target / raw), len(texts)), count
 
 
 class Classifier:
-    """A fitted log ratio of bucket probabilities, target to raw, and after ``choose`` the least key that is kept."""
+    """Fitted counts, the labels they come from, and after ``choose`` the least key that is kept."""
 
-    def __init__(self, docs: DataFrame, weights: np.ndarray, temperature: float, seed: int):
-        self.weights = docs.sparkSession.sparkContext.broadcast(weights)
-        self.temperature, self.seed, self.least = temperature, seed, None
+    def __init__(self, docs: DataFrame, counts: Counts, labels: DataFrame, temperature: float, seed: int):
+        self.known = counts.share > 0
+        self.counts = docs.sparkSession.sparkContext.broadcast(counts)
+        self.labels, self.temperature, self.seed, self.least = labels, temperature, seed, None
 
     def scored(self, doc_id: Column, text: Column) -> Column:
-        """Struct of log_ratio, n_grams and key: a number that sorts as log_ratio plus Gumbel noise by the id."""
-        weights, temperature, seed = self.weights, self.temperature, self.seed
+        """Struct of log_ratio, n_grams, weight (log ratio for each n-gram) and key: a number that sorts as the weight plus
+        Gumbel noise by the id. A text without n-grams has the least key."""
+        counts, temperature, seed = self.counts, self.temperature, self.seed
 
-        @F.pandas_udf("log_ratio double, n_grams long, key long")
+        @F.pandas_udf("log_ratio double, n_grams long, weight double, key long")
         def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for ids, values in columns:
+                number = pd.to_numeric(ids).fillna(-1).astype("int64").to_numpy()
                 ratio, count = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                for lo in range(0, len(ids), 256):
-                    for buckets, first in n_grams(_texts(values.iloc[lo : lo + 256])):
-                        ratio[lo : lo + 256] += _sums(weights.value, buckets, first)
-                        count[lo : lo + 256] += np.diff(first)
-                number = pd.to_numeric(ids).fillna(-1).astype("int64").to_numpy().astype(np.uint64)
-                uniform = ((mixed(mixed(number) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
-                noisy = ratio - temperature * np.log(-np.log(uniform))
+                for lo in range(0, len(ids), 128):
+                    part = slice(lo, lo + 128)
+                    ratio[part], count[part] = counts.value.log_ratios(number[part], _texts(values.iloc[part]))
+                uniform = ((mixed(mixed(number.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+                weight = ratio / np.maximum(count, 1)
+                noisy = np.where(count > 0, weight - temperature * np.log(-np.log(uniform)), -np.inf)
                 bits = noisy.view(np.int64)
-                yield pd.DataFrame({"log_ratio": ratio, "n_grams": count, "key": bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))})
+                yield pd.DataFrame({"log_ratio": ratio, "n_grams": count, "weight": weight, "key": bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))})
 
         return run(doc_id, text)
 
+    def cut(self, scored: DataFrame) -> float:
+        """The weight that tells the labelled sample's documents of quality 1 from the others with the fewest errors; of equally good ones the
+        middle of the widest gap. Without labels of both kinds everything is above it."""
+        rows = scored.join(F.broadcast(self.labels), F.col("doc_id") == F.col("labelled")).filter("n_grams > 0")
+        rows = rows.groupBy("labelled", "quality").agg(F.avg("weight").alias("weight")).collect()  # one row for each label of the sample
+        good = np.array([r.quality == 1 for r in rows], bool)
+        if not self.known or good.all() or not good.any():
+            return float("-inf")
+        weight = np.array([r.weight for r in rows])
+        order = np.argsort(weight, kind="stable")
+        weight, good = weight[order], good[order]
+        errors = np.cumsum(good) + (~good).sum() - np.cumsum(~good)
+        gap = np.append(np.diff(weight), 0.0)
+        best = np.lexsort((-gap, errors))[0]
+        return float(weight[best] + gap[best] / 2)
+
     def choose(self, scored: DataFrame) -> int:
-        """Set ``least`` so that as many rows are kept as have a positive ratio: the k with the largest keys, by counting digits.
+        """Set ``least`` so that as many rows are kept as have a weight above the cut: the k with the largest keys, by counting digits.
 
         Each of four rounds counts at most 65,536 values of sixteen bits.
         """
-        k = scored.filter("log_ratio > 0").count()
-        if not self.weights.value.any():
-            k = scored.count()
+        k = scored.filter((F.col("weight") > self.cut(scored)) & (F.col("n_grams") > 0)).count() if self.known else scored.count()
         if k == 0:
             self.least = 1 << 63
             return 0
@@ -124,14 +162,14 @@ class Classifier:
         return k
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = 50_000, temperature: float = 0.1, seed: int = 3) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = 50_000, smoothing: float = 10.0, temperature: float = 0.01, seed: int = 3) -> Classifier:
     """Fit the two n-gram models: target on labelled documents of quality 1, raw on all documents.
 
     At most ``most_labels`` labels count (those of least hash of the id), so that they can be sent to every task; the raw model is of all
     documents. Counts are added up in each task and then by bucket.
     """
     few = labels.select(labels[id_col].cast("long").alias("labelled"), labels[quality_col].cast("int").alias("quality")).filter("labelled is not null and quality is not null")
-    few = few.groupBy("labelled").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled").limit(most_labels)
+    few = save(few.groupBy("labelled").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("labelled"), "labelled").limit(most_labels))
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marked = base.join(F.broadcast(few), base["doc_id"] == few["labelled"], "left").select("text", (F.coalesce("quality", F.lit(0)) == 1).alias("target"))
 
@@ -151,35 +189,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     counts = np.zeros((2, BUCKETS))
     for bucket, target, raw in sums:
         counts[:, bucket] = target, raw
-    share = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + BUCKETS)
-    weights = share[0] - share[1] if counts[0].sum() else np.zeros(BUCKETS)
-    return Classifier(docs, weights, temperature, seed)
+    members = np.array([r[0] for r in few.filter("quality = 1").select("labelled").collect()], np.int64)
+    return Classifier(docs, Counts(*counts, members, smoothing), few, temperature, seed)
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Importance weight of each document and whether the sample keeps it.
 
     The sample is Gumbel top-k without replacement on the log weights: keys are the log ratio of the document's n-grams under the target
-    and the raw model plus Gumbel noise times ``temperature``; the k largest are kept, where k is how many documents are likelier under
-    the target. All rows that tie at the last place are kept.
+    and the raw model, divided by their number so that long documents don't count for more, plus Gumbel noise times ``temperature``. The k
+    largest are kept, where k is how many documents have a weight above a cut fitted on the labelled sample. All rows
+    that tie at the last place are kept.
 
-    Rows, one for each input row: doc_id, log_ratio, n_grams, kept. Null, empty and blank texts have ratio 0 and are not kept but by noise in
-    place of another. Repeated rows have equal keys. A null id has the noise of -1. Without a label of quality 1 nothing is known, and all
-    rows are kept. Empty table: no rows. Other columns are ignored.
+    Rows, one for each input row: doc_id, log_ratio, n_grams, weight, kept. Texts without n-grams (null, empty) have ratio 0 and are not
+    kept. Repeated rows have equal keys. A null id has the noise of -1. Without a label of quality 1 nothing is known, and all rows are kept;
+    without one of quality 0, all that have n-grams. Empty table: no rows. Other columns are ignored.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = save(base.select("doc_id", model.scored(F.col("doc_id"), F.col("text")).alias("s")).select("doc_id", "s.log_ratio", "s.n_grams", "s.key"))
+    rows = save(base.select("doc_id", model.scored(F.col("doc_id"), F.col("text")).alias("s")).select("doc_id", "s.*"))
     model.choose(rows)
     kept = F.lit(False) if model.least >= 1 << 63 else F.col("key") >= model.least
-    return rows.select("doc_id", "log_ratio", "n_grams", kept.alias("kept"))
+    return rows.select("doc_id", "log_ratio", "n_grams", "weight", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``resample`` keeps, with all columns."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     score = lambda: model.scored(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    model.choose(save(docs.select(score().alias("s")).select("s.log_ratio", "s.key")))
+    model.choose(save(docs.select(docs[id_col].cast("long").alias("doc_id"), score().alias("s")).select("doc_id", "s.n_grams", "s.weight", "s.key")))
     if model.least >= 1 << 63:
         return docs.limit(0)
     return docs.filter(score()["key"] >= model.least)
