@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -25,6 +26,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and the allocator would keep it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder, in whatever file system it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -161,11 +170,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     spark = edges.sparkSession
     ids = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
     now = Saved(ids.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = [now]
+    seen: list[Saved] = []
 
     def star(frame: DataFrame, large: bool) -> DataFrame:
         links = frame.unionByName(frame.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else frame
-        least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written, so that the join is one of two plain exchanges, of which the engine can split the one that has a hub
+        held = Saved(links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        seen.append(held)
+        least = held.df
         both = links.join(least.withColumnRenamed("u", "centre"), F.col("u") == F.col("centre"))
         if large:
             out = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -179,6 +191,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         after = Saved(star(star(now.df, True), False))
         row = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now.drop()
+        while seen:
+            seen.pop().drop()
         now, same = after, tuple(row) == mark
         mark = tuple(row)
         if same:
