@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import array_to_numpy, components, local_components, pairs_of_tiles, save, starts, tiles, whole_groups
+from tessera.llm.common import array_to_numpy, components, give_back, local_components, pairs_of_tiles, save, starts, tiles, whole_groups
 from tessera.llm.shingles import minhashes, mixed, set_key, shingle_sets
 
 
@@ -99,6 +99,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
                 k1, k2 = zip(*(set_key(s) for s in sets), strict=True)
                 sig = [next(values).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "k1", "k2", "size", "sig"])
+        give_back()
 
     signatures = save(base.mapInArrow(signed, "doc_id long, k1 long, k2 long, size long, sig binary"))
     key = ["k1", "k2", "size"]

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ctw
-from tessera.llm.common import save
+from tessera.llm.common import give_back, save
 from tessera.llm.shingles import mixed, word_hashes
 
 #: Bytes of text in a block, and in a piece of it that is worked on at once.
-BLOCK, PIECE = 32 << 20, 2 << 20
+BLOCK, PIECE = 32 << 20, 1 << 20
 #: Hash that stands for the end of a text among the tokens.
 END = np.uint64(0x5851F42D4C957F2D)
 GRAMS, WORDS, TEXT = 0, 1, 2
@@ -188,6 +188,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                     yield from close()
         if waiting:
             yield from close()
+        give_back()
 
     made = save(base.mapInArrow(blocks, _ROWS))
     lists = made.filter(F.col("kind") != TEXT)
@@ -264,6 +265,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
             bits = -total / np.log10(2) / (size + 1)
             columns = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n_train)), *map(pa.array, (unigram, total, size, bits))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+        give_back()
 
     parts = answers.unionByName(made.filter(F.col("kind") == TEXT)).repartition("block").sortWithinPartitions("block", "kind")
     return parts.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import give_back
+
 _TOKENIZERS: dict[str, Words] = {}
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
 REMEMBERED = 1_000_000
@@ -194,5 +196,6 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         flush()
         if out:
             yield emit()
+        give_back()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save
+from tessera.llm.common import give_back, save
 from tessera.llm.shingles import mixed, word_hashes
 
 #: Buckets that n-grams are hashed to.
@@ -120,6 +120,7 @@ class Classifier:
                 noisy = np.where(count > 0, weight - temperature * np.log(-np.log(uniform)), -np.inf)
                 bits = noisy.view(np.int64)
                 yield pd.DataFrame({"log_ratio": ratio, "n_grams": count, "weight": weight, "key": bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))})
+            give_back()
 
         return run(doc_id, text)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import save
+from tessera.llm.common import give_back, save
 from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
 from tessera.llm.suffix_runs import SEED, Anchors, Item, decode_run, encode_run, merge_runs, repeated
@@ -50,8 +50,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     of ``length`` bytes has one anchor, and equal strings have it at the same offset (``Anchors``), so it is enough
     to sort the suffixes at anchors, each with the bytes before it that its strings reach.
 
-    1. Blocks exchange two hashes for each anchor, of the 200 bytes before and after it. Every string holds one of the
-       two, so an anchor whose hashes occur once is not in any repeated string.
+    1. Blocks exchange two hashes for each anchor, of half a string's bytes after it and before it. Every string holds
+       one of the two, so an anchor whose hashes occur once is not in any repeated string.
     2. A block sorts the suffixes of the remaining anchors, equal contexts once with their count, front-codes the run and
        sends a piece of it to each range of suffixes. Ranges are cut at quantiles of the suffixes' first bytes.
     3. A range merges its runs with a loser tree that knows common prefixes (``merge_runs``). Suffixes that share the anchor's
@@ -105,6 +105,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     yield from close()
         if waiting:
             yield from close()
+        give_back()
 
     made = save(base.mapInArrow(blocks, _ROWS))
     texts = made.filter(F.col("kind") == TEXT)
@@ -181,6 +182,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 found[t[mid : last + length], t[first:mid]].append((part, text, first))
         if at is not None:
             yield from flush()
+        give_back()
 
     with_text = lambda df: df.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "shard")
     sorted_runs = save(with_text(halves).mapInArrow(runs, _ROWS))
@@ -238,6 +240,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             held.setdefault(block, []).append(data)
         if at is not None:
             yield from flush(held)
+        give_back()
 
     by_range = sorted_runs.filter(F.col("kind") == RUN).repartition("shard").sortWithinPartitions("shard", "block", "keys")
     replies = by_range.mapInArrow(merged, _ROWS)
@@ -275,6 +278,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 out.append((doc, *extra, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        give_back()
 
     back = sorted_runs.filter(F.col("kind") == MAP).unionByName(replies)
     return with_text(back).mapInArrow(cut, out_schema)

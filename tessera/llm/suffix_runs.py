@@ -9,8 +9,8 @@ import zstandard
 
 from tessera.llm.shingles import _BYTE, _powers, mixed
 
-#: Bytes that a suffix is sampled by, and of each half of a context that the first exchange compares.
-SEED, HALF = 16, 200
+#: Bytes that a suffix is sampled by.
+SEED = 16
 
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +51,9 @@ class Anchors:
     """
 
     def __init__(self, texts: list[bytes], length: int):
+        if length < 2 * SEED:
+            raise ValueError(f"strings must have {2 * SEED} bytes or more")
+        self.length = length
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.begin = ends - np.array([len(t) for t in texts], np.int64)
@@ -83,15 +86,19 @@ class Anchors:
         self.first, self.last = np.flatnonzero(new), np.flatnonzero(stop)
         self.at = anchor[self.first]
         self.text = np.searchsorted(ends, self.first, side="right")
-        self.length = length
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the HALF bytes from each anchor on, and of those before it; 0 where no string of the anchor has all of them."""
+        """Hashes of half a string's bytes from each anchor on, and before it; 0 where no string of the anchor has all of them.
+
+        A string that begins within half its length before the anchor holds the first, any other the second.
+        """
         right, left = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
         if len(self.at):
-            r, lft = self.last >= self.at - HALF, self.first < self.at - HALF
-            right[r] = hash_of(self.prefix, self.at[r], HALF)
-            left[lft] = ~hash_of(self.prefix, self.at[lft] - HALF, HALF)
+            half = self.length // 2
+            edge = self.at - (self.length - half)
+            r, lft = self.last >= edge, self.first < edge
+            right[r] = hash_of(self.prefix, self.at[r], half)
+            left[lft] = ~hash_of(self.prefix, self.at[lft] - half, half)
         return right, left
 
 
