@@ -42,10 +42,11 @@ def documents_by_best_split(merged: DataFrame) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "workspace_id", "doc_id")).cast("long"))
 
 
-def nested(ranked: DataFrame, docs: DataFrame, splits: DataFrame, summaries: DataFrame, summary_hits: DataFrame, verbose: bool = False) -> DataFrame:
+def nested(ranked: DataFrame, docs: DataFrame, splits: DataFrame, summaries: DataFrame, summary_hits: DataFrame, verbose: bool = False, full_ranks: DataFrame | None = None) -> DataFrame:
     """Documents with their hit splits (in order of distance), those splits' hit summaries, and the full summary list.
 
-    Documents that have vanished are left out. Embeddings are returned only if ``verbose``.
+    Documents that have vanished are left out. Embeddings are returned only if ``verbose``. With ``full_ranks`` (workspace_id, summary_id, rank,
+    score) the full list carries them, and summaries that weren't ranked are left out of it.
     """
     vector = lambda df: df["embedding"] if verbose else F.lit(None).cast("array<float>")
     key = ["workspace_id", "split_id"]
@@ -57,5 +58,9 @@ def nested(ranked: DataFrame, docs: DataFrame, splits: DataFrame, summaries: Dat
     rows = rows.withColumn("summaries", F.coalesce("summaries", F.array().cast(hit.schema["summaries"].dataType)))
     rows = rows.groupBy("workspace_id", "doc_id", "doc_distance", "doc_rank").agg(F.array_sort(F.collect_list(F.struct("split_rank", "split_id", "seq_id", "query_distance", "text", "token_len", "embedding", "summaries"))).alias("splits"))
     wanted = rows.select("workspace_id", "doc_id")
-    full = summaries.join(wanted, ["workspace_id", "doc_id"], "left_semi").groupBy("workspace_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("split_seq_id", "summary_id", "text", "centrality"))).alias("summaries"))
+    full = summaries.join(wanted, ["workspace_id", "doc_id"], "left_semi")
+    marks = []
+    if full_ranks is not None:
+        full, marks = full.join(full_ranks.select("workspace_id", "summary_id", "rank", "score"), ["workspace_id", "summary_id"]), ["rank", "score"]
+    full = full.groupBy("workspace_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("split_seq_id", "summary_id", "text", "centrality", *marks))).alias("summaries"))
     return rows.join(docs.select("workspace_id", "doc_id", "url"), ["workspace_id", "doc_id"]).join(full, ["workspace_id", "doc_id"], "left")

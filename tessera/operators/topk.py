@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions.vectors import distance
+from tessera.functions.vectors import EPSILON, distance
 
 #: Most query rows that are sent to every task; more are dealt to tiles.
 BROADCAST_QUERIES = 4096
@@ -68,18 +73,56 @@ def search(rows: DataFrame, query: Sequence[float] | DataFrame, k: int, id_col:
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, metric: str = "Cos", *, vec_col: str = "embedding", tile: int = BROADCAST_QUERIES) -> DataFrame:
-    """Nearest k rows for each row (query_id, query_vector) of ``queries``.
+    """Nearest k rows for each row (query_id, query_vector) of ``queries``: (query_id, rank, id, distance).
 
-    A query set of checked size is sent to every task. A larger one is cut into blocks of about ``tile`` rows, and
-    every vector meets every block through an equi-join on the block's number, so no task holds more than a block.
+    A query set of checked size is sent to every task, which scores a batch of vectors against all of it at once and passes on
+    at most the k nearest of the batch for each query (and ties). A larger set is cut into blocks of about ``tile`` rows, and every
+    vector meets every block through an equi-join on the block's number, so no task holds more than a block.
     """
-    asked = queries.select("query_id", "query_vector")
-    n = asked.count()
-    if n <= tile:
-        pairs = vectors.crossJoin(F.broadcast(asked))
-    else:
-        blocks = -(-n // tile)
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block").drop("block")
-    near = pairs.withColumn("distance", distance(metric, F.col(vec_col), F.col("query_vector"))).drop("query_vector")
+    check_k(k)
+    asked = queries.select(F.col("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector")).filter("query_vector is not null")
+    known = vectors.select(id_col, F.col(vec_col).alias("vector"))
+    if asked.limit(tile + 1).count() <= tile:
+        near = _scored_in_batches(known, asked.collect(), asked.schema["query_id"].dataType, k, id_col, metric)
+        return topk_by(near, ["query_id"], k, id_col)
+    blocks = -(-asked.count() // tile)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    pairs = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
+    near = pairs.select("query_id", id_col, distance(metric, F.col("vector"), F.col("query_vector")).alias("distance"))
     return topk_by(near, ["query_id"], k, id_col)
+
+
+def _scored_in_batches(known: DataFrame, asked: list, query_type: T.DataType, k: int, id_col: str, metric: str) -> DataFrame:
+    """(query_id, id, distance) of the k nearest of each batch of vectors. Distances are those of ``distance``, in doubles."""
+    ids = [r.query_id for r in asked]
+    width = len(asked[0].query_vector) if asked else 0
+    if any(len(r.query_vector) != width for r in asked):
+        raise ValueError("the queries have vectors of different widths")
+    matrix = np.array([r.query_vector for r in asked], float).reshape(len(asked), width)
+    own = (matrix * matrix).sum(axis=1)
+    kind = to_arrow_type(query_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                batch = whole.slice(lo, 1024)
+                column = batch.column(1)
+                batch = batch.filter(pc.and_(column.is_valid(), pc.equal(pc.list_value_length(column), width)))
+                if not len(batch) or not len(ids) or not k:
+                    continue
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), width)
+                dot = matrix @ rows.T
+                if metric == "IP":
+                    d = 1.0 - dot
+                elif metric == "L2sq":
+                    d = np.maximum(own[:, None] - 2 * dot + (rows * rows).sum(axis=1)[None, :], 0.0)
+                elif metric == "Cos":
+                    size = np.sqrt(own[:, None] * (rows * rows).sum(axis=1)[None, :])
+                    d = np.where(size <= EPSILON, 1.0, 1.0 - dot / np.where(size > 0, size, 1.0))
+                else:
+                    d = np.full(dot.shape, np.inf)
+                least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(ids), 1), np.inf)
+                q, r = np.nonzero(~(d > least))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(d[q, r])], ["query_id", id_col, "distance"])
+
+    return known.mapInArrow(run, T.StructType([T.StructField("query_id", query_type), known.schema[id_col], T.StructField("distance", T.DoubleType())]))

@@ -48,7 +48,8 @@ class Engine:
     def query_many(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """Nearest splits for many queries (query_id, query_vector) at once."""
         k = self.config.top_k if top_k is None else top_k
-        return search_many(self.store.table("splits"), queries, k, "split_id", self.config.index.metric_kind)
+        splits = self.store.table("splits")
+        return search_many(splits, queries, k, "split_id", self.config.index.metric_kind).join(splits.drop("embedding"), "split_id")
 
     def retrieve(self, workspace: str, doc_id: int | None = None, url: str | None = None, verbose: bool = False) -> DataFrame:
         """One document, nested, in the order it was recorded; an id of 0 counts as none. Status Error and nulls if unknown."""

@@ -21,12 +21,29 @@ from tessera.operators.lexrank import power_scores
 
 @dataclass
 class Processed:
-    """Documents, splits and summaries of one batch, and the splits that failed."""
+    """Documents, splits and summaries of one batch, and the splits that failed.
+
+    They are views of ``rows``, embedded splits; ``staged`` writes those once, so that the model runs once.
+    """
 
     docs: DataFrame
     splits: DataFrame
     summaries: DataFrame
     failures: DataFrame
+    rows: DataFrame | None = None
+    embedder: Embedder | None = None
+
+    def staged(self, folder: str) -> Processed:
+        """The same tables over what has been written to ``folder``."""
+        if self.rows is None:
+            names = ("docs", "splits", "summaries", "failures")
+            return Processed(*(_written(getattr(self, n), f"{folder}/{n}") for n in names))
+        return derive(_written(self.rows, f"{folder}/rows"), self.embedder)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def embed_and_summarize(splits: DataFrame, embedder: Embedder, top: int, vec_type: str = "array<float>") -> DataFrame:
@@ -64,8 +81,7 @@ def process_documents(docs: DataFrame, config: EngineConfig, embedder: Embedder)
     """Chunk, embed and summarise documents (workspace_id, url, text).
 
     Sequence numbers count chunks before failures are dropped. A split whose vector can't be made goes to ``failures`` and the
-    document lives on without it. The three tables are views of one pass over the documents; write it before reading
-    it more than once, as ``Store.append`` does.
+    document lives on without it.
     """
     base = docs.select("workspace_id", "url", "text").withColumn("doc_id", ids.doc_id(F.col("url")))
     parts = chunk(base, "text", config.splitter.max_tokens)
@@ -90,7 +106,7 @@ def derive(rows: DataFrame, embedder: Embedder) -> Processed:
     out = good.groupBy("workspace_id", "doc_id", "url").agg(ordered.alias("s"))
     out = out.select("workspace_id", "doc_id", "url", F.col("s.split_id").alias("split_ids"), F.array_distinct(F.flatten("s.summary_ids")).alias("summary_ids"))
     failures = rows.filter("embedding is null").select("workspace_id", "doc_id", "url", "split_id", "seq_id")
-    return Processed(out, splits, summaries, failures)
+    return Processed(out, splits, summaries, failures, rows, embedder)
 
 
 def first_sentences(docs: DataFrame, keys: list[str], text_col: str = "text", top: int = 2, least_words: int = 4) -> DataFrame:

@@ -30,7 +30,21 @@ def ranked_splits(splits: DataFrame, summaries: DataFrame, query, *, k: int = 5,
     return merge.rank_documents(merge.merge_hits(split_hits, summary_hits)), summary_hits
 
 
+def pinned(hits: DataFrame) -> DataFrame:
+    """Hits as rows of the plan itself. A search has at most k of them for each kind, so they fit the driver, and what
+    follows neither searches again nor shuffles the tables it looks them up in."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def search_documents(docs: DataFrame, splits: DataFrame, summaries: DataFrame, query, *, verbose: bool = False, **options) -> DataFrame:
-    """Ranked documents, nested: splits with their hit summaries, and the document's full summary list."""
-    ranked, hits = ranked_splits(splits, summaries, query, **options)
-    return merge.nested(ranked, docs, splits, summaries, hits, verbose)
+    """Ranked documents, nested: splits with their hit summaries, and the document's full summary list.
+
+    With a reranker each document's full list is ranked too, on its own.
+    """
+    ranked, hits = map(pinned, ranked_splits(splits, summaries, query, **options))
+    ranks = None
+    if (reranker := options.get("reranker")) is not None:
+        own = summaries.join(ranked.select("workspace_id", "doc_id").distinct(), ["workspace_id", "doc_id"], "left_semi").select("workspace_id", "doc_id", "summary_id", "text", F.col("summary_id").alias("index"))
+        scored = own.withColumn("score", score_column(options.get("query_text") or "", F.col("text"), reranker)).filter("score is not null")
+        ranks = rerank.rank_scores(scored, ["workspace_id", "doc_id"])
+    return merge.nested(ranked, docs, splits, summaries, hits, verbose, ranks)

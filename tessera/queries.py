@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.config import EngineConfig, IndexConfig, SplitterConfig
 from tessera.functions import ids, text, vectors
+from tessera.models import HashingEmbedder, OverlapReranker, score_column
 from tessera.operators import chunk as chunking
 from tessera.operators import dml, lexrank, merge, replay, rerank, stats, topk
-from tessera.plans.ingest import first_sentences
+from tessera.plans.engine import Engine
+from tessera.plans.ingest import first_sentences, process_documents
 from tessera.plans.search import ranked_splits, search_documents
 from tessera.schemas import KIND, SEARCH_MODE
+from tessera.sources import legacy
+from tessera.sources.paths import shared_folder
 from tessera.sources.readers import distinct_passages
+from tessera.streaming.ingest import replay_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,3 +475,101 @@ def get_in_requested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("get_in_requested_order", get_in_requested_order, f"WITH {ENTITIES}, w AS (SELECT CAST(row_number() OVER (ORDER BY i DESC) - 1 AS BIGINT) AS pos, i FROM (SELECT 300 - 7 * n FROM range(0, 44) t(n)) r(i)) SELECT pos, split_id, doc_id FROM w JOIN s ON s.split_id = w.i")
 add("sentence_window_ranks", lambda spark, sf: _sentences(spark, sf).withColumn("words", text.token_count(F.col("sentence"))).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("words").desc(), "pos")).cast("long")).filter("rank <= 2").select("doc_id", "pos", "words", "rank"),
     _SENTENCES + f", w AS (SELECT doc_id, pos, CAST({_WORDS.format('sentence')} AS BIGINT) AS words FROM e), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, pos) AS rank FROM w) SELECT * FROM x WHERE rank <= 2")
+
+# --- whole paths through the engine --------------------------------------------------------------------------------
+
+
+def _config() -> EngineConfig:
+    return EngineConfig(index=IndexConfig(dimensions=64, metric_kind="Cos"), splitter=SplitterConfig(max_tokens=100))
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("workspace_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"), "text")
+
+
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of all documents with vectors and summaries."""
+    return process_documents(_incoming(spark, sf_dir), _config(), HashingEmbedder(64)).splits.select("workspace_id", "doc_id", "split_id", "seq_id", "token_len", F.size("summary_ids").alias("n_summaries"), F.size("embedding").alias("width"))
+
+
+add("ingest_documents", ingest_documents)
+
+
+def ingest_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractive summaries of all documents."""
+    return process_documents(_incoming(spark, sf_dir), _config(), HashingEmbedder(64)).summaries.drop("embedding")
+
+
+add("ingest_summaries", ingest_summaries)
+
+
+def engine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all documents and ask for the text of one, with reranking."""
+    engine = Engine(spark, shared_folder(spark), _config(), HashingEmbedder(64), OverlapReranker())
+    engine.insert(_incoming(spark, sf_dir))
+    query = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0]
+    return engine.query(query, workspaces=["en", "de", "fr", "es"], top_k=10, rerank=True)
+
+
+add("engine_query", engine_query)
+
+
+def engine_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents, replace some, delete some, compact; what is left by workspace."""
+    engine = Engine(spark, shared_folder(spark), _config(), HashingEmbedder(64))
+    docs = _incoming(spark, sf_dir)
+    engine.insert(docs)
+    engine.insert(docs.filter("url like '%7'").withColumn("text", F.lit("One sentence of five words.")))
+    engine.store.delete(engine.store.table("docs").filter("url like '%3'").select("workspace_id", "doc_id"))
+    engine.maintain()
+    return engine.store.table("docs").groupBy("workspace_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("url").endswith("7")).alias("n_replaced"))
+
+
+# a document has splits, and so is stored, if it holds a word that the model can embed
+add("engine_lifecycle", engine_lifecycle, """SELECT lang AS workspace_id, count(*) AS n_docs, count(*) FILTER (doc_id % 10 = 7) AS n_replaced FROM documents
+WHERE doc_id % 10 <> 3 AND (doc_id % 10 = 7 OR regexp_matches(text, '[\\p{L}\\p{N}_]')) GROUP BY 1""")
+
+
+def rerank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts ranked against the first of them by a model."""
+    b = table(spark, sf_dir, "benchmark")
+    query = b.orderBy("item_id").select("text").first()[0]
+    engine_free = b.select(F.col("item_id").alias("index"), "text")
+    scored = engine_free.withColumn("score", score_column(query, F.col("text"), OverlapReranker())).filter("score is not null")
+    return rerank.return_text(rerank.rank_scores(scored.select("index", "score")), engine_free)
+
+
+add("rerank_texts", rerank_texts)
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> legacy.Legacy:
+    v, s, m, _ = entities(spark, sf_dir)
+    lists = v.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")))).alias("split_ids"), F.array_sort(F.collect_list(F.when(F.col("vec_id") % 2 == 1, F.col("vec_id")))).alias("summary_ids"))
+    docs = lists.select("doc_id", F.concat(F.lit("bench://doc/"), "doc_id").alias("url"), "split_ids", "summary_ids")
+    vecs = v.filter("vec_id % 83 <> 5").select(F.col("vec_id").alias("embedding_id"), "embedding", F.lit(1).cast("long").alias("model_id"))
+    rows = _filter_rows(spark, sf_dir).select(F.col("vec_id").alias("embed_id"), "doc_id", F.col("workspace_id").cast("string").alias("user_uuid"))
+    return legacy.Legacy(docs, s.select("split_id", "doc_id"), m.select("summary_id", "doc_id"), vecs, rows)
+
+
+_FAILED = _ROWS + ", bad AS (SELECT DISTINCT doc_id FROM v WHERE vec_id % 83 = 5)"
+add("legacy_migration", lambda spark, sf: legacy.migrate(_legacy(spark, sf), 64, 1).docs.select("workspace_id", "doc_id", "url", F.size("split_ids").cast("long").alias("n_splits")),
+    _FAILED + " SELECT DISTINCT CAST(workspace_id AS VARCHAR) AS workspace_id, f.doc_id, 'bench://doc/' || f.doc_id AS url, (SELECT count(*) FROM s WHERE s.doc_id = f.doc_id) AS n_splits FROM f WHERE f.doc_id NOT IN (SELECT doc_id FROM bad)")
+add("legacy_report", lambda spark, sf: legacy.migrate(_legacy(spark, sf), 64, 1).report.select("workspace_id", "n_read", "n_written"),
+    _FAILED + ", d AS (SELECT DISTINCT CAST(workspace_id AS VARCHAR) AS workspace_id, doc_id FROM f) SELECT workspace_id, count(*) AS n_read, CAST(sum(CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN 0 ELSE 1 END) AS BIGINT) AS n_written FROM d GROUP BY ROLLUP (workspace_id)")
+add("candidate_count", lambda spark, sf: topk.restrict(entities(spark, sf)[1], doc_ids=FILTERED).groupBy("workspace_id").agg(F.count("*").alias("n_candidates")),
+    f"WITH {ENTITIES} SELECT workspace_id, count(*) AS n_candidates FROM s WHERE doc_id IN ({', '.join(map(str, FILTERED))}) GROUP BY 1")
+
+
+def stream_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as a stream, replayed with state by document: the live version of each document."""
+    folder = shared_folder(spark)
+    log = change_log(spark, sf_dir)
+    log.repartition("doc_id").sortWithinPartitions("doc_id", "seq").write.parquet(f"{folder}/log")
+    changes = replay_stream(spark.readStream.schema(log.schema).parquet(f"{folder}/log"))
+    changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(changes.schema).parquet(f"{folder}/out").groupBy("doc_id").agg(F.max(F.struct("seq", "deleted", "n_splits", "n_summaries")).alias("last"))
+    return last.filter(~F.col("last.deleted")).select("doc_id", "last.seq", "last.n_splits", "last.n_summaries")
+
+
+add("stream_log_replay", stream_log_replay, _LOG + " SELECT doc_id, max(seq) AS seq, count(*) FILTER (kind = 2) AS n_splits, count(*) FILTER (kind = 3) AS n_summaries FROM r GROUP BY 1")

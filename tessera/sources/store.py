@@ -102,6 +102,8 @@ class Store:
         """Live rows of ``docs``, ``splits`` or ``summaries``."""
         rows = self._read(name)
         out = rows.filter(~F.col("deleted")).drop("deleted") if name == "docs" else rows
+        if len(self.manifest.commits) == 1:  # nothing can have been replaced
+            return out.select(*TABLES[name].fieldNames())
         return out.join(self._live(), [*dml.KEY, "commit"], "left_semi").select(*TABLES[name].fieldNames())
 
     def append(self, batch: Processed) -> DataFrame:
@@ -110,11 +112,8 @@ class Store:
         Returns the status of each document. The batch is staged once, so that its model runs once.
         """
         number, m = self.manifest.next_commit, self.manifest
+        batch = batch.staged(f"{self.root}/_staging-{uuid.uuid4().hex}")
         rows = {"docs": batch.docs, "splits": batch.splits, "summaries": batch.summaries}
-        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
-        for name, df in rows.items():
-            df.write.parquet(f"{staging}/{name}")
-            rows[name] = self.spark.read.schema(TABLES[name]).parquet(f"{staging}/{name}")
         bad = [dml.invalid(rows[n], m.n_embd, m.model_id, key) for n, key in (("splits", "split_id"), ("summaries", "summary_id"))]
         tables = {}
         for name, df in rows.items():

@@ -95,6 +95,7 @@ def test_bad_documents_are_rejected_whole(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
     p = process_documents(documents(spark, "w", **TEXT), CONFIG, e.embedder)
     bad = p.docs.filter("url = 'u://b'").first().doc_id
+    p.rows = None
     p.splits = p.splits.withColumn("embedding", F.when(F.col("doc_id") == bad, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
     assert {r.doc_id: r.status for r in e.store.append(p).collect()}[bad] == "Error"
     assert {r.url for r in e.store.table("docs").collect()} == {"u://a", "u://c"}
