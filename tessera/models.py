@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -38,14 +39,19 @@ class HashingEmbedder:
     def __init__(self, n_embd: int = 64, n_ctx: int = 512, path: str = "hashing"):
         self.n_embd, self.n_ctx, self.path = n_embd, n_ctx, path
 
+    @lru_cache(maxsize=1 << 18)  # noqa: B019  the worker keeps the model anyway
+    def _place(self, word: str) -> int:
+        """Twice the component of a word, and one more if it counts as positive."""
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h % self.n_embd * 2 + (h >> 63)
+
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
         for text in texts:
-            v = np.zeros(self.n_embd)
-            for w in _words(text)[: self.n_ctx]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.n_embd] += 1.0 if h >> 63 else -1.0
-            size = float(np.sqrt((v * v).sum()))
+            places = np.array([self._place(w) for w in _words(text)[: self.n_ctx]], np.int64)
+            counts = np.bincount(places, minlength=2 * self.n_embd).reshape(-1, 2)
+            v = (counts[:, 1] - counts[:, 0]).astype(float)
+            size = float(np.sqrt(v @ v))
             out.append((v / size).tolist() if size > 0 else None)
         return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,12 +19,17 @@ _WORD = re.compile(r"[^ \t\n\r]+")
 
 
 def count_words(text: str) -> int:
-    return sum(1 for _ in _WORD.finditer(text))
+    return len(_WORD.findall(text))
+
+
+@lru_cache
+def _separator(separators: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, separators)))
 
 
 def pieces(text: str, separators: Sequence[str]) -> list[str]:
     """The text cut after each separator."""
-    cuts = [m.end() for m in re.finditer("|".join(map(re.escape, separators)), text)]
+    cuts = [m.end() for m in _separator(tuple(separators)).finditer(text)]
     edges = [0, *cuts, len(text)]
     return [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
@@ -35,30 +41,29 @@ def chunks(text: str, max_tokens: int, patterns: Sequence[Sequence[str]] = PATTE
     Neighbours are then merged as long as they fit. Without merging every pattern cuts, whatever the size.
     """
 
-    def cut(part: str, level: int) -> list[str]:
-        if merge and count_words(part) <= max_tokens:
-            return [part]
+    def cut(part: str, size: int, level: int) -> list[tuple[str, int]]:
+        if merge and size <= max_tokens:
+            return [(part, size)]
         if level == len(patterns):
-            if count_words(part) <= max_tokens:
-                return [part]
+            if size <= max_tokens:
+                return [(part, size)]
             ends = [m.start() for m in _WORD.finditer(part)][max_tokens::max_tokens]
-            return [part[a:b] for a, b in zip([0, *ends], [*ends, len(part)], strict=True)]
-        out: list[str] = []
-        for p in pieces(part, patterns[level]):
-            out += cut(p, level + 1)
-        return out
-
-    joined: list[str] = []
-    size = 0
-    for part in cut(text, 0):
-        n = count_words(part)
-        if merge and joined and size + n <= max_tokens:
-            joined[-1] += part
-            size += n
+            return [(p, count_words(p)) for p in (part[a:b] for a, b in zip([0, *ends], [*ends, len(part)], strict=True))]
+        found = pieces(part, patterns[level])
+        if len(found) == 1:
+            return cut(part, size, level + 1)
+        return [c for p in found for c in cut(p, count_words(p), level + 1)]
+
+    joined: list[list[str]] = []
+    total = 0
+    for part, size in cut(text, count_words(text), 0):
+        if merge and joined and total + size <= max_tokens:
+            joined[-1].append(part)
+            total += size
         else:
-            joined.append(part)
-            size = n
-    return [t for t in (j.strip(" \t\n\r") for j in joined) if t]
+            joined.append([part])
+            total = size
+    return [t for t in ("".join(j).strip(" \t\n\r") for j in joined) if t]
 
 
 def chunk(docs: DataFrame, text_col: str, max_tokens: int, *, merge: bool = True) -> DataFrame:

@@ -13,6 +13,15 @@ from pyspark.sql import types as T
 from tessera.functions.vectors import distance
 
 
+def similarities(vectors: np.ndarray, threshold: float | None = None) -> np.ndarray:
+    """Cosines with negative ones as 0 and 1 on the diagonal; with a threshold 1 for similar pairs and 0 for others."""
+    size = np.sqrt((vectors * vectors).sum(axis=1))
+    unit = vectors * np.divide(1.0, size, out=np.zeros(len(vectors)), where=size > 0)[:, None]
+    sim = np.clip(unit @ unit.T, 0, None)
+    np.fill_diagonal(sim, 1.0)
+    return sim if threshold is None else (sim >= threshold).astype(float)
+
+
 def power_scores(vectors: np.ndarray, threshold: float | None = None, max_iter: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
     """Stationary distribution of the row-normalised cosine matrix; with a threshold, of the graph of similar pairs.
 
@@ -21,12 +30,7 @@ def power_scores(vectors: np.ndarray, threshold: float | None = None, max_iter:
     n = len(vectors)
     if n == 0:
         return np.zeros(0)
-    size = np.sqrt((vectors * vectors).sum(axis=1))
-    scale = np.divide(1.0, size, out=np.zeros(n), where=size > 0)
-    sim = np.clip((vectors * scale[:, None]) @ (vectors * scale[:, None]).T, 0, None)
-    np.fill_diagonal(sim, 1.0)
-    if threshold is not None:
-        sim = (sim >= threshold).astype(float)
+    sim = similarities(vectors, threshold)
     step = sim / sim.sum(axis=1, keepdims=True)
     p = np.full(n, 1.0 / n)
     for _ in range(max_iter):
@@ -38,6 +42,29 @@ def power_scores(vectors: np.ndarray, threshold: float | None = None, max_iter:
     return p
 
 
+def stationary_scores(vectors: np.ndarray, threshold: float | None = None) -> np.ndarray:
+    """The limit of ``power_scores`` without iterating.
+
+    The matrix is symmetric, so in a connected part the limit is in proportion to a row's sum; each part keeps the share of the
+    sentences that it started with.
+    """
+    n = len(vectors)
+    if n == 0:
+        return np.zeros(0)
+    sim = similarities(vectors, threshold)
+    degree, linked = sim.sum(axis=1), sim > 0
+    part = np.zeros(n, np.int64)
+    if not linked.all():
+        part = np.arange(n)
+        while True:
+            low = np.where(linked, part[None, :], n).min(axis=1)
+            if (low == part).all():
+                break
+            part = low
+    size, weight = np.bincount(part, minlength=n), np.bincount(part, degree, n)
+    return degree / weight[part] * size[part] / n
+
+
 def lexrank_power(rows: DataFrame, groups: Sequence[str], id_col: str, vec_col: str = "embedding", *, threshold: float | None = None, top: int = 2, max_iter: int = 10_000) -> DataFrame:
     """The ``top`` most central rows of each group by power iteration; ties go to the smaller id. Groups are small: a split's sentences."""
     fields = [rows.schema[g] for g in groups]

@@ -16,7 +16,7 @@ from tessera.functions import ids
 from tessera.functions.text import sentences, token_count
 from tessera.models import Embedder
 from tessera.operators.chunk import chunk
-from tessera.operators.lexrank import power_scores
+from tessera.operators.lexrank import stationary_scores
 
 
 @dataclass
@@ -69,7 +69,7 @@ def embed_and_summarize(splits: DataFrame, embedder: Embedder, top: int, vec_typ
                     vectors.append(next(made))
                     own = [next(made) for _ in s or ()]
                     usable = [k for k, v in enumerate(own) if v is not None]
-                    p = power_scores(np.array([own[k] for k in usable], float))
+                    p = stationary_scores(np.array([own[k] for k in usable], float))
                     order = np.argsort(-np.round(p, 12), kind="stable")[:top]
                     best.append([{"seq": usable[k], "centrality": float(p[k]), "embedding": own[usable[k]]} for k in order])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip((vectors, best), kinds, strict=True))], [*names, "embedding", "found"])

@@ -98,6 +98,14 @@ def test_power_iteration_equals_degree(spark):
     assert a == b and len(a) == 6
 
 
+@given(st.integers(1, 12), st.integers(0, 1000), st.sampled_from([None, 0.3]))
+@settings(max_examples=100, deadline=None)
+def test_limit_of_power_iteration(n, seed, threshold):
+    x = np.random.default_rng(seed).standard_normal((n, 3))
+    x[n // 2 :, :2] = 0  # often more than one connected part
+    assert lexrank.stationary_scores(x, threshold) == pytest.approx(lexrank.power_scores(x, threshold, max_iter=200_000, tolerance=1e-15), abs=1e-6)
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([([5.0, 1.0, 3.0, 2.0],)], "v array<double>")
     assert df.select(text.nearest_rank(F.col("v"), 50)).first()[0] == 3.0
