@@ -66,7 +66,7 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, bands: int = 24, rows: int = 5, tile: int = 512) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, bands: int = 24, rows: int = 5, tile: int = 256) -> DataFrame:
     """Link documents whose sets of word shingles have a Jaccard similarity of ``threshold`` or more.
 
     1. Each text gives the MinHash values of its shingle set and a key of the set; equal sets form a class, found by
@@ -159,7 +159,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
 
     sets_ = chosen.mapInArrow(spelled, "rep long, n long, cluster long, shingles binary")
     members = wanted.select("rep", "cluster")
-    placed = tiles(members, ["cluster"], "rep", tile // 2).join(sets_.drop("cluster"), "rep")
+    placed = tiles(members, ["cluster"], "rep", tile).join(sets_.drop("cluster"), "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["cluster", "tile_a", "tile_b"]):
