@@ -130,7 +130,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 256) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Score every text with a context-tree-weighting model and a unigram baseline learnt from the training part.
 
     A byte is eight binary decisions, each under the bits before it and 0 to DEPTH bytes of context. Every such node
@@ -152,6 +152,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     no rows. Other columns are ignored.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    # enough for a shard to fit a task, few enough for a block's rows to be long
+    shards = shards or max(256, min(16_384, docs.rdd.getNumPartitions()))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -67,7 +67,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each other's strings. A null id is kept. Empty table: no rows. Other columns are ignored.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *(docs[c].alias(f"carried_{n}") for n, c in enumerate(carry)))
-    shards = max(64, 2 * docs.rdd.getNumPartitions())
+    # more for larger inputs, but few enough for the rows that blocks send them to be long
+    partitions = docs.rdd.getNumPartitions()
+    shards, ranges = max(64, min(16_384, 2 * partitions)), max(32, min(65_536, 2 * partitions))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,9 +142,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((v ^ np.uint64(1 << 63)).view(np.int64))], ["v"])
 
-    ranges = max(32, 2 * docs.rdd.getNumPartitions())
     shares = [i / ranges for i in range(1, ranges)]
-    quantiles = made.filter(F.col("kind") == SAMPLE).select("data").mapInArrow(as_numbers, "v long").agg(F.percentile_approx("v", shares, 20 * ranges)).first()[0]
+    quantiles = made.filter(F.col("kind") == SAMPLE).select("data").mapInArrow(as_numbers, "v long").agg(F.percentile_approx("v", shares, min(1_000_000, 20 * ranges))).first()[0]
     cuts = sorted({v + (1 << 63) for v in quantiles or ()})
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
