@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 def give_back() -> None:
-    """Return freed memory to the system: workers live on between tasks, and the allocator would keep it."""
+    """Return freed memory to the system: workers live on between tasks, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
@@ -56,6 +58,25 @@ def save(df: DataFrame) -> DataFrame:
     return Saved(df).df
 
 
+def slices(sizes: Sequence[int], most: int = 1 << 20, rows: int = 256) -> Iterator[slice]:
+    """Consecutive slices of at most ``rows`` items and ``most`` bytes; an item that is larger is a slice of its own."""
+    begin, total = 0, 0
+    for n, size in enumerate(sizes):
+        if n > begin and (total + size > most or n - begin >= rows):
+            yield slice(begin, n)
+            begin, total = n, 0
+        total += size
+    if len(sizes) > begin:
+        yield slice(begin, len(sizes))
+
+
+def text_slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that no part has much text at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for s in slices(sizes, most):
+        yield batch.slice(s.start, s.stop - s.start)
+
+
 def array_to_numpy(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return col.to_numpy(zero_copy_only=False)

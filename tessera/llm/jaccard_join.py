@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import array_to_numpy, components, give_back, local_components, pairs_of_tiles, save, starts, tiles, whole_groups
+from tessera.llm.common import array_to_numpy, components, give_back, local_components, pairs_of_tiles, save, starts, text_slices, tiles, whole_groups
 from tessera.llm.shingles import minhashes, mixed, set_key, shingle_sets
 
 
@@ -83,7 +83,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     Rows, one for each input row: doc_id, set_id (smallest document of the same shingle set), class_id (smallest
     document of the linked group), n_links (other rows linked directly, copies included). Words are parted by ASCII
     white space, A-Z lower-cased. Null, empty and blank texts link with nothing; a text of fewer than ``width`` words is
-    one shingle. Repeated rows count as rows and are copies of each other. A null id links with nothing. Empty
+    one shingle. Repeated rows count as rows and are copies of each other; different
+    texts under one id should not occur, and if they do the id stands for both. A null id links with nothing. Empty
     table: no rows. Other columns are ignored.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -91,8 +92,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
+            for batch in text_slices(whole, 1):
                 sets = shingle_sets(_texts(batch.column(1)), width)
                 full = [s for s in sets if len(s)]
                 values = iter(minhashes(full, count)) if full else iter(())
@@ -114,9 +114,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
                 h = mixed((sig[:, b].astype(np.uint64) * weight[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(h.view(np.int64))], ["rep", "bucket"])
 
-    numbered = classes.drop("n2")
-    buckets = numbered.select("rep", "sig").mapInArrow(banded, "rep long, bucket long")
-    dealt = tiles(buckets, ["bucket"], "rep", tile).join(numbered.select("rep", "sig"), "rep")
+    buckets = classes.select("rep", "sig").mapInArrow(banded, "rep long, bucket long")
+    dealt = tiles(buckets, ["bucket"], "rep", tile).join(classes.select("rep", "sig"), "rep")
     steps = list(range(16, count + 1, 16)) + ([count] if count % 16 else [])
     least = least_matches(threshold, tolerance, steps)
 
@@ -146,13 +145,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     sorted_ = dealt.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b", "side")
     clusters = save(components(sorted_.mapInArrow(candidates, "u long, v long").distinct()))
 
-    wanted = clusters.withColumnRenamed("node", "rep").join(numbered.select("rep", "k1", "n"), "rep").select("rep", "k1", "n", F.col("component").alias("cluster"))
+    wanted = clusters.withColumnRenamed("node", "rep").join(classes.select("rep", "k1", "n"), "rep").select("rep", "k1", "n", F.col("component").alias("cluster"))
     chosen = base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "k1", "n", "cluster", "text")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
+            for batch in text_slices(whole, "text"):
                 sets = shingle_sets(_texts(batch.column("text")), width)
                 own = pa.array([len(s) > 0 and set_key(s)[0] == k for s, k in zip(sets, batch.column("k1").to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "cluster")), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "cluster", "shingles"]).filter(own)

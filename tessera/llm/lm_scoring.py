@@ -127,7 +127,8 @@ def _pieces(docs: list[tuple]) -> Iterator[list[tuple]]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for n in range(len(batch)):  # one by one: the rows are few and long
+            yield tuple(c[n].as_py() for c in batch.columns)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import give_back
+from tessera.llm.common import give_back, text_slices
 
 _TOKENIZERS: dict[str, Words] = {}
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
@@ -176,10 +176,9 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
             return batch
 
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(docs_), 256):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(lo, 256).to_pylist()]
-                for doc, ids in zip(docs_[lo : lo + 256], encode(raw), strict=True):
+            for part in text_slices(batch, 1):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), encode(raw), strict=True):
                     ids += end
                     total, start = len(ids) // 4, 0
                     while total - start >= capacity:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, save
+from tessera.llm.common import give_back, save, slices, text_slices
 from tessera.llm.shingles import mixed, word_hashes
 
 #: Buckets that n-grams are hashed to.
@@ -112,8 +112,7 @@ class Classifier:
             for ids, values in columns:
                 number = pd.to_numeric(ids).fillna(-1).astype("int64").to_numpy()
                 ratio, count = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                for lo in range(0, len(ids), 128):
-                    part = slice(lo, lo + 128)
+                for part in slices([len(t or "") for t in values], rows=128):
                     ratio[part], count[part] = counts.value.log_ratios(number[part], _texts(values.iloc[part]))
                 uniform = ((mixed(mixed(number.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
                 weight = ratio / np.maximum(count, 1)
@@ -177,8 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for whole in batches:
-            for lo in range(0, len(whole), 256):
-                batch = whole.slice(lo, 256)
+            for batch in text_slices(whole, 0):
                 good = np.array(batch.column(1).to_pylist(), bool)
                 for buckets, first in n_grams(_texts(batch.column(0).to_pylist())):
                     raw += np.bincount(buckets, minlength=BUCKETS)

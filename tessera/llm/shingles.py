@@ -24,12 +24,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(2 * n, base, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
+    """Powers of the base and of its inverse; kept up to a few million, and made anew for a longer text."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS
+    found = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(n if n > 1 << 22 else 1 << (n - 1).bit_length(), base, np.uint64)
+        p[0] = 1
+        found.append(np.multiply.accumulate(p))
+    if n <= 1 << 22:
+        _POWERS[:] = found
+    return found
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
