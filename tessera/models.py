@@ -29,6 +29,11 @@ class Reranker(Protocol):
     def score(self, query: str, texts: list[str]) -> list[float | None]: ...
 
 
+def context_width(trained: int, most: int | None = None) -> int:
+    """Tokens that a model is given: what it was trained with, or less if so set."""
+    return trained if most is None else min(most, trained)
+
+
 def _words(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schemas import KIND
@@ -39,5 +39,28 @@ def snapshot_and_tail(log: DataFrame, seq: int, keys: Sequence[str] = ("doc_id",
     return committed(committed(log.filter(F.col("seq") <= seq), keys).unionByName(after(log, seq)), keys)
 
 
+#: What a checksum covers.
+_FRAME = ("seq", "kind", "doc_id", "entity_id")
+
+
+def checksum() -> Column:
+    return F.crc32(F.concat_ws("|", *[F.col(c).cast("string") for c in _FRAME]))
+
+
+def verified(log: DataFrame, active: int, segment_col: str = "segment", crc_col: str = "crc") -> DataFrame:
+    """Rows whose checksum holds. In the active segment the log ends before the first bad row (a torn tail); in a sealed one a bad row is
+    an error."""
+    bad = F.min(F.when(~F.col(crc_col).eqNullSafe(checksum()), F.col("seq"))).over(Window.partitionBy(segment_col))
+    rows = log.withColumn("bad_from", bad)
+    broken = F.raise_error(F.concat(F.lit("corrupt record in sealed segment "), F.col(segment_col).cast("string"), F.lit(" from seq "), F.col("bad_from").cast("string"))).cast("boolean")
+    keep = F.when(F.col("bad_from").isNull(), F.lit(True)).when(F.col(segment_col) == active, F.col("seq") < F.col("bad_from")).otherwise(broken)
+    return rows.filter(keep).drop("bad_from")
+
+
+def snapshot_is_usable(snapshot_seq: int | None, manifest_seq: int, last_seq: int) -> bool:
+    """A snapshot stands for the log if the manifest names it and nothing was written after it."""
+    return snapshot_seq is not None and snapshot_seq == manifest_seq and last_seq <= snapshot_seq
+
+
 def sequence_range(log: DataFrame, groups: Sequence[str] = ("segment",)) -> DataFrame:
     return log.groupBy(*groups).agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))

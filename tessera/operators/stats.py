@@ -14,6 +14,11 @@ def shard_stats(docs: DataFrame, splits: DataFrame, summaries: DataFrame) -> Dat
     return rows.groupBy("workspace_id").agg(count("docs"), count("splits"), count("summaries"))
 
 
+def pool_stats(shards: DataFrame) -> DataFrame:
+    """Totals over all workspaces."""
+    return shards.agg(F.count("*").alias("n_workspaces"), *[F.sum(c).cast("long").alias(c) for c in ("n_docs", "n_splits", "n_summaries")])
+
+
 def needs_compaction(segments: DataFrame, ratio: float) -> DataFrame:
     """Per workspace: bytes of sealed segments, dead bytes, and whether their share is over ``ratio`` (never without bytes)."""
     out = segments.groupBy("workspace_id").agg(F.sum("bytes").cast("long").alias("sealed_bytes"), F.sum("dead_bytes").cast("long").alias("dead_bytes"))

@@ -431,6 +431,23 @@ def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("shard_stats", shard_stats, f"WITH {ENTITIES} SELECT workspace_id, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (vec_id % 2 = 0) AS n_splits, count(*) FILTER (vec_id % 2 = 1) AS n_summaries FROM v GROUP BY 1")
 
 
+add("pool_stats", lambda spark, sf: stats.pool_stats(shard_stats(spark, sf)), f"WITH {ENTITIES} SELECT count(DISTINCT workspace_id) AS n_workspaces, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (vec_id % 2 = 0) AS n_splits, count(*) FILTER (vec_id % 2 = 1) AS n_summaries FROM v")
+
+
+def log_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in segments of 1,000 numbers; in the last one a record in the middle is damaged, and the rest of it is cut."""
+    log = change_log(spark, sf_dir).withColumn("segment", F.floor(F.col("seq") / 1000).cast("long")).withColumn("crc", replay.checksum())
+    last = log.agg(F.max("segment"), F.max("seq")).first()
+    log = log.withColumn("crc", F.when((F.col("segment") == last[0]) & (F.col("seq") % 100 == 42), F.col("crc") + 1).otherwise(F.col("crc")))
+    return replay.verified(log, last[0]).groupBy("segment").agg(F.count("*").alias("n_rows"), F.max("seq").alias("max_seq"))
+
+
+add("log_torn_tail", log_torn_tail, """WITH k AS (SELECT doc_id AS i FROM documents),
+r AS (SELECT i * 10 + n AS seq FROM k, (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) t(n) WHERE n <= 2 OR (n = 3 AND i % 7 <> 0) OR (n = 4 AND i % 5 = 0) OR (n BETWEEN 5 AND 7 AND i % 10 = 0) OR (n = 8 AND i % 3 = 0)),
+s AS (SELECT seq, seq // 1000 AS segment, max(seq // 1000) OVER () AS active FROM r), b AS (SELECT *, min(CASE WHEN segment = active AND seq % 100 = 42 THEN seq END) OVER (PARTITION BY segment) AS bad FROM s)
+SELECT segment, count(*) AS n_rows, max(seq) AS max_seq FROM b WHERE bad IS NULL OR seq < bad GROUP BY 1""")
+
+
 def dead_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("workspace_id"), F.col("n_chars").alias("bytes"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(0).alias("dead_bytes"))
     return stats.needs_compaction(d, 0.3).withColumn("dead_ratio", r6("dead_ratio"))

@@ -171,5 +171,16 @@ class Store:
     def stats(self) -> DataFrame:
         return stats.shard_stats(self.table("docs"), self.table("splits"), self.table("summaries"))
 
+    def vectors(self, name: str) -> DataFrame:
+        """Ids and vectors of all live splits or summaries; texts aren't read."""
+        return self.table(name).select("workspace_id", "doc_id", f"{'summary' if name == 'summaries' else 'split'}_id", "embedding")
+
+    def contains(self, workspace: str, doc_id: int) -> bool:
+        return bool(self._live().filter((F.col("workspace_id") == workspace) & (F.col("doc_id") == doc_id)).limit(1).count())
+
+    def doc_id_for_url(self, url: str) -> DataFrame:
+        """(workspace_id, doc_id) of the documents with a url."""
+        return self.table("docs").filter(F.col("url") == url).select(*dml.KEY)
+
     def workspaces(self) -> DataFrame:
         return self._live().select("workspace_id").distinct()

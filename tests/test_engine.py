@@ -8,6 +8,7 @@ from tessera.models import HashingEmbedder, OverlapReranker
 from tessera.operators import dml, replay
 from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
+from tessera.plans.requests import Header, dispatch
 from tessera.sources import legacy, readers
 from tessera.sources.store import Store
 from tessera.streaming.ingest import ingest_stream, replay_stream
@@ -209,3 +210,29 @@ def test_readers(spark, tmp_path):
     assert readers.read_texts(spark, str(tmp_path / "t.txt"), "w").first().text == "one\ntwo"
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     assert readers.from_json(readers.to_json(df), df.schema).collect() == df.collect()
+
+
+def test_requests(engine, spark):
+    head, reply = dispatch(engine, Header.of("query"), {"input": "bread flour", "workspace_ids": ["w1"], "top_k": 1})
+    assert head.status == 1 and head.response_ts >= head.request_ts and reply.count() >= 1
+    docs = documents(spark, "w3", z="A document that came by request today.")
+    assert dispatch(engine, Header.of("insert"), {"documents": docs})[1].first().status == "Success"
+    got = dispatch(engine, Header.of("retrieve"), {"workspace_id": "w3", "document_url": "u://z"})[1].first()
+    assert engine.store.contains("w3", got.doc_id) and not engine.store.contains("w3", 1)
+    assert engine.store.doc_id_for_url("u://z").first().doc_id == got.doc_id
+    assert engine.store.vectors("splits").filter("workspace_id = 'w3'").count() == 1
+    assert dispatch(engine, Header.of("delete"), {"workspace_id": "w3", "document_ids": [got.doc_id]})[1].first().status == "Success"
+    assert dispatch(engine, Header.of("health"))[1].count() == 1
+    for kind, body in (("query", {}), ("retrieve", {}), ("rerank", {"query": "", "texts": docs}), ("unknown", {})):
+        head, reply = dispatch(engine, Header.of(kind), body)
+        assert head.status == 2 and head.error_message and reply is None
+
+
+def test_torn_tail_and_corruption(spark):
+    df = log(spark, [(1, n, 2, n, None, None) for n in range(1, 9)]).withColumn("segment", F.floor(F.col("seq") / 5)).withColumn("crc", replay.checksum())
+    damage = lambda at: df.withColumn("crc", F.when(F.col("seq") == at, 0).otherwise(F.col("crc")))
+    assert replay.verified(df, 1).count() == 8
+    assert sorted(r.seq for r in replay.verified(damage(7), 1).collect()) == [1, 2, 3, 4, 5, 6]
+    with pytest.raises(Exception, match="corrupt record in sealed segment 0 from seq 3"):
+        replay.verified(damage(3), 1).collect()
+    assert replay.snapshot_is_usable(5, 5, 5) and not replay.snapshot_is_usable(5, 5, 6) and not replay.snapshot_is_usable(None, 5, 5)
