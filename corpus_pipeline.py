@@ -35,9 +35,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages that stand elsewhere too; bytes of a character that is cut in two go as well."""
+    """Documents without the bytes of passages of 400 bytes, or of more than 50 words, that stand elsewhere too; bytes of a
+    character that is cut in two go as well."""
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = remove_repeats(docs, carry=other, as_text=True).withColumn("text", F.col("kept"))
+    out = remove_repeats(docs, words=51, carry=other, as_text=True).withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

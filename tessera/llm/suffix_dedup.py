@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import give_back, save
 from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
-from tessera.llm.suffix_runs import SEED, Anchors, Item, decode_run, encode_run, merge_runs, repeated
+from tessera.llm.suffix_runs import SEED, Anchors, Item, WordAnchors, decode_run, encode_run, merge_runs, repeated
 
 #: Bytes of text in a block; bytes of contexts that are compared at once.
 BLOCK, BATCH = 16 << 20, 4 << 20
@@ -43,8 +43,9 @@ def order_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
-    """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table.
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table, or, if
+    ``words`` is given, by that many whole words (set apart by ASCII white space) whose bytes stand as whole words elsewhere.
 
     A suffix array of every position would be many times the text. Suffixes are therefore sampled by content: each string
     of ``length`` bytes has one anchor, and equal strings have it at the same offset (``Anchors``), so it is enough
@@ -58,6 +59,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        bytes come out together, and their strings are compared at once.
     4. Each block gets back which strings of its contexts are repeated, and cuts its texts.
 
+    Strings of words go the same way with anchors of their own (``WordAnchors``), in ranges numbered after the others.
+
     Equal contexts travel once a block, so a group of copies costs a row for each block. Tasks hold a block of 16 MB of text
     or the compressed runs of a range.
 
@@ -71,6 +74,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     partitions = docs.rdd.getNumPartitions()
     shards, ranges = max(64, min(16_384, 2 * partitions)), max(32, min(65_536, 2 * partitions))
 
+    def sampled(texts: list[bytes]) -> list[Anchors | WordAnchors]:
+        anchors = Anchors(texts, length)
+        return [anchors] if words is None else [anchors, WordAnchors(anchors, words)]
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -83,11 +90,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             counts = Counts()
             for part, piece in enumerate(_pieces(waiting)):
                 yield _batch([(number, TEXT, part, None, zstandard.compress(pickle.dumps(piece), 3))])
-                anchors = Anchors([d[1] for d in piece], length)
-                for half in anchors.halves():
-                    counts.add_all(half[half != 0], True)
-                if len(anchors.at):
-                    yield _batch([(number, SAMPLE, part, None, order_key(anchors.data, anchors.at[part % 64 :: 64]).tobytes())])
+                for anchors in sampled([d[1] for d in piece]):
+                    for half in anchors.halves():
+                        counts.add_all(half[half != 0], True)
+                    if len(anchors.at):
+                        yield _batch([(number, SAMPLE, part, None, order_key(anchors.data, anchors.at[part % 64 :: 64]).tobytes())])
             key, count = counts.settle()
             shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
@@ -147,16 +154,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cuts = sorted({v + (1 << 63) for v in quantiles or ()})
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, place, found = None, [], [], {}
+        at, keys, place, found = None, [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            items = sorted((suffix, left, places) for (suffix, left), places in found.items())
-            first = [int.from_bytes(i[0][:8], "big") for i in items]
-            edges = [0, *np.searchsorted(np.array(first, np.uint64), np.array(cuts, np.uint64)).tolist(), len(items)]
-            for r, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-                for lo in range(i, j, 8192):  # pieces of a run, in order
-                    yield _batch([(at, RUN, r, lo.to_bytes(8, "big"), encode_run([(*items[n][:2], n, len(items[n][2])) for n in range(lo, min(j, lo + 8192))]))])
-            rows = [(n, *p) for n, i in enumerate(items) for p in i[2]]
+            rows: list[tuple] = []
+            base = 0
+            for kind, contexts in enumerate(found):
+                items = sorted((suffix, left, places) for (suffix, left), places in contexts.items())
+                first = [int.from_bytes(i[0][:8], "big") for i in items]
+                edges = [0, *np.searchsorted(np.array(first, np.uint64), np.array(cuts, np.uint64)).tolist(), len(items)]
+                for r, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+                    for lo in range(i, j, 8192):  # pieces of a run, in order
+                        yield _batch([(at, RUN, kind * ranges + r, lo.to_bytes(8, "big"), encode_run([(*items[n][:2], base + n, len(items[n][2])) for n in range(lo, min(j, lo + 8192))]))])
+                rows += [(base + n, *p) for n, i in enumerate(items) for p in i[2]]
+                base += len(items)
             if rows:
                 yield _batch([(at, MAP, 0, None, zstandard.compress(np.array(rows, np.int64).tobytes(), 1))])
 
@@ -164,7 +175,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if block != at:
                 if at is not None:
                     yield from flush()
-                at, keys, found = block, [], defaultdict(list)
+                at, keys, found = block, [], [defaultdict(list), defaultdict(list)]
             if kind == HALVES:
                 keys.append(unsqueeze(packed, True))
                 continue
@@ -173,14 +184,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             if not len(keys):
                 continue
             piece = [d[1] for d in pickle.loads(zstandard.decompress(data))]
-            anchors = Anchors(piece, length)
-            right, left = anchors.halves()
             known = lambda v: keys[np.minimum(np.searchsorted(keys, v), len(keys) - 1)] == v  # noqa: B023, E731
-            use = np.flatnonzero(((right != 0) & known(right)) | ((left != 0) & known(left)))
-            begin = anchors.begin[anchors.text[use]]
-            for text, first, mid, last in zip(anchors.text[use].tolist(), (anchors.first[use] - begin).tolist(), (anchors.at[use] - begin).tolist(), (anchors.last[use] - begin).tolist(), strict=True):
-                t = piece[text]
-                found[t[mid : last + length], t[first:mid]].append((part, text, first))
+            for contexts, anchors in zip(found, sampled(piece), strict=False):
+                right, left = anchors.halves()
+                use = np.flatnonzero(((right != 0) & known(right)) | ((left != 0) & known(left)))
+                for text, first, mid, last in anchors.contexts(use):
+                    t = piece[text]
+                    contexts[t[mid:last], t[first:mid]].append((part, text, first))
         if at is not None:
             yield from flush()
         give_back()
@@ -196,7 +206,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 before = item[0]
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        def flush(part: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
             names = list(held)
             out: dict[int, list] = defaultdict(list)
             items: list[Item] = []
@@ -206,7 +216,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             size = 0
 
             def judge() -> None:
-                first, last = repeated(items, times, length)
+                first, last = repeated(items, times, length) if part < ranges else repeated(items, times, words, True)
                 for own, a, b in zip(owners, first.tolist(), last.tolist(), strict=True):
                     if b >= 0:
                         for run, number in own:
@@ -235,12 +245,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         at, held = None, {}
         for block, _, part, _, data in _rows(batches):
             if at is not None and part != at:
-                yield from flush(held)
+                yield from flush(at, held)
                 held = {}
             at = part
             held.setdefault(block, []).append(data)
         if at is not None:
-            yield from flush(held)
+            yield from flush(at, held)
         give_back()
 
     by_range = sorted_runs.filter(F.col("kind") == RUN).repartition("shard").sortWithinPartitions("shard", "block", "keys")
@@ -271,7 +281,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     i = np.minimum(np.searchsorted(reply[:, 0], known[:, 0]), len(reply) - 1)
                     hit = reply[i, 0] == known[:, 0]
                     for (_, p, text, first), (_, a, b) in zip(known[hit].tolist(), reply[i[hit]].tolist(), strict=True):
-                        gone[p, text].append((first + a, first + b + length))
+                        gone[p, text].append((first + a, first + b))
             out = []
             for n, (doc, raw, extra) in enumerate(pickle.loads(zstandard.decompress(data))):
                 spans = _spans(gone.get((part, n), []))

@@ -21,8 +21,8 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
-def hash_of(prefix: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the strings of one length that begin at ``begin``."""
+def hash_of(prefix: tuple[np.ndarray, np.ndarray], begin: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of one length, or of a length each, that begin at ``begin``."""
     total, down = prefix
     return mixed((total[begin + length] - total[begin]) * down[begin])
 
@@ -101,6 +101,73 @@ class Anchors:
             left[lft] = ~hash_of(self.prefix, self.at[lft] - half, half)
         return right, left
 
+    def contexts(self, use: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, and in it where the anchor's strings begin, the anchor, and where they end) of some anchors."""
+        begin = self.begin[self.text[use]]
+        return zip(self.text[use].tolist(), (self.first[use] - begin).tolist(), (self.at[use] - begin).tolist(), (self.last[use] + self.length - begin).tolist(), strict=True)
+
+
+def words_in(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words (what ASCII white space sets apart) of texts that begin at ``begin`` start and end."""
+    solid = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[begin] = edge[-1] = True
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | edge[1:-1]
+    stop[:-1] &= ~solid[1:] | edge[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+class WordAnchors:
+    """Sampled suffixes as in ``Anchors``, for the strings that are ``words`` whole words.
+
+    An anchor is the start of a word. It has SEED bytes of the string after it, as SEED / 2 words and the bytes between
+    them are never fewer. ``first`` and ``last`` are the words that the first and last string of the anchor start with.
+    """
+
+    def __init__(self, anchors: Anchors, words: int):
+        if words <= SEED // 2:
+            raise ValueError(f"strings must have {SEED // 2 + 1} words or more")
+        self.words, self.data, self.begin, self.prefix = words, anchors.data, anchors.begin, anchors.prefix
+        self.start, self.stop = words_in(self.data, self.begin)
+        self.at, self.word, self.first, self.last, self.text = (np.zeros(0, np.int64) for _ in range(5))
+        n = len(self.start) - words + 1
+        if n <= 0:
+            return
+        text = np.searchsorted(self.begin, self.start, side="right") - 1
+        reach = words - SEED // 2
+        seeds = np.arange(n + reach - 1)
+        # the last seeds may run over the end if texts are short; no string has them
+        hashed = hash_of(self.prefix, np.minimum(self.start[: len(seeds)], len(self.data) - SEED), SEED)
+        keyed = (hashed & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - seeds.astype(np.uint64))
+        word = (np.uint64(0xFFFFFFFF) - (sliding_min(keyed, reach) & np.uint64(0xFFFFFFFF))).astype(np.int64)
+        whole = np.flatnonzero(text[:n] == text[words - 1 :])
+        if not len(whole):
+            return
+        word = word[whole]
+        # an anchor is in one text, so neighbouring texts are told apart by it
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        self.first, self.last = whole[new], whole[np.append(new[1:], len(whole)) - 1]
+        self.word = word[new]
+        self.at, self.text = self.start[self.word], text[self.word]
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the half of a string's words that begin with the anchor's, and that end before it; 0 as in ``Anchors``."""
+        right, left = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+        half = self.words // 2
+        r, lft = self.last >= self.word + half - self.words, self.first <= self.word - half
+        if r.any():
+            right[r] = hash_of(self.prefix, self.at[r], self.stop[self.word[r] + half - 1] - self.at[r])
+        if lft.any():
+            begin = self.start[self.word[lft] - half]
+            left[lft] = ~hash_of(self.prefix, begin, self.at[lft] - begin)
+        return right, left
+
+    def contexts(self, use: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        begin = self.begin[self.text[use]]
+        first, last = self.start[self.first[use]], self.stop[self.last[use] + self.words - 1]
+        return zip(self.text[use].tolist(), (first - begin).tolist(), (self.at[use] - begin).tolist(), (last - begin).tolist(), strict=True)
+
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes are known already."""
@@ -193,19 +260,28 @@ def merge_runs(runs: list[Iterator[tuple[int, Item]]]) -> Iterator[tuple[int, in
             node //= 2
 
 
-def repeated(items: list[Item], times: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last string of each item's context that occurs twice or more; -1, -1 where none does.
+def repeated(items: list[Item], times: list[int], length: int, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Where in each item's context its first string that occurs twice or more begins and its last one ends; -1, -1 where none does.
 
-    All occurrences of a string of an item are among ``items``; ``times`` counts each item's.
+    Strings are of ``length`` bytes or, with ``words``, of that many whole words. All occurrences of a string of an item
+    are among ``items``; ``times`` counts each item's.
     """
     texts = [left + suffix for suffix, left, _, _ in items]
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    prefix = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
-    count = size - length + 1
-    item = np.repeat(np.arange(len(items)), count)
-    place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    key = hash_of(prefix, begin[item] + place, length)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    prefix = prefix_hash(data)
+    if words:
+        start, stop = words_in(data, begin)
+        item = np.searchsorted(begin, start, side="right") - 1
+        whole = np.flatnonzero(item[: len(item) - length + 1] == item[length - 1 :])
+        item, place, end = item[whole], start[whole], stop[whole + length - 1]
+    else:
+        count = size - length + 1
+        item = np.repeat(np.arange(len(items)), count)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + begin[item]
+        end = place + length
+    key = hash_of(prefix, place, end - place)
     order = np.argsort(key)
     key = key[order]
     same = key[1:] == key[:-1]
@@ -215,7 +291,7 @@ def repeated(items: list[Item], times: list[int], length: int) -> tuple[np.ndarr
     twice |= (np.array(times) > 1)[item]
     first = np.full(len(items), np.iinfo(np.int64).max)
     last = np.full(len(items), -1)
-    np.minimum.at(first, item[twice], place[twice])
-    np.maximum.at(last, item[twice], place[twice])
+    np.minimum.at(first, item[twice], (place - begin[item])[twice])
+    np.maximum.at(last, item[twice], (end - begin[item])[twice])
     first[last < 0] = -1
     return first, last

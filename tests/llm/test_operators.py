@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +159,33 @@ def test_repeats_of_odd_rows(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+def without_word_runs(rows, length, words):
+    """(doc_id, kept) without the strings of ``length`` bytes or ``words`` whole words that occur twice or more."""
+    found, count = [], Counter()
+    for i, t in rows:
+        data = (t or "").encode()
+        spots = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data)]
+        spans = [(0, k, k + length) for k in range(len(data) - length + 1)] + [(1, a, b) for (a, _), (_, b) in zip(spots, spots[words - 1 :], strict=False)]
+        count.update((kind, data[a:b]) for kind, a, b in spans)
+        found.append((i, data, spans))
+    out = []
+    for i, data, spans in found:
+        gone = {x for kind, a, b in spans if count[kind, data[a:b]] > 1 for x in range(a, b)}
+        out.append((i, bytes(x for n, x in enumerate(data) if n not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_words_are_removed(spark, seed):
+    rng = random.Random(seed)
+    blocks = [" ".join(rng.choice(["a", "bc", "def"]) for _ in range(rng.randint(8, 30))) for _ in range(4)]
+    part = lambda: rng.choice([*blocks, *blocks, "é", "xx  yy\n", "", prose(rng, rng.randint(1, 9))])
+    rows = doc_rows(["".join(part() + rng.choice([" ", " ", " ", "", "\t"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["b"] * 30 + ["a " * 40, "long" * 60, "long" * 61, None])
+    got = remove_repeats(frame(spark, rows), length=120, words=17).collect()
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == without_word_runs(rows, 120, 17)
+    assert without_word_runs(rows, 120, 17) != without_word_runs(rows, 120, 10**6)
+
+
 @given(st.lists(st.lists(st.binary(max_size=12), max_size=12), max_size=7))
 @settings(deadline=None, max_examples=200)
 def test_merging_never_compares_a_known_prefix_wrongly(lists):

@@ -54,6 +54,18 @@ def test_stages(spark, folder, tmp_path):
     assert set(names) == set(docs.columns)
 
 
+def test_passages_of_more_than_fifty_words_go(spark, folder):
+    rng = random.Random(8)
+    shared = {n: " ".join(w[:5] for w in prose(rng, n).split()) for n in (20, 50, 51, 52, 55, 60)}
+    assert all(len(p) < 400 for p in shared.values())
+    rows = [(10 * n + k, f"{prose(rng, 30)} start{k} {p} stop{k} {prose(rng, 30)}", "en", "s", 0) for n, p in shared.items() for k in range(3)]
+    out = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, spark.createDataFrame(rows, COLUMNS), folder).collect()}
+    assert len(out) == len(rows)
+    for i, text, *_ in rows:
+        p = shared[i // 10]
+        assert out[i].text == (text if i // 10 <= 50 else text.replace(p, "")) and out[i].n_chars == len(out[i].text)
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 50
