@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 from tessera.llm.common import give_back, save
 from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
-from tessera.llm.suffix_runs import SEED, Anchors, Item, WordAnchors, decode_run, encode_run, merge_runs, repeated
+from tessera.llm.suffix_runs import SEED, Anchors, Item, WordAnchors, common, decode_run, encode_run, merge_runs, repeated
 
-#: Bytes of text in a block; bytes of contexts that are compared at once.
-BLOCK, BATCH = 16 << 20, 4 << 20
+#: Bytes of text in a block; bytes of contexts that are compared at once; items in a piece of a run.
+BLOCK, BATCH, PIECE = 16 << 20, 4 << 20, 8192
 HALVES, SAMPLE, RUN, MAP, REPLY, TEXT = range(6)
 
 
@@ -43,7 +43,7 @@ def order_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False, run_piece: int = PIECE, batch_bytes: int = BATCH) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table, or, if
     ``words`` is given, by that many whole words (set apart by ASCII white space) whose bytes stand as whole words elsewhere.
 
@@ -164,8 +164,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 first = [int.from_bytes(i[0][:8], "big") for i in items]
                 edges = [0, *np.searchsorted(np.array(first, np.uint64), np.array(cuts, np.uint64)).tolist(), len(items)]
                 for r, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-                    for lo in range(i, j, 8192):  # pieces of a run, in order
-                        yield _batch([(at, RUN, kind * ranges + r, lo.to_bytes(8, "big"), encode_run([(*items[n][:2], base + n, len(items[n][2])) for n in range(lo, min(j, lo + 8192))]))])
+                    for lo in range(i, j, run_piece):  # pieces of a run, in order
+                        yield _batch([(at, RUN, kind * ranges + r, lo.to_bytes(8, "big"), encode_run([(*items[n][:2], base + n, len(items[n][2])) for n in range(lo, min(j, lo + run_piece))]))])
                 rows += [(base + n, *p) for n, i in enumerate(items) for p in i[2]]
                 base += len(items)
             if rows:
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         before = b""
         for p in pieces:
             for n, (shared, item) in enumerate(decode_run(p)):
-                yield (shared if n else 0), item
+                yield (shared if n else common(before, item[0])), item
                 before = item[0]
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for shared, run, item in merge_runs([chained(p) for p in held.values()]):
                 if shared < SEED:
                     seen.clear()
-                    if size > BATCH:
+                    if size > batch_bytes:
                         judge()
                         items, owners, times, size = [], [], [], 0
                 place = seen.get(item[:2])

@@ -159,6 +159,16 @@ def test_repeats_of_odd_rows(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 2, 5])
+def test_repeats_across_pieces_of_a_run(spark, piece):
+    rng = random.Random(piece)
+    passages = [prose(rng, 60)[:100] for _ in range(6)]
+    texts = [prose(rng, 2) + " " + rng.choice(passages)[rng.randint(0, 30) :] + " " + prose(rng, 2) for _ in range(120)]
+    rows = doc_rows(texts)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), length=40, run_piece=piece, batch_bytes=1).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == sorted(brute.without_repeats(rows, 40))
+
+
 def without_word_runs(rows, length, words):
     """(doc_id, kept) without the strings of ``length`` bytes or ``words`` whole words that occur twice or more."""
     found, count = [], Counter()
