@@ -36,33 +36,39 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return fits
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, seed_col: str, *, damping: float, rounds: int) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, seed_col: str, *, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank over edges (src, dst, weight); weights of one src sum to one.
 
     seeds: one row per host. Rows: host, score; the start mass of a host without links is kept at
     its seed value. Contributions are summed by aggregation, so hubs cost no more than their links.
+
+    Rounds go on until no score can be further than ``tolerance`` from its limit. A round brings all scores together at least by the factor
+    ``damping`` nearer, so what is left is at most what the last round moved times damping / (1 - damping).
     """
-    now = seeds.select("host", F.col(seed_col).alias("score"))
-    for _ in range(rounds):
+    now = seeds.select("host", F.col(seed_col).alias("seed"), F.col(seed_col).alias("score"))
+    left = 2 * (seeds.agg(F.sum(seed_col)).first()[0] or 0.0)
+    while left > tolerance:
         sent = edges.join(now, edges["src"] == now["host"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("weight")).alias("received"))
-        now = save(
-            seeds.join(sent, seeds["host"] == sent["dst"], "left").select(
-                "host", (F.lit(1 - damping) * F.col(seed_col) + F.lit(damping) * F.coalesce("received", F.lit(0.0))).alias("score")
-            )
-        )
-    return now
+        score = F.lit(1 - damping) * F.col("seed") + F.lit(damping) * F.coalesce("received", F.lit(0.0))
+        now = save(now.join(sent, now["host"] == sent["dst"], "left").select("host", "seed", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+        moved = now.agg(F.sum("moved")).first()[0]
+        left = min(left * damping, moved * damping / (1 - damping))
+    return now.select("host", "score")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, rounds: int = 8, margin: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, tolerance: float = 1e-6, margin: float = 0.5) -> DataFrame:
     """Verdict of each url: the longest fitting rule's, else what the link graph says of its host.
 
     Links are the absolute and protocol-relative ``href`` values of a page; a host's edges are its
     links to other hosts, weighted by how many of its pages' links go there. Trust starts at hosts in
     proportion to the share of their pages that rules allow and follows links; distrust
     starts in proportion to the share that rules block and goes against the links. Both are divided
-    by the restart share, so that a host without links keeps its seed. A host is blocked if its
-    distrust exceeds its trust by more than ``margin``. Counts by host are aggregated before
-    any shuffle of pages, and the graph is over hosts, not pages.
+    by the restart share, so that a host without links keeps its seed; both are within ``tolerance`` of the limit, however long the paths.
+
+    A host is blocked if its distrust exceeds its trust by more than ``margin``, or if what links brought it of distrust exceeds
+    its trust by more than ``margin`` times what they can carry. Distrust of a host is divided among all that
+    link to it, so a link carries at most the share it is of those, and a host's links the sum of their shares.
+    Counts by host are aggregated before any shuffle of pages, and the graph is over hosts, not pages.
 
     Rows: page_id, host, path, rule, verdict, trust, distrust. A null or unusable url has empty host and
     path and no links lead to it. Null or empty html: no links. Repeated rows are each judged. Empty
@@ -86,10 +92,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", u
         total = out.groupBy("src").agg(F.sum("n").alias("total")).withColumnRenamed("src", "from")
         return save(out.join(total, out["src"] == total["from"]).select("src", "dst", (F.col("n") / F.col("total")).alias("weight")))
 
-    trust = propagate(weighted("src", "dst"), hosts, "trusted", damping=damping, rounds=rounds)
-    distrust = propagate(weighted("dst", "src"), hosts, "blocked", damping=damping, rounds=rounds)
+    back = weighted("dst", "src")
+    within = tolerance * (1 - damping)
+    trust = propagate(weighted("src", "dst"), hosts, "trusted", damping=damping, tolerance=within)
+    distrust = propagate(back, hosts, "blocked", damping=damping, tolerance=within)
+    carried = back.groupBy(F.col("dst").alias("host")).agg(F.sum("weight").alias("carried"))
     scale = lambda c: (F.col(c) / F.lit(1 - damping)).alias(c)
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").select("host", scale("trust"), scale("distrust"))
+    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").join(hosts.select("host", "blocked"), "host").join(carried, "host", "left")
+    scores = scores.select("host", scale("trust"), scale("distrust"), "blocked", "carried")
     out = judged.drop("html", "url").join(scores, "host", "left")
-    verdict = F.coalesce("found.verdict", F.when(F.col("distrust") - F.col("trust") > margin, "block").otherwise("allow"))
+    over = F.col("distrust") - F.col("trust")
+    by_links = F.coalesce(over - F.col("blocked") > F.lit(margin) * F.col("carried"), F.lit(False))
+    verdict = F.coalesce("found.verdict", F.when((over > margin) | by_links, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))

@@ -249,6 +249,36 @@ def test_distrust_goes_against_links(spark):
     assert got[5].trust == pytest.approx(0.85) and got[2].distrust == pytest.approx(2 * 0.85) and got[7].distrust == pytest.approx(2 * 0.85**2)
 
 
+def linked(*hosts):
+    return "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+
+
+def test_distrust_of_long_chains(spark):
+    hosts = [[f"c{k}n{n}.info" for n in range(8)] + [f"bad{k}.net"] for k in range(4)]
+    links = [("start.info", linked(*(c[0] for c in hosts)))] + [(a, linked(b)) for c in hosts for a, b in zip(c, c[1:], strict=False)] + [(c[-1], "") for c in hosts]
+    got = {r.host: r for r in judge(spark.createDataFrame([(i, f"http://{h}/", t) for i, (h, t) in enumerate(links)], PAGES), URL_RULES).collect()}
+    # nine links from the start to each of the four blocked hosts
+    assert got["start.info"].distrust == pytest.approx(4 * 0.85**9, abs=1e-6) and got["start.info"].verdict == "block"
+
+
+def test_scores_on_a_cycle(spark):
+    rows = [(1, "http://a.info/", linked("b.info", "bad.net")), (2, "http://b.info/", linked("a.info")), (3, "http://bad.net/", "")]
+    got = {r.host: r for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    # a = 0.85 + 0.85 b and b = 0.85 a
+    a = 0.85 / (1 - 0.85**2)
+    assert got["a.info"].distrust == pytest.approx(a, abs=1e-6) and got["b.info"].distrust == pytest.approx(0.85 * a, abs=1e-6)
+
+
+def test_distrust_of_many_linkers(spark):
+    rows = [(0, "http://bad.net/", "")] + [(i, f"http://only{i}.info/", linked("bad.net")) for i in range(1, 10)]
+    rows += [(10, "http://mixed.info/", linked("bad.net", "fine.info", "well.info")), (11, "http://fine.info/", ""), (12, "http://well.info/", "")]
+    got = {r.host: r for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    # each of the ten has a tenth of what goes back from the blocked host; mixed alone links to two others
+    assert all(got[h].distrust == pytest.approx(0.085, abs=1e-6) for h in ("only1.info", "only9.info", "mixed.info"))
+    assert all(got[f"only{i}.info"].verdict == "block" for i in range(1, 10))
+    assert got["mixed.info"].verdict == got["fine.info"].verdict == "allow"
+
+
 def test_filter_of_odd_pages(spark):
     rows = [(None, None, None), (1, "http://a.net/", None), (1, "http://a.net/", None), (2, "http://b.info/", "<a href='http://b.info/x'>" * 5000)]
     assert judge(spark.createDataFrame(rows, PAGES), URL_RULES).count() == 4
