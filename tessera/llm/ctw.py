@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Context bytes. A key holds them, the latest first, above the byte that follows: 8 * (DEPTH + 1) bits.
-DEPTH = 5
+#: Context bytes. A key holds them, the latest first, above the byte that follows: 8 * (DEPTH + 1) bits, and 64 is all there are.
+DEPTH = 7
 #: Neither is part of UTF-8: it stands before a text's first byte, DEPTH times, and after its last.
 EDGE = 0xFF
 SHARD_BITS = 8 * (DEPTH - 1)

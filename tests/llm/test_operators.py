@@ -101,6 +101,15 @@ def test_scores_are_those_of_the_plain_tree(spark):
         assert r.score == pytest.approx(tree.log10((texts[r.doc_id] or "").encode().lower()), rel=1e-5)
 
 
+def test_seven_bytes_of_context_count():
+    keys, _ = ctw.keys_of([b"Xcccccc1", b"Ycccccc2"] * 20)
+    key, count = np.unique(keys, return_counts=True)
+    asked, _ = ctw.keys_of([b"Xcccccc1", b"Xcccccc2"])
+    p = ctw.Tree(key, count).log10(asked)
+    # the byte after seven of context, where the first tells which it is
+    assert p[7] > np.log10(0.8) and p[16] < np.log10(0.2)
+
+
 def test_scores_of_odd_rows(spark):
     got = score(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.score < 0 for r in got)
