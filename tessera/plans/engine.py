@@ -12,7 +12,7 @@ from tessera.functions import ids
 from tessera.models import Embedder, Reranker, score_column
 from tessera.operators import rerank as ranks
 from tessera.operators.topk import search_many
-from tessera.plans.ingest import process_documents
+from tessera.plans.ingest import check_supported, process_documents
 from tessera.plans.search import search_documents
 from tessera.schemas import SEARCH_MODE
 from tessera.sources.store import Store
@@ -22,6 +22,7 @@ class Engine:
     """A store with its models. Every method takes and returns DataFrames; ``model`` of a request is passed through only."""
 
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig, embedder: Embedder, reranker: Reranker | None = None):
+        check_supported(config)
         self.spark, self.config, self.embedder, self.reranker = spark, config, embedder, reranker
         model = spark.range(1).select(ids.model_id(embedder.path, embedder.n_embd)).first()[0]
         self.store = Store(spark, root, model_id=model, n_embd=embedder.n_embd, scalar_kind=config.index.scalar_kind)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import EngineConfig
-from tessera.functions import ids
+from tessera.functions import ids, vectors
 from tessera.functions.text import sentences, token_count
 from tessera.models import Embedder
 from tessera.operators.chunk import chunk
@@ -77,16 +77,29 @@ def embed_and_summarize(splits: DataFrame, embedder: Embedder, top: int, vec_typ
     return splits.mapInArrow(run, schema)
 
 
+def check_supported(config: EngineConfig) -> None:
+    """Raises on settings that an ingest can't carry out."""
+    if config.index.scalar_kind in ("I8", "B1"):
+        raise ValueError(f"[index] scalar_kind {config.index.scalar_kind} is of another scale than query vectors, and a store doesn't hold it")
+    if config.splitter.merge_level not in (None, 0):
+        raise ValueError("[splitter] merge_level must be 0 (nothing is merged) or absent (all levels are)")
+
+
 def process_documents(docs: DataFrame, config: EngineConfig, embedder: Embedder) -> Processed:
     """Chunk, embed and summarise documents (workspace_id, url, text).
 
     Sequence numbers count chunks before failures are dropped. A split whose vector can't be made goes to ``failures`` and the
-    document lives on without it.
+    document lives on without it. Vectors are rounded as an index of the scalar kind holds them.
     """
+    check_supported(config)
     base = docs.select("workspace_id", "url", "text").withColumn("doc_id", ids.doc_id(F.col("url")))
-    parts = chunk(base, "text", config.splitter.max_tokens)
+    parts = chunk(base, "text", config.splitter.max_tokens, merge=config.splitter.merge_level is None)
     parts = parts.withColumn("split_id", ids.split_id(F.col("doc_id"), F.col("seq_id"))).withColumn("sentences", sentences(F.col("text"), config.min_sentence_tokens))
     rows = embed_and_summarize(parts, embedder, config.summaries_per_split)
+    if config.index.scalar_kind in ("F16", "BF16"):  # a model's vectors are floats, so F32 and F64 hold them as they are
+        held = lambda v: vectors.quantize(v, config.index.scalar_kind).cast("array<float>")
+        rows = rows.withColumn("embedding", held(F.col("embedding")))
+        rows = rows.withColumn("found", F.transform("found", lambda s: s.withField("embedding", held(s["embedding"]))))
     return derive(rows, embedder)
 
 

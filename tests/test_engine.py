@@ -1,5 +1,6 @@
 """Configuration, store, engine, replay, migration and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,31 @@ def test_insert_and_query(engine):
     assert engine.query("bread", workspaces=["nowhere"]).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["F16", "BF16"])
+def test_stored_vectors_are_of_the_scalar_kind(spark, tmp_path, kind):
+    config = EngineConfig(index=IndexConfig(dimensions=32, metric_kind="Cos", scalar_kind=kind), splitter=SplitterConfig(max_tokens=20))
+    plain = process_documents(documents(spark, "w", **TEXT), CONFIG, HashingEmbedder(32))
+    e = Engine(spark, f"file://{tmp_path}/store", config, HashingEmbedder(32))
+    e.insert(documents(spark, "w", **TEXT)).collect()
+    for name, key in (("splits", "split_id"), ("summaries", "summary_id")):
+        before = {r[key]: r.embedding for r in getattr(plain, name).collect()}
+        after = {r[key]: r.embedding for r in e.store.table(name).collect()}
+        if kind == "F16":
+            assert after == {k: np.array(v, np.float16).astype(float).tolist() for k, v in before.items()}
+        assert after.keys() == before.keys() and after != before
+        # of a float's 24 significant bits the last 13 or 16 are gone
+        assert not (np.array(list(after.values()), np.float32).view(np.uint32) & ((1 << (13 if kind == "F16" else 16)) - 1)).any()
+
+
+def test_merge_level_and_settings_that_are_refused(spark, tmp_path):
+    docs = documents(spark, "w", **TEXT)
+    count = lambda level: process_documents(docs, EngineConfig(index=CONFIG.index, splitter=SplitterConfig(max_tokens=20, merge_level=level)), HashingEmbedder(32)).splits.count()
+    assert count(0) > count(None)
+    for bad in (EngineConfig(index=IndexConfig(dimensions=32, scalar_kind="I8")), EngineConfig(index=IndexConfig(dimensions=32, scalar_kind="B1")), EngineConfig(index=CONFIG.index, splitter=SplitterConfig(merge_level=2))):
+        with pytest.raises(ValueError, match="scalar_kind|merge_level"):
+            Engine(spark, f"file://{tmp_path}/none", bad, HashingEmbedder(32))
+
+
 def test_query_options(engine):
     everything = engine.query("dog", workspaces=["w1"]).collect()
     star = next(r.doc_id for r in everything if r.url == "u://c")
