@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -42,6 +43,12 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Free the shuffle files of finished jobs now: Spark deletes them when the driver's garbage collector finds that no plan holds them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Saved:
     """A DataFrame written to the shared folder, so that a lost executor costs only the tasks it ran."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ctw
-from tessera.llm.common import give_back, save
+from tessera.llm.common import array_to_numpy, give_back, release, save
 from tessera.llm.shingles import mixed, word_hashes
 
 #: Bytes of text in a block, and in a piece of it that is worked on at once.
@@ -21,20 +21,38 @@ BLOCK, PIECE = 32 << 20, 1 << 20
 #: Hash that stands for the end of a text among the tokens.
 END = np.uint64(0x5851F42D4C957F2D)
 GRAMS, WORDS, TEXT = 0, 1, 2
+#: Number that the totals of the baseline travel under, among those of nodes.
+TOTALS = 1 << 30
 
 
 def squeeze(numbers: np.ndarray, sorted_: bool = False) -> bytes:
-    """64-bit numbers as bytes by place, compressed; sorted ones as differences."""
-    v = np.ascontiguousarray(numbers).view(np.uint64)
-    if sorted_ and len(v):
-        v = np.concatenate([v[:1], v[1:] - v[:-1]])
-    return zstandard.compress(v.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Numbers of eight or four bytes as bytes by place, compressed.
+
+    Sorted ones (of eight) are front-coded: of each only the bytes from the first that differs from the number before.
+    """
+    v = np.ascontiguousarray(numbers)
+    if not sorted_:
+        return zstandard.compress(v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes(), 1)
+    byte = v.astype(">u8").view(np.uint8).reshape(-1, 8)
+    other = np.ones((len(byte), 8), bool)
+    other[1:] = byte[1:] != byte[:-1]
+    shared = other.argmax(axis=1).astype(np.uint8)
+    return zstandard.compress(len(v).to_bytes(8, "little") + shared.tobytes() + b"".join(byte[shared <= k, k].tobytes() for k in range(8)), 1)
 
 
-def unsqueeze(data: bytes, sorted_: bool = False) -> np.ndarray:
+def unsqueeze(data: bytes, sorted_: bool = False, kind: type = np.uint64) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    v = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(v, dtype=np.uint64) if sorted_ else v
+    if not sorted_:
+        return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    shared, at = raw[8 : 8 + n], 8 + n
+    out = np.zeros(n, np.uint64)
+    for k in range(8):
+        new = shared <= k
+        last = np.cumsum(new)  # each number has the byte of the last one that brought a new one
+        out = (out << np.uint64(8)) | raw[at - 1 + last].astype(np.uint64)
+        at += int(last[-1]) if n else 0
+    return out
 
 
 class Counts:
@@ -92,7 +110,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_of(kind: int, key: np.ndarray, shards: int) -> np.ndarray:
-    """Keys of one subtree at depth 2 share a shard; words are dealt by their hash."""
+    """Keys of one subtree at depth SHARED share a shard; words are dealt by their hash."""
     top = key >> np.uint64(ctw.SHARD_BITS) if kind == GRAMS else key
     return (mixed(top) % np.uint64(shards)).astype(np.int32)
 
@@ -108,6 +126,17 @@ def lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 _ROWS = "block long, kind int, shard int, keys binary, data binary"
 
 
+def trees(key: np.ndarray, count: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[ctw.Tree, slice]]:
+    """Trees over consecutive parts of a shard's keys, of about ``most`` keys or one subtree, so that memory is bounded by it."""
+    first = ctw._runs(key >> np.uint64(ctw.SHARD_BITS))
+    begin = 0
+    for end in [*first[1:].tolist(), len(key)]:
+        if end - begin >= most or end == len(key):
+            if end > begin:
+                yield ctw.Tree(key[begin:end], count[begin:end]), slice(begin, end)
+            begin = end
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "kind", "shard", "keys", "data"])
@@ -140,8 +169,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     that follow. The counts are of all training bytes, at every depth; scoring leaves them as they are.
 
     1. Blocks of texts yield their distinct (context, byte) keys and token hashes with training counts.
-    2. These are summed by shard, where a shard owns whole subtrees below two bytes of context. What shards
-       add to the 65,535 nodes above them is summed by aggregation and sent to all.
+    2. These are summed by shard, where a shard owns whole subtrees below three bytes of context. What shards
+       add to the nodes above them is summed by aggregation and sent to all.
     3. Each block's keys get their log probabilities from the shards, and the block's texts are scored with them.
 
     No model is broadcast or held by one task: a task sees a shard, or a block with its own keys.
@@ -167,7 +196,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
             nonlocal number, waiting, size
             found = {GRAMS: Counts(), WORDS: Counts()}
             for piece in _pieces(waiting):
-                yield _batch([(number, TEXT, 0, None, zstandard.compress(pickle.dumps(piece), 1))])
+                yield _batch([(number, TEXT, 0, None, zstandard.compress(pickle.dumps(piece), 3))])
                 for learn in (True, False):
                     texts = [t for i, t in piece if held_out(i) != learn]
                     if texts:
@@ -211,21 +240,23 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     by_shard = lambda df: df.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "block")
     merged = save(by_shard(lists).mapInArrow(merge, _ROWS))
+    release(docs.sparkSession)
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, kind, _, keys, data in _rows(batches):
             count = unsqueeze(data)
             if kind == WORDS:
-                # the totals of the baseline travel as a node that the tree doesn't have
-                parts = (np.array([1 << 20]), np.array([float(count.sum())]), np.array([float((count > 0).sum())]), np.zeros(1))
+                parts = [(np.array([TOTALS]), np.array([float(count.sum())]), np.array([float((count > 0).sum())]), np.zeros(1))]
             else:
-                parts = ctw.top_parts(ctw.Tree(unsqueeze(keys, True), count))
-            yield pa.RecordBatch.from_arrays([pa.array(parts[0].astype(np.int64)), *(pa.array(p, pa.float64()) for p in parts[1:])], ["code", "a", "b", "below"])
+                parts = (tree.parts() for tree, _ in trees(unsqueeze(keys, True), count))
+            for code, *sums in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), *(pa.array(p, pa.float64()) for p in sums)], ["code", "a", "b", "below"])
 
-    sums = merged.mapInArrow(above, "code long, a double, b double, below double").groupBy("code").agg(F.sum("a"), F.sum("b"), F.sum("below")).collect()
-    node = np.array([r for r in sums if r[0] < 1 << 20], dtype=np.float64).reshape(-1, 4)
-    n_train, n_distinct = next(((int(r[1]), int(r[2])) for r in sums if r[0] == 1 << 20), (0, 0))
-    top = docs.sparkSession.sparkContext.broadcast(ctw.top_levels(node[:, 0].astype(np.int64), *node[:, 1:].T))
+    sums = merged.mapInArrow(above, "code long, a double, b double, below double").groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toArrow()
+    code, *values = (array_to_numpy(c) for c in sums.columns)
+    n_train, n_distinct = (int(v[code == TOTALS].sum()) for v in values[:2])
+    node = code < TOTALS
+    top = docs.sparkSession.sparkContext.broadcast(ctw.top_levels(code[node], *(v[node] for v in values)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = value = np.zeros(0)
@@ -234,12 +265,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                 key, count = unsqueeze(keys, True), unsqueeze(data)
                 value = count
                 if kind == GRAMS:
-                    tree, value = ctw.Tree(key, count), np.empty(len(key))
-                    for lo in range(0, len(key), 1 << 19):
-                        value[lo : lo + (1 << 19)] = tree.log10(key[lo : lo + (1 << 19)], top.value)
+                    value = np.empty(len(key), np.float32)
+                    for tree, part in trees(key, count):
+                        value[part] = tree.log10(top.value)
                 continue
-            out = value[np.searchsorted(key, unsqueeze(keys, True))]
-            yield _batch([(block, kind, 0, keys, out.astype(np.float32).tobytes() if kind == GRAMS else squeeze(out))])
+            yield _batch([(block, kind, 0, keys, squeeze(value[np.searchsorted(key, unsqueeze(keys, True))]))])
 
     asked = merged.unionByName(lists.withColumn("data", F.lit(None).cast("binary")))
     answers = by_shard(asked).mapInArrow(answer, _ROWS)
@@ -250,7 +280,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
             if block != at:
                 at, got, tables = block, {GRAMS: [], WORDS: []}, {}
             if kind != TEXT:
-                got[kind].append((unsqueeze(keys, True), np.frombuffer(data, np.float32) if kind == GRAMS else unsqueeze(data)))
+                got[kind].append((unsqueeze(keys, True), unsqueeze(data, kind=np.float32 if kind == GRAMS else np.uint64)))
                 continue
             for k in [k for k in got if k not in tables]:
                 key, value = (np.concatenate(x) for x in zip(*got[k], strict=True))
