@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks whose ids a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 700_000
+#: State of the pair acceptor before the first piece.
+START = -1
+#: Bytes that each memory of a worker may take, what an entry takes besides its key and value, and the longest key.
+REMEMBERED, ENTRY, LONGEST = 96 << 20, 200, 64
+#: Pairs that the acceptor remembers.
+PAIRS = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -44,15 +49,53 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Lexicon:
+    """The pieces as an automaton over symbols, in arrays: arcs by (state, symbol), and of each state the piece that is
+    spelt there (or -1). State 0 is the start; the weight of a path is the piece's."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.arc: dict[int, int] = {}
+        self.piece = [-1]
+        for spelling, number in pieces.items():
+            state = 0
+            for c in spelling:
+                key = state << 21 | ord(c)
+                after = self.arc.get(key)
+                if after is None:
+                    after = self.arc[key] = len(self.piece)
+                    self.piece.append(-1)
+                state = after
+            self.piece[state] = number
+
+
+class Memory(dict):
+    """What was worked out for short keys, up to about ``most`` bytes; then it starts anew."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.used = most, 0
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            self.used += ENTRY + len(key) + len(value)
+            if self.used > self.most:
+                self.clear()
+                self.used = ENTRY + len(key) + len(value)
+            self[key] = value
+        return value
+
+
 class Model:
-    """Pieces, weights and normaliser rules of a model file, compiled to the parts of a transducer.
-
-    - The normaliser maps a space to the space symbol and starts with one (where the file says so).
-    - The lexicon is an automaton over characters whose paths spell pieces, each with weight -score; a character
-      that is no piece goes to the pieces of its UTF-8 bytes (byte fallback), or else to the unknown piece.
-    - For a merge model (BPE) a path is an encoding only if every two pieces in a row are what merging makes of the two
-      together; so the lexicon is composed with an acceptor of such pairs, the others having infinite weight. Exactly
-      one path is left, and it is the merge result.
+    """The transducer that a model file stands for, the composition of
+
+    - the normaliser, which writes a space as the space symbol and puts one in front (where the file says so);
+    - the lexicon, whose paths spell pieces, each with weight -score;
+    - byte fallback: a symbol that is no piece may be read as the pieces of its UTF-8 bytes, or as the unknown piece, with
+      a weight above that of any piece;
+    - an acceptor of pairs of pieces. For a merge model (BPE) a path is an encoding only if every two pieces in a row are
+      what merging makes of the two together; other pairs have infinite weight. For other models all pairs weigh nothing.
+
+    A text is composed with it and the tropical shortest path is its encoding. Of a merge model just one path has finite weight.
     """
 
     def __init__(self, path: str):
@@ -65,135 +108,116 @@ class Model:
             raise ValueError("normalisers with character maps aren't supported")
         if rules.get(4, 1):
             raise ValueError("normalisers that remove white space aren't supported")
-        self.merging = trainer.get(3, 1) == 2
         self.prefix = bool(rules.get(3, 1))
-        self.pieces = [p[1].decode() for p in pieces]
-        self.kinds = [p.get(3, NORMAL) for p in pieces]
-        self.scores = [struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces]
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.unknown = self.kinds.index(UNKNOWN)
-        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        self.longest = max(map(len, self.ids))
-        #: All beginnings of pieces: the states of the lexicon.
-        self.states = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        #: Neighbours that stand together in some piece; elsewhere every path has a cut.
-        self.joined = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
-        spelt = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        names, self.kinds = [p[1].decode() for p in pieces], [p.get(3, NORMAL) for p in pieces]
+        scores = [struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces]
+        spelt = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(names, self.kinds, strict=True)]
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
         self.size = np.array([len(s) for s in spelt], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.allowed: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.compile(names, self.kinds, scores, trainer.get(3, 1) == 2)
+
+    def compile(self, names: list[str], kinds: list[int], scores: list[float], merging: bool) -> None:
+        self.names, self.merging = names, merging
+        self.ids = {p: i for i, (p, k) in enumerate(zip(names, kinds, strict=True)) if k in (NORMAL, USER)}
+        self.lexicon = Lexicon(self.ids)
+        self.weight = [-s for s in scores]
+        self.heaviest = max((self.weight[i] for i in self.ids.values()), default=0.0) + 10.0
+        self.unknown = kinds.index(UNKNOWN)
+        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(names, kinds, strict=True)) if k == BYTE}
+        #: Neighbours that stand together in some piece; elsewhere every path has a cut.
+        self.joined = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
+        self.pairs: dict[tuple[int, int], float] = {}
+        self.parts, self.words, self.chunks = Memory(REMEMBERED), Memory(REMEMBERED), Memory(REMEMBERED)
 
     def merged(self, text: str) -> list[str]:
-        """The pieces that merging makes of a text: again and again the neighbours whose joint piece scores best."""
+        """The pieces that merging makes of a text: again and again the neighbours whose joint piece weighs least."""
         out = list(text)
         while True:
-            best, at = None, -1
+            best, at = math.inf, -1
             for i in range(len(out) - 1):
                 n = self.ids.get(out[i] + out[i + 1])
-                if n is not None and (best is None or self.scores[n] > best):
-                    best, at = self.scores[n], i
-            if best is None:
+                if n is not None and self.weight[n] < best:
+                    best, at = self.weight[n], i
+            if at < 0:
                 return out
             out[at : at + 2] = [out[at] + out[at + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the pair acceptor lets piece b follow piece a."""
-        known = self.allowed.get((a, b))
+    def pair(self, a: int, b: int) -> float:
+        """Weight that the pair acceptor gives piece b after piece a (START: b is the first). Symbols that are no piece have numbers below START."""
+        known = self.pairs.get((a, b))
         if known is None:
-            if len(self.allowed) > REMEMBERED:
-                self.allowed.clear()
-            known = self.allowed[a, b] = not self.merging or self.merged(a + b) == [a, b]
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            parts = [self.names[n] if n >= 0 else chr(START - 1 - n) for n in (a, b) if n != START]
+            known = self.pairs[a, b] = 0.0 if self.merged("".join(parts)) == parts else math.inf
         return known
 
-    def arcs(self, text: str, at: int) -> list[str]:
-        """Pieces that the lexicon spells from ``at`` on, shortest first; a single character that is none stands for its bytes."""
-        part = text[at]
-        out = [part]
-        if part in self.states:
-            ids, states = self.ids, self.states
-            for end in range(at + 2, min(len(text), at + self.longest) + 1):
-                part = text[at:end]
-                if part not in states:
-                    break
-                if part in ids:
-                    out.append(part)
-        return out
-
-    def only_path(self, text: str) -> list[str]:
-        """The path of finite weight of a merge model: depth first, longest arcs first.
-
-        Each place is reached by one path at most, so a place that led nowhere is not tried again.
+    def arcs(self, symbols: str, at: int) -> Iterator[tuple[int, int, float]]:
+        """(end, piece, weight) of the lexicon's paths from ``at`` on, and of the fallback's if the symbol is no piece."""
+        arc, piece = self.lexicon.arc, self.lexicon.piece
+        state, alone = 0, False
+        for end in range(at, len(symbols)):
+            state = arc.get(state << 21 | ord(symbols[end]))
+            if state is None:
+                break
+            n = piece[state]
+            if n >= 0:
+                alone |= end == at
+                yield end + 1, n, self.weight[n]
+        if not alone:
+            yield at + 1, START - 1 - ord(symbols[at]), self.heaviest
+
+    def shortest(self, symbols: str) -> list[int]:
+        """Pieces on the path of least weight that reads ``symbols``; of symbols that are no piece numbers as in ``pair``.
+
+        Nodes of the composition are (place, state of the pair acceptor), the state being the last piece of a merge model and
+        START of others. Places are in topological order, so every arc is relaxed once, and nodes of infinite weight don't arise.
         """
-        path: list[str] = []
-        left: list[list[str]] = []
-        dead: set[int] = set()
-        at, arcs, allowed, last = 0, self.arcs(text, 0), self.allowed, ""
-        while True:
-            while arcs:
-                part = arcs.pop()
-                if at + len(part) in dead:
-                    continue
-                if not last or (allowed[last, part] if (last, part) in allowed else self.follows(last, part)):
-                    break
-            else:
-                dead.add(at)
-                at -= len(path.pop())
-                last = path[-1] if path else ""
-                arcs = left.pop()
+        reached: list[dict[int, tuple]] = [{} for _ in range(len(symbols) + 1)]
+        reached[0][START] = (0.0, 0, START, START)
+        merging, pairs = self.merging, self.pairs
+        for at in range(len(symbols)):
+            here = reached[at]
+            if not here:
                 continue
-            path.append(part)
-            at, last = at + len(part), part
-            if at == len(text):
-                return path
-            left.append(arcs)
-            arcs = self.arcs(text, at)
-
-    def shortest(self, text: str) -> list[str]:
-        """Pieces on the path of least weight through the lexicon (and the pair acceptor) that spells ``text``."""
-        if self.merging:
-            return self.only_path(text)
-        best: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * len(text)
-        for at in range(len(text)):
-            for part in self.arcs(text, at):
-                n = self.ids.get(part)
-                weight = best[at][0] + (1e10 if n is None else -self.scores[n])
-                if weight < best[at + len(part)][0]:
-                    best[at + len(part)] = (weight, part)
-        out, at = [], len(text)
+            for end, n, weight in self.arcs(symbols, at):
+                for state, (before, *_) in here.items():
+                    total = before + weight
+                    if merging:
+                        total += pairs[state, n] if (state, n) in pairs else self.pair(state, n)
+                        if total == math.inf:
+                            continue
+                    known = reached[end].get(n if merging else START)
+                    if known is None or total < known[0]:
+                        reached[end][n if merging else START] = (total, at, state, n)
+        out, at = [], len(symbols)
+        state = min(reached[at], key=lambda s: reached[at][s][0])
         while at:
-            out.append(best[at][1])
-            at -= len(out[-1])
+            _, at, state, n = reached[at][state]
+            out.append(n)
         return out[::-1]
 
     def part_ids(self, part: str) -> bytes:
-        """Ids of a stretch of text that no piece reaches beyond."""
+        """Ids of a stretch of symbols that no piece reaches beyond."""
         ids = []
-        for piece in self.shortest(part):
-            n = self.ids.get(piece)
-            if n is not None:
+        for n in self.shortest(part):
+            if n >= 0:
                 ids.append(n)
             elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                ids += [self.bytes[b] for b in chr(START - 1 - n).encode("utf-8", "surrogatepass")]
             else:
                 ids.append(self.unknown)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk_ids(self, chunk: str) -> bytes:
-        """Ids of a normalised text, cut wherever two neighbours are in no piece together."""
+        """Ids of normalised text, cut wherever two neighbours are in no piece together."""
         out, begin = [], 0
         for at in range(1, len(chunk) + 1):
             if at == len(chunk) or chunk[at - 1 : at + 1] not in self.joined:
                 part = chunk[begin:at]
                 ids = self.parts.get(part)
-                if ids is None:
-                    if len(self.parts) > REMEMBERED:
-                        self.parts.clear()
-                    ids = self.parts[part] = self.part_ids(part)
-                out.append(ids)
+                out.append(self.parts.keep(part, self.part_ids(part)) if ids is None else ids)
                 begin = at
         return b"".join(out)
 
@@ -218,9 +242,8 @@ class Model:
                 if ids is None:
                     p = pieces[i]
                     chunk = p.replace(" ", SPACE) if not plain or p[:1] == "\n" else SPACE + p.replace(" ", SPACE)
-                    found[i] = known.get(p) or known.setdefault(p, self.chunk_ids(chunk))
-            if len(known) > REMEMBERED:
-                known.clear()
+                    ids = known.get(p)
+                    found[i] = known.keep(p, self.chunk_ids(chunk)) if ids is None else ids
         return b"".join(found)
 
     def decode(self, ids: np.ndarray) -> bytes:

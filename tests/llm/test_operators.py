@@ -528,13 +528,55 @@ def test_pieces_operator(spark, library):
     assert encode(frame(spark, []), tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
-def test_path_of_least_weight(piece_model):
+def hand_made(pieces, merging):
     m = Model.__new__(Model)
-    pieces = {"a": -3.0, "b": -3.0, "ab": -5.0, "abc": -9.5, "c": -1.0, "bc": -4.5}
-    m.ids = {p: i for i, p in enumerate(pieces)}
-    m.scores, m.merging, m.longest = list(pieces.values()), False, 3
-    m.states = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
-    assert m.shortest("abc") == ["ab", "c"] and m.shortest("bc") == ["b", "c"] and m.shortest("axb") == ["a", "x", "b"]
+    m.compile(["<unk>", *pieces], [2] + [1] * len(pieces), [0.0, *pieces.values()], merging)
+    return m
+
+
+def spelt(m, symbols):
+    return [m.names[n] if n >= 0 else chr(-2 - n) for n in m.shortest(symbols)]
+
+
+def test_path_of_least_weight():
+    m = hand_made({"a": -3.0, "b": -3.0, "ab": -5.0, "abc": -9.5, "c": -1.0, "bc": -4.5}, False)
+    assert spelt(m, "abc") == ["ab", "c"] and spelt(m, "bc") == ["b", "c"] and spelt(m, "axb") == ["a", "x", "b"]
+    assert m.shortest("") == []
+
+
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=4), st.floats(-9, -0.5), max_size=14), st.text("abcd", max_size=9))
+@settings(deadline=None, max_examples=200)
+def test_path_weight_is_the_least_of_all_cuts(pieces, text):
+    m = hand_made(pieces, False)
+    weight = lambda p: -pieces[p] if p in pieces else m.heaviest if len(p) == 1 else float("inf")
+    best = [0.0] + [min(best_of(text, weight, n)) for n in range(1, len(text) + 1)]
+    path = spelt(m, text)
+    assert "".join(path) == text and sum(map(weight, path)) == pytest.approx(best[-1], rel=1e-6)
+
+
+def best_of(text, weight, n):
+    """Weights of all ways to cut the first n characters."""
+    for cuts in range(1 << (n - 1)):
+        edges = [0, *(k for k in range(1, n) if cuts >> (k - 1) & 1), n]
+        yield sum(weight(text[i:j]) for i, j in zip(edges, edges[1:], strict=False))
+
+
+@given(st.lists(st.text("ab", min_size=2, max_size=5), unique=True, max_size=8), st.text("abc", max_size=10))
+@settings(deadline=None, max_examples=200)
+def test_only_path_of_a_merge_model_is_the_merge_result(merges, text):
+    """Pieces as a trainer makes them: each joins two earlier ones, so it has a worse score."""
+    known = ["a", "b"]
+    for m in sorted(merges, key=len):
+        if any(m[:k] in known and m[k:] in known for k in range(1, len(m))):
+            known.append(m)
+    m = hand_made({p: -float(n) for n, p in enumerate(known)}, True)
+    assert spelt(m, text) == m.merged(text)
+
+
+def test_long_words_are_not_remembered(piece_model, library):
+    word = "abcdefgh" * 2000
+    assert np.frombuffer(piece_model.encode(word), "<u4").tolist() == library.encode(word)
+    assert word not in piece_model.words and max(map(len, piece_model.words), default=0) <= 64
 
 
 # --- 10 ------------------------------------------------------------------------------------------------------------
