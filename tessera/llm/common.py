@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -43,10 +42,8 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Free the shuffle files of finished jobs now: Spark deletes them when the driver's garbage collector finds that no plan holds them."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Lets Spark delete the shuffle files of a write when it ends; what was written replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Saved:
@@ -54,7 +51,12 @@ class Saved:
 
     def __init__(self, df: DataFrame):
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession)
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import ctw
-from tessera.llm.common import array_to_numpy, give_back, release, save
+from tessera.llm.common import array_to_numpy, give_back, save
 from tessera.llm.shingles import mixed, word_hashes
 
 #: Bytes of text in a block, and in a piece of it that is worked on at once.
@@ -115,6 +115,22 @@ def shard_of(kind: int, key: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(top) % np.uint64(shards)).astype(np.int32)
 
 
+def dealt(pieces: Iterable[list[tuple]], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, keys, training counts, shards) of a block's pieces, distinct keys in order of shard and key."""
+    found = {GRAMS: Counts(), WORDS: Counts()}
+    for piece in pieces:
+        for learn in (True, False):
+            texts = [t for i, t in piece if held_out(i) != learn]
+            if texts:
+                found[GRAMS].add_all(ctw.keys_of(texts)[0], learn)
+                found[WORDS].add_all(tokens(texts)[0], learn)
+    for kind, counts in found.items():
+        key, count = counts.settle()
+        shard = shard_of(kind, key, shards)
+        order = np.argsort(shard, kind="stable")
+        yield kind, key[order], count[order], shard[order]
+
+
 def lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """``values`` of the keys ``wanted``, all of which are in the sorted ``table``."""
     order = np.argsort(wanted)
@@ -171,7 +187,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     1. Blocks of texts yield their distinct (context, byte) keys and token hashes with training counts.
     2. These are summed by shard, where a shard owns whole subtrees below three bytes of context. What shards
        add to the nodes above them is summed by aggregation and sent to all.
-    3. Each block's keys get their log probabilities from the shards, and the block's texts are scored with them.
+    3. Each block's keys get their log probabilities from the shards, in the order in which it sent them, and the block's texts are
+       scored with them.
 
     No model is broadcast or held by one task: a task sees a shard, or a block with its own keys.
 
@@ -194,19 +211,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, waiting, size
-            found = {GRAMS: Counts(), WORDS: Counts()}
-            for piece in _pieces(waiting):
-                yield _batch([(number, TEXT, 0, None, zstandard.compress(pickle.dumps(piece), 3))])
-                for learn in (True, False):
-                    texts = [t for i, t in piece if held_out(i) != learn]
-                    if texts:
-                        found[GRAMS].add_all(ctw.keys_of(texts)[0], learn)
-                        found[WORDS].add_all(tokens(texts)[0], learn)
-            for kind, counts in found.items():
-                key, count = counts.settle()
-                shard = shard_of(kind, key, shards)
-                order = np.argsort(shard, kind="stable")
-                key, count, shard = key[order], count[order], shard[order]
+            pieces = list(_pieces(waiting))
+            for piece in pieces:
+                yield _batch([(number, TEXT, 0, None, zstandard.compress(pickle.dumps(piece), 6))])
+            for kind, key, count, shard in dealt(pieces, shards):
                 new = np.append(ctw._runs(shard), len(shard)).tolist()
                 yield _batch([(number, kind, int(shard[i]), squeeze(key[i:j], True), squeeze(count[i:j])) for i, j in zip(new, new[1:], strict=False)])
             number, waiting, size = number + 1, [], 0
@@ -240,7 +248,6 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     by_shard = lambda df: df.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "block")
     merged = save(by_shard(lists).mapInArrow(merge, _ROWS))
-    release(docs.sparkSession)
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, kind, _, keys, data in _rows(batches):
@@ -260,7 +267,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = value = np.zeros(0)
-        for block, kind, _, keys, data in _rows(batches):
+        for block, kind, shard, keys, data in _rows(batches):
             if block < 0:
                 key, count = unsqueeze(keys, True), unsqueeze(data)
                 value = count
@@ -269,36 +276,47 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                     for tree, part in trees(key, count):
                         value[part] = tree.log10(top.value)
                 continue
-            yield _batch([(block, kind, 0, keys, squeeze(value[np.searchsorted(key, unsqueeze(keys, True))]))])
+            yield _batch([(block, kind, shard, None, squeeze(value[np.searchsorted(key, unsqueeze(keys, True))]))])
 
     asked = merged.unionByName(lists.withColumn("data", F.lit(None).cast("binary")))
     answers = by_shard(asked).mapInArrow(answer, _ROWS)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, got, tables = None, {GRAMS: [], WORDS: []}, {}
-        for block, kind, _, keys, data in _rows(batches):
-            if block != at:
-                at, got, tables = block, {GRAMS: [], WORDS: []}, {}
-            if kind != TEXT:
-                got[kind].append((unsqueeze(keys, True), unsqueeze(data, kind=np.float32 if kind == GRAMS else np.uint64)))
-                continue
-            for k in [k for k in got if k not in tables]:
-                key, value = (np.concatenate(x) for x in zip(*got[k], strict=True))
+        def flush(got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+            tables = {}
+            for kind, key, _, _ in dealt((pickle.loads(zstandard.decompress(p)) for p in got[TEXT]), shards):
+                # answers come in the order in which the block dealt its keys
+                value = np.concatenate([unsqueeze(p, kind=np.float32 if kind == GRAMS else np.uint64) for p in got[kind]])
+                if len(value) != len(key):
+                    raise RuntimeError("a block's answers don't fit its texts")
                 order = np.argsort(key)
-                tables[k] = key[order], value[order]
-                got[k] = []
-            ids, texts = zip(*pickle.loads(zstandard.decompress(data)), strict=True)
-            key, begin = ctw.keys_of(list(texts))
-            total = np.add.reduceat(lookup(*tables[GRAMS], key).astype(np.float64), begin[:-1])
-            word, first = tokens(list(texts))
-            c = lookup(*tables[WORDS], word).astype(np.float64)
-            unigram = np.add.reduceat(np.log10((c + 0.5) / (n_train + 0.5 * (n_distinct + 1))), first[:-1])
-            known = np.add.reduceat((c > 0).astype(np.int64), first[:-1])
-            size = np.array([len(t) for t in texts], np.int64)
-            bits = -total / np.log10(2) / (size + 1)
-            columns = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n_train)), *map(pa.array, (unigram, total, size, bits))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+                tables[kind] = key[order], value[order]
+            for packed in got[TEXT]:
+                yield evaluated(pickle.loads(zstandard.decompress(packed)), tables)
+
+        at, got = None, {}
+        for block, kind, _, _, data in _rows(batches):
+            if block != at:
+                if at is not None:
+                    yield from flush(got)
+                at, got = block, {GRAMS: [], WORDS: [], TEXT: []}
+            got[kind].append(data)
+        if at is not None:
+            yield from flush(got)
         give_back()
 
-    parts = answers.unionByName(made.filter(F.col("kind") == TEXT)).repartition("block").sortWithinPartitions("block", "kind")
+    def evaluated(docs: list[tuple], tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, texts = zip(*docs, strict=True)
+        key, begin = ctw.keys_of(list(texts))
+        total = np.add.reduceat(lookup(*tables[GRAMS], key).astype(np.float64), begin[:-1])
+        word, first = tokens(list(texts))
+        c = lookup(*tables[WORDS], word).astype(np.float64)
+        unigram = np.add.reduceat(np.log10((c + 0.5) / (n_train + 0.5 * (n_distinct + 1))), first[:-1])
+        known = np.add.reduceat((c > 0).astype(np.int64), first[:-1])
+        size = np.array([len(t) for t in texts], np.int64)
+        bits = -total / np.log10(2) / (size + 1)
+        columns = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n_train)), *map(pa.array, (unigram, total, size, bits))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
+
+    parts = answers.unionByName(made.filter(F.col("kind") == TEXT)).repartition("block").sortWithinPartitions("block", "kind", "shard")
     return parts.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
