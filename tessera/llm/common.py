@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -17,14 +18,21 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession) -> str:
     """A new folder name below the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is set.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and all runs in one process, a
+    temporary folder is set. What lies there is deleted when the driver ends, if it hasn't been before.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # what doesn't exist yet can't be marked
+    fs.deleteOnExit(p)
+    return path
 
 
 def give_back() -> None:
@@ -36,6 +44,27 @@ def give_back() -> None:
         pass
 
 
+class Memory(dict):
+    """What was worked out for short keys (text or bytes), up to about ``most`` bytes; then it starts anew."""
+
+    #: What an entry takes besides its key and value, and the longest key.
+    ENTRY, LONGEST = 200, 64
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.used = most, 0
+
+    def keep(self, key: str | bytes, value: bytes) -> bytes:
+        if len(key) <= self.LONGEST:
+            size = self.ENTRY + len(key) + len(value)
+            if self.used + size > self.most:
+                self.clear()
+                self.used = 0
+            self.used += size
+            self[key] = value
+        return value
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder, in whatever file system it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,7 +83,7 @@ class Saved:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd").parquet(self.path)
+            df.write.mode("append").option("compression", "zstd").parquet(self.path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)

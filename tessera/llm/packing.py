@@ -13,20 +13,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import give_back, text_slices
+from tessera.llm.common import Memory, give_back, text_slices
 
 _TOKENIZERS: dict[str, Words] = {}
-#: Words whose ids a worker remembers; beyond that the memory starts anew.
-REMEMBERED = 1_000_000
+#: Bytes that the words a worker remembers may take.
+REMEMBERED = 256 << 20
 
 
-class Words(dict):
-    """Word (bytes, A-Z lower-cased, without white space) -> its ids as little-endian bytes."""
+class Words:
+    """Words (bytes, A-Z lower-cased, without white space) and their ids as little-endian bytes; short words are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        self.known = Memory(REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
@@ -45,40 +46,42 @@ class Words(dict):
         data = ids.tobytes()
         return [data[i:j] for i, j in itertools.pairwise(cuts)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Remember new words. A comma or full stop after a letter is a token of its own, so most
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words. A comma or full stop after a letter is a token of its own, so most
         words with one follow from the word without."""
         letters = lambda w: w.decode("utf-8", "replace").isalpha()
         ends = {w: w[:-1] for w in words if w[-1:] in (b",", b".") and letters(w[:-1])}
-        new = [w for w in {ends.get(w, w) for w in words} | {b",", b"."} if w not in self]
+        parts = {ends.get(w, w) for w in words} | {b",", b"."}
+        out = {w: self.known[w] for w in parts if w in self.known}
+        new = [w for w in parts if w not in out]
         for made, part in ((self.spelled, [w for w in new if letters(w)]), (self.encoded, [w for w in new if not letters(w)])):
             for i in range(0, len(part), 512):
-                self.update(zip(part[i : i + 512], made(part[i : i + 512]), strict=True))
-        self.update((w, self[base] + self[w[-1:]]) for w, base in ends.items())
-
-
-def encoder(path: str):
-    """A function that turns UTF-8 texts into ids (as bytes), as the tokenizer file at ``path`` does.
-
-    The tokenizer lower-cases, never joins what ASCII white space parts, and drops it; so each
-    such word is encoded once and its ids are remembered.
-    """
-    known = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Words(path))
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-        get = known.get
+                out.update(zip(part[i : i + 512], made(part[i : i + 512]), strict=True))
+        out.update({w: out[base] + out[w[-1:]] for w, base in ends.items()})
+        for w in (*new, *ends):
+            self.known.keep(w, out[w])
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (as bytes) of UTF-8 texts, as the tokenizer file says.
+
+        The tokenizer lower-cases, never joins what ASCII white space parts, and drops it; so each
+        such word is encoded once and its ids are remembered.
+        """
+        get = self.known.get
         words = [text.lower().split() for text in texts]
         found = [list(map(get, ws)) for ws in words]
         lack = [(ws, ids, [k for k, v in enumerate(ids) if v is None]) for ws, ids in zip(words, found, strict=True) if None in ids]
-        known.learn({ws[k] for ws, _, places in lack for k in places})
+        fresh = self.learn({ws[k] for ws, _, places in lack for k in places}) if lack else {}
         for ws, ids, places in lack:
             for k in places:
-                ids[k] = known[ws[k]]
+                ids[k] = fresh[ws[k]]
         return [b"".join(ids) for ids in found]
 
-    return encode
+
+def encoder(path: str) -> Words:
+    """The encoder for the tokenizer file at ``path``, one for each worker."""
+    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Words(path))
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -151,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = struct.pack("<I", end_id)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         out: list[tuple] = []

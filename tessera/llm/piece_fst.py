@@ -13,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import Memory
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: State of the pair acceptor before the first piece.
 START = -1
-#: Bytes that each memory of a worker may take, what an entry takes besides its key and value, and the longest key.
-REMEMBERED, ENTRY, LONGEST = 96 << 20, 200, 64
+#: Bytes that each memory of a worker may take.
+REMEMBERED = 96 << 20
 #: Pairs that the acceptor remembers.
 PAIRS = 500_000
 
@@ -68,23 +70,6 @@ class Lexicon:
             self.piece[state] = number
 
 
-class Memory(dict):
-    """What was worked out for short keys, up to about ``most`` bytes; then it starts anew."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.used = most, 0
-
-    def keep(self, key: str, value: bytes) -> bytes:
-        if len(key) <= LONGEST:
-            self.used += ENTRY + len(key) + len(value)
-            if self.used > self.most:
-                self.clear()
-                self.used = ENTRY + len(key) + len(value)
-            self[key] = value
-        return value
-
-
 class Model:
     """The transducer that a model file stands for, the composition of
 
