@@ -20,20 +20,30 @@ def signs(rows: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     return (side * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
+def first_met(codes: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs that share the code of table ``at``, those that share none of an earlier table; few codes are compared of most others."""
+    for t in range(int(at.max(initial=0))):
+        keep = (at[i] <= t) | (codes[i, t] != codes[j, t])
+        if not keep.all():
+            i, j = i[keep], j[keep]
+    return i, j
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", least: float = 0.98, tables: int = 40, bits: int = 20, seed: int = 23, tile: int = 1024) -> DataFrame:
     """Link vectors of one label whose cosine is ``least`` or more, and join what links connect.
 
     Equal vectors of a label form one class, found by an aggregation. The classes' first vectors are
     hashed to ``bits`` signs in each of ``tables`` tables; those that share a bucket meet in tiles
-    of bounded size, where cosines are computed in doubles. A pair counts in the first table
-    in which its codes agree, so links are counted without listing the pairs; of each tile only sums
+    of bounded size. A pair is compared, by its cosine in doubles, only in the first table
+    in which its codes agree, so links are counted once without listing the pairs; of each tile only sums
     and a spanning star of its linked groups are kept, both linear in the rows of the tile. At
     the given defaults a pair at the threshold is missed with probability 4e-6.
 
     Rows: vec_id, n_links (other vectors linked directly), component_id (smallest id reached), kept.
     Vectors that are null, zero or hold null or non-finite components, or whose label is null, link with
-    nothing. Other widths never link. Repeated ids: one row (least label and vector) counts. A null
-    id is left out. Empty table: no rows. Other columns are ignored.
+    nothing. Other widths never link. There is one row for each input row. Repeated ids: one of the rows (least label and vector) is
+    compared, and all of them get its result. A null id links with nothing, and has no component. Empty table: no rows. Other
+    columns are ignored.
     """
     label = F.col("raw_label").cast("string")
     all_rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), (vectors[label_col] if label_col else F.lit("")).alias("raw_label"))
@@ -70,12 +80,12 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
             rep, n = array_to_numpy(table["rep"]), array_to_numpy(table["n"])
             add, links = np.zeros(len(rows), np.int64), []
             for i, j in pairs_of_tiles(table, keys, 1 << 18):
+                i, j = first_met(codes, at, i, j)
                 close = np.einsum("ij,ij->i", rows[i], rows[j]) >= least
                 i, j = i[close], j[close]
                 links.append((i, j))
-                first = np.argmax(codes[i] == codes[j], axis=1) == at[i]
-                np.add.at(add, i[first], n[j[first]])
-                np.add.at(add, j[first], n[i[first]])
+                np.add.at(add, i, n[j])
+                np.add.at(add, j, n[i])
             if sum(len(i) for i, _ in links):
                 i, j = (np.concatenate(x) for x in zip(*links, strict=True))
                 order = np.argsort(rep, kind="stable")
@@ -93,6 +103,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     of_class = reps.select("rep", "n").join(counts, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("rep", (F.col("n") - 1 + F.coalesce("add", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     member = good.join(classes.select("label", "vec", "rep"), ["label", "vec"]).select("id", "rep")
-    out = all_rows.select("id").join(member, "id", "left").join(of_class, "rep", "left")
+    of_id = member.join(of_class, "rep")
+    every = vectors.select(vectors[id_col].cast("long").alias("id"))
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return every.join(of_id, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
