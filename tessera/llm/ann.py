@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import array_to_numpy, save, starts, whole_groups
 from tessera.llm.vectors import matrix, unit, usable
 
 #: Rows of the index in one tile, and queries in one tile, at most on average.
 INDEX_TILE, QUERY_TILE = 4096, 2048
+#: Most rows of a table of buckets that is sent to all.
+SMALL = 200_000
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -61,25 +64,44 @@ def _hashed(df: DataFrame, tables: int, probes: int, seed: int, only_table: int
                     rows = unit(matrix(part.column("vec")))
                     for t in range(tables) if only_table is None else (only_table,):
                         found = axes(rotate(rows, t, seed), probes) + (t << 32)
-                        take = np.repeat(np.arange(len(rows)), found.shape[1])
-                        yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(take)) for c in ("id", "vec", "width")), pa.array(found.ravel(), pa.int64())], ["id", "vec", "width", "bucket"])
+                        take = pa.array(np.repeat(np.arange(len(rows)), found.shape[1]))
+                        yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("id", "vec", "width")), pa.array(found.ravel(), pa.int64())], ["id", "vec", "width", "bucket"])
 
-    return df.mapInArrow(run, "id long, vec array<double>, width int, bucket long")
+    return df.mapInArrow(run, f"id long, vec {df.schema['vec'].dataType.simpleString()}, width int, bucket long")
 
 
-def _dealt(rows: DataFrame, queries: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, tables: int, probes: int, seed: int, only_table: int | None = None) -> DataFrame:
+    """(width, bucket, rows of it): counted where the rows are, then added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = array_to_numpy(batch.column("width"))
+            for w in np.unique(widths):
+                rows = unit(matrix(batch.filter(pa.array(widths == w)).column("vec")))
+                for t in range(tables) if only_table is None else (only_table,):
+                    for lo in range(0, len(rows), 1024):
+                        axis, n = np.unique(axes(rotate(rows[lo : lo + 1024], t, seed), probes), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(axis), w, np.int32)), pa.array(axis + (t << 32)), pa.array(n)], ["width", "bucket", "n"])
+
+    return df.mapInArrow(run, "width int, bucket long, n long").groupBy("width", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _dealt(rows: DataFrame, queries: DataFrame, tables: int, probes: int, seed: int, only_table: int | None = None) -> DataFrame:
     """Index rows and probes of a bucket meet in tiles of bounded size: each row goes to every block of
-    the other kind, so hot buckets become many tasks."""
+    the other kind, so hot buckets become many tasks. A vector travels once for each table, as stored."""
     key = ["width", "bucket"]
-    n = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    m = queries.groupBy(*key).agg(F.count("*").alias("m"))
-    shape = n.join(m, key).select(*key, F.ceil(F.col("n") / INDEX_TILE).cast("int").alias("a"), F.ceil(F.col("m") / QUERY_TILE).cast("int").alias("b"))
+    n = _counted(rows, tables, 1, seed, only_table)
+    m = _counted(queries, tables, probes, seed, only_table).withColumnRenamed("n", "m")
+    shape = save(n.join(m, key).select(*key, F.ceil(F.col("n") / INDEX_TILE).cast("int").alias("a"), F.ceil(F.col("m") / QUERY_TILE).cast("int").alias("b")))
+    # a width has at most 4 * width buckets in a table; only many widths could make this large
+    if shape.count() <= SMALL:
+        shape = F.broadcast(shape)
 
     def deal(df: DataFrame, own: str, other: str, kind: int) -> DataFrame:
         out = df.join(shape, key).withColumn(own, F.pmod(F.xxhash64(F.lit(5), "id"), F.col(own)).cast("int"))
         return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(*key, "a", "b", F.lit(kind).alias("kind"), "id", "vec")
 
-    return deal(rows, "a", "b", 0).unionByName(deal(queries, "b", "a", 1))
+    return deal(_hashed(rows, tables, 1, seed, only_table), "a", "b", 0).unionByName(deal(_hashed(queries, tables, probes, seed, only_table), "b", "a", 1))
 
 
 def _nearest_in_tiles(dealt: DataFrame, k: int) -> DataFrame:
@@ -108,6 +130,12 @@ def _nearest_in_tiles(dealt: DataFrame, k: int) -> DataFrame:
     return sorted_.mapInArrow(run, "query_id long, vec_id long").distinct()
 
 
+def power_of_two(vector: F.Column) -> F.Column:
+    """The power of two that brings a vector's largest component near one."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double"))))
+
+
 def exact_cosine(a: F.Column, b: F.Column) -> F.Column:
     """Cosine of two array columns, in doubles, from left to right."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -125,25 +153,34 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
 
     Rows: query_id, rank from 1, vec_id, score; ties go to the smaller vec_id. Vectors that are null,
     zero or hold null or non-finite components take no part; those of another width are never
-    compared. Repeated ids: one of the rows (least vector) counts. Null ids take no part. Empty
+    compared. Components may be of any size. Repeated ids: one of the rows (least vector) counts. Null ids take no part. Empty
     tables: no rows. Other columns are ignored.
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        out = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<double>").alias("vec"))
+        kind = df.schema[vec_col].dataType
+        own = kind if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.ArrayType(T.DoubleType())
+        out = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast(own).alias("vec"))
         out = out.filter(F.col("id").isNotNull() & usable(F.col("vec")))
-        return out.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("width", F.size("vec"))
-
-    rows, asked = save(clean(vectors)), save(clean(queries))
-    found = save(_nearest_in_tiles(_dealt(_hashed(rows, tables, 1, seed), _hashed(asked, tables, probes, seed)), k))
+        # a power of two for a factor changes no digit of a cosine, and keeps squares in range
+        out = out.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("factor", power_of_two(F.col("vec")))
+        return out.select("id", F.transform("vec", lambda x: x.cast("double") * F.col("factor")).cast(own).alias("vec"), F.size("vec").alias("width"))
+
+    asked = save(clean(queries))
+    # of equal vectors only the k + 1 of smallest id can be among a query's k nearest
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    rows = save(clean(vectors).withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy"))
+    found = save(_nearest_in_tiles(_dealt(rows, asked, tables, probes, seed), k))
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    short = asked.join(enough, "id", "left_anti")
-    every = 1 << 30  # more probes than axes
-    rest = _nearest_in_tiles(_dealt(_hashed(rows, 1, 1, seed, 0), _hashed(short, 1, every, seed, 0)), k)
-    pairs = found.unionByName(rest).distinct()
+    short = save(asked.join(enough, "id", "left_anti"))
+    pairs = found
+    if short.limit(1).count():
+        every = 1 << 30  # more probes than axes
+        pairs = found.unionByName(_nearest_in_tiles(_dealt(rows, short, 1, every, seed, 0), k)).distinct()
     q = asked.select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     v = rows.select(F.col("id").alias("vec_id"), F.col("vec"))
-    scored = pairs.join(q, "query_id").join(v, "vec_id").select("query_id", "vec_id", exact_cosine(F.col("query_vec"), F.col("vec")).alias("score"))
+    double = lambda c: F.col(c).cast("array<double>")
+    scored = pairs.join(q, "query_id").join(v, "vec_id").select("query_id", "vec_id", exact_cosine(double("query_vec"), double("vec")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -12,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import archives, ctw, suffix_runs
+from tessera.llm import ann, archives, ctw, suffix_runs
 from tessera.llm.ann import hadamard, rotate, search
+from tessera.llm.ann import _nearest_in_tiles as nearest_in_tiles
 from tessera.llm.common import components, scratch
 from tessera.llm.embedding_dedup import near_duplicates
 from tessera.llm.jaccard_join import intersections, join, least_matches
@@ -333,6 +334,29 @@ def test_search_among_few_and_odd(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+def test_search_among_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 8))
+    size = [1e-200, 1e-310, 1e300, 1.0, 1e-160]
+    rows = [(i, (x[i % 20] * size[i % 5 if i < 20 else (i + 1) % 5]).tolist(), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = search(df, df.filter("vec_id < 20")).collect()
+    assert len(got) == 100 and {(r.query_id, r.vec_id) for r in got if r.rank == 1} == {(i, i + 20) for i in range(20)}
+    assert all(abs(r.score - 1) < 1e-9 for r in got if r.rank == 1)
+
+
+def test_search_among_many_equal_vectors(spark, monkeypatch):
+    rows = [(i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(3000)] + [(5000 + i, [1.0, 2.0, 3.0, float(i)], 0) for i in range(5, 9)]
+    df = spark.createDataFrame(rows, VECS)
+    seen = []
+    monkeypatch.setattr(ann, "_nearest_in_tiles", lambda dealt, k: seen.append(nearest_in_tiles(dealt, k)) or seen[-1])
+    got = search(df, df.filter("vec_id % 50 = 0")).collect()
+    assert len(got) == 60 * 5
+    by = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in {r.query_id for r in got}}
+    assert by[0] == [1, 2, 3, 4, 5] and all(v == [0, 1, 2, 3, 4] for q, v in by.items() if q >= 50)
+    assert seen[0].count() <= 60 * 6
+
+
 def test_vector_groups(spark):
     rng = np.random.default_rng(3)
     centre = rng.standard_normal((6, 16))
@@ -357,7 +381,8 @@ def test_vector_groups(spark):
 def test_vector_groups_of_odd_rows(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 1.0], None), (5, [1.0, 1.0], 1), (6, [2.0, 2.0], 1), (5, [1.0, 1.0], 1), (None, [1.0, 1.0], 1), (7, [1.0, 1.0, 1.0], 1), (8, [None, 1.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, VECS)).collect()}
-    assert got == {5: (1, 5, True), 6: (1, 5, False)} | {i: (0, i, True) for i in (1, 2, 3, 4, 7, 8)}
+    assert got == {5: (1, 5, True), 6: (1, 5, False), None: (0, None, True)} | {i: (0, i, True) for i in (1, 2, 3, 4, 7, 8)}
+    assert near_duplicates(spark.createDataFrame(rows, VECS)).count() == len(rows)
     assert near_duplicates(spark.createDataFrame([], VECS)).count() == 0
 
 
