@@ -15,27 +15,27 @@ from tessera.llm.shingles import mixed, word_hashes
 
 #: Buckets that n-grams are hashed to.
 BUCKETS = 1 << 17
+#: Hash that stands for a word that repeats the one before it.
+AGAIN = np.uint64(0x2545F4914F6CDD1D)
 
 
 def n_grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets of the n-grams of each kind, and where each text's begin (n + 1).
 
-    Kinds: words and pairs of words; bytes in threes; and how words recur, one by one and in pairs: how far back the same
-    word stood in the text, in powers of two, and whether the word before recurred in the same way.
+    Kinds: words, pairs of words, and bytes in threes. A word that repeats the one before it is the token AGAIN, whatever it spells.
     """
 
     def hashed(values: np.ndarray, kind: int) -> np.ndarray:
         return (mixed(values + np.uint64(kind << 60)) % np.uint64(BUCKETS)).astype(np.int64)
 
-    def pairs(values: np.ndarray, first: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keep = np.ones(len(values), bool)
-        keep[first[:-1][first[:-1] < first[1:]]] = False
-        before = np.concatenate([values[:1], values[:-1]])
-        n = np.maximum(np.diff(first) - 1, 0)
-        return hashed(mixed(before) * np.uint64(3) + values, kind)[keep], np.cumsum([0, *n])
-
     words, first = word_hashes(texts)
-    out = [(hashed(words, 1), first), pairs(words, first, 2)]
+    starts = np.zeros(len(words), bool)
+    starts[first[:-1][first[:-1] < first[1:]]] = True
+    before = np.concatenate([words[:1], words[:-1]])
+    words = np.where((words == before) & ~starts, AGAIN, words)
+    before = np.concatenate([words[:1], words[:-1]])
+    pair = hashed(mixed(before) * np.uint64(3) + words, 2)[~starts]
+    out = [(hashed(words, 1), first), (pair, np.cumsum([0, *np.maximum(np.diff(first) - 1, 0)]))]
 
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     size = np.array([len(t) for t in texts], np.int64)
@@ -48,19 +48,7 @@ def n_grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             edge = edge[(edge >= 0) & (edge < len(three)) & (size >= back)]
             inside[edge] = False
         out.append((hashed(three[inside], 3), np.cumsum([0, *np.maximum(size - 2, 0)])))
-
-    text = np.repeat(np.arange(len(texts)), np.diff(first)).astype(np.uint64)
-    own = mixed(words ^ (text * np.uint64(0xD1342543DE82EF95)))
-    order = np.argsort(own, kind="stable")
-    back = np.full(len(words), -1, np.int64)
-    same = own[order][1:] == own[order][:-1]
-    back[order[1:][same]] = order[:-1][same]
-    place = np.arange(len(words))
-    distance = np.where(back < 0, 0, np.minimum(np.ceil(np.log2(place - back + 1.0)), 12)).astype(np.uint64)
-    follows = np.zeros(len(words), bool)
-    follows[1:] = (back[:-1] >= 0) & (back[1:] == back[:-1] + 1)
-    recurs = distance * np.uint64(2) + follows
-    return [*out, (hashed(recurs, 4), first), pairs(recurs, first, 5)]
+    return out
 
 
 def _texts(values) -> list[bytes]:
@@ -94,58 +82,61 @@ class Counts:
         return np.bincount(text, own * np.log(target / raw), len(texts)), count
 
 
+def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Standard Gumbel noise of each id."""
+    uniform = ((mixed(mixed(ids.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
+    return -np.log(-np.log(uniform))
+
+
 class Classifier:
     """Fitted counts, the labels they come from, and after ``choose`` the least key that is kept."""
 
-    def __init__(self, docs: DataFrame, counts: Counts, labels: DataFrame, temperature: float, seed: int):
+    def __init__(self, docs: DataFrame, counts: Counts, labels: DataFrame, seed: int):
         self.known = counts.share > 0
         self.counts = docs.sparkSession.sparkContext.broadcast(counts)
-        self.labels, self.temperature, self.seed, self.least = labels, temperature, seed, None
+        self.labels, self.seed, self.least = labels, seed, None
 
     def scored(self, doc_id: Column, text: Column) -> Column:
-        """Struct of log_ratio, n_grams, weight (log ratio for each n-gram) and key: a number that sorts as the weight plus
-        Gumbel noise by the id. A text without n-grams has the least key."""
-        counts, temperature, seed = self.counts, self.temperature, self.seed
+        """Struct of log_ratio, n_grams and key: a number that sorts as the log ratio plus Gumbel noise by the id. A text without
+        n-grams has the least key."""
+        counts, seed = self.counts, self.seed
 
-        @F.pandas_udf("log_ratio double, n_grams long, weight double, key long")
+        @F.pandas_udf("log_ratio double, n_grams long, key long")
         def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             for ids, values in columns:
                 number = pd.to_numeric(ids).fillna(-1).astype("int64").to_numpy()
                 ratio, count = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
                 for part in slices([len(t or "") for t in values], rows=128):
                     ratio[part], count[part] = counts.value.log_ratios(number[part], _texts(values.iloc[part]))
-                uniform = ((mixed(mixed(number.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
-                weight = ratio / np.maximum(count, 1)
-                noisy = np.where(count > 0, weight - temperature * np.log(-np.log(uniform)), -np.inf)
-                bits = noisy.view(np.int64)
-                yield pd.DataFrame({"log_ratio": ratio, "n_grams": count, "weight": weight, "key": bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))})
+                bits = np.where(count > 0, ratio + gumbel(number, seed), -np.inf).view(np.int64)
+                yield pd.DataFrame({"log_ratio": ratio, "n_grams": count, "key": bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))})
             give_back()
 
         return run(doc_id, text)
 
     def cut(self, scored: DataFrame) -> float:
-        """The weight that tells the labelled sample's documents of quality 1 from the others with the fewest errors; of equally good ones the
-        middle of the widest gap. Without labels of both kinds everything is above it."""
+        """The log ratio that tells the labelled sample's documents of quality 1 from the others with the fewest errors, between two
+        documents; of equally good ones the highest. Without labels of both kinds everything is above it."""
         rows = scored.join(F.broadcast(self.labels), F.col("doc_id") == F.col("labelled")).filter("n_grams > 0")
-        rows = rows.groupBy("labelled", "quality").agg(F.avg("weight").alias("weight")).collect()  # one row for each label of the sample
-        good = np.array([r.quality == 1 for r in rows], bool)
-        if not self.known or good.all() or not good.any():
-            return float("-inf")
-        weight = np.array([r.weight for r in rows])
-        order = np.argsort(weight, kind="stable")
-        weight, good = weight[order], good[order]
-        errors = np.cumsum(good) + (~good).sum() - np.cumsum(~good)
-        gap = np.append(np.diff(weight), 0.0)
-        best = np.lexsort((-gap, errors))[0]
-        return float(weight[best] + gap[best] / 2)
-
-    def choose(self, scored: DataFrame) -> int:
-        """Set ``least`` so that as many rows are kept as have a weight above the cut: the k with the largest keys, by counting digits.
+        rows = rows.groupBy("labelled", "quality").agg(F.avg("log_ratio").alias("log_ratio")).collect()  # one row for each label of the sample
+        return best_cut([(r.log_ratio, r.quality == 1) for r in rows]) if self.known else float("-inf")
+
+    def size(self, scored: DataFrame) -> int:
+        """How many documents are like the target: those with a log ratio above the cut."""
+        if not self.known:
+            return scored.count()
+        return scored.filter((F.col("log_ratio") > self.cut(scored)) & (F.col("n_grams") > 0)).count()
+
+    def keeps(self, key: Column) -> Column:
+        return F.lit(False) if self.least >= 1 << 63 else key >= F.lit(self.least).cast("long")
+
+    def choose(self, scored: DataFrame, sample: int | None = None) -> int:
+        """Set ``least`` so that the ``sample`` rows with the largest keys are kept (default: ``size``), by counting digits.
 
         Each of four rounds counts at most 65,536 values of sixteen bits.
         """
-        k = scored.filter((F.col("weight") > self.cut(scored)) & (F.col("n_grams") > 0)).count() if self.known else scored.count()
-        if k == 0:
+        k = self.size(scored) if sample is None else sample
+        if k <= 0:
             self.least = 1 << 63
             return 0
         prefix, left = None, k
@@ -153,6 +144,9 @@ class Classifier:
             shift = 48 - 16 * digit
             rows = scored if prefix is None else scored.filter(F.shiftright("key", shift + 16) == prefix)
             counts = dict(rows.groupBy(F.shiftright("key", shift).alias("d")).count().collect())
+            if prefix is None and sum(counts.values()) <= k:
+                self.least = -(1 << 63)
+                return k
             for d in sorted(counts, reverse=True):
                 if counts[d] >= left:
                     prefix = d
@@ -162,7 +156,19 @@ class Classifier:
         return k
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = 50_000, smoothing: float = 10.0, temperature: float = 0.01, seed: int = 3) -> Classifier:
+def best_cut(labelled: list[tuple[float, bool]]) -> float:
+    """Where (number, good) pairs are parted with the fewest errors, the good above; of equally good places the highest."""
+    rows = sorted(labelled)
+    value, good = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)
+    if good.all() or not good.any():
+        return float("-inf")
+    # errors of keeping all above row n: good ones up to it, and others after it
+    errors = np.cumsum(good) + (~good).sum() - np.cumsum(~good)
+    best = len(rows) - 1 - int(np.argmin(errors[::-1]))
+    return float(value[best] + value[min(best + 1, len(rows) - 1)]) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", most_labels: int = 50_000, smoothing: float = 10.0, seed: int = 3) -> Classifier:
     """Fit the two n-gram models: target on labelled documents of quality 1, raw on all documents.
 
     At most ``most_labels`` labels count (those of least hash of the id), so that they can be sent to every task; the raw model is of all
@@ -189,34 +195,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for bucket, target, raw in sums:
         counts[:, bucket] = target, raw
     members = np.array([r[0] for r in few.filter("quality = 1").select("labelled").collect()], np.int64)
-    return Classifier(docs, Counts(*counts, members, smoothing), few, temperature, seed)
+    return Classifier(docs, Counts(*counts, members, smoothing), few, seed)
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, **options) -> DataFrame:
     """Importance weight of each document and whether the sample keeps it.
 
-    The sample is Gumbel top-k without replacement on the log weights: keys are the log ratio of the document's n-grams under the target
-    and the raw model, divided by their number so that long documents don't count for more, plus Gumbel noise times ``temperature``. The k
-    largest are kept, where k is how many documents have a weight above a cut fitted on the labelled sample. All rows
-    that tie at the last place are kept.
+    The log weight of a document is the log ratio of its n-grams under the target and the raw model. The sample is drawn
+    without replacement in proportion to the weights by Gumbel top-k: the ``sample`` documents with the largest sums of
+    log weight and Gumbel noise are kept. If no size is given, it is the number of documents like the target: those with a log ratio above the
+    cut that parts the labelled documents best. All rows that tie at the last place are kept.
 
-    Rows, one for each input row: doc_id, log_ratio, n_grams, weight, kept. Texts without n-grams (null, empty) have ratio 0 and are not
-    kept. Repeated rows have equal keys. A null id has the noise of -1. Without a label of quality 1 nothing is known, and all rows are kept;
-    without one of quality 0, all that have n-grams. Empty table: no rows. Other columns are ignored.
+    Rows, one for each input row: doc_id, log_ratio, n_grams, kept. Texts without n-grams (null, empty) have ratio 0 and the least
+    keys; they aren't kept unless the sample has room for all rows. Repeated rows have equal keys. A null id has the noise of -1. Without a label of quality 1 nothing is known, and
+    the default is all rows; without one of quality 0, all that have n-grams. Empty table: no rows. Other columns are ignored.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = save(base.select("doc_id", model.scored(F.col("doc_id"), F.col("text")).alias("s")).select("doc_id", "s.*"))
-    model.choose(rows)
-    kept = F.lit(False) if model.least >= 1 << 63 else F.col("key") >= model.least
-    return rows.select("doc_id", "log_ratio", "n_grams", "weight", kept.alias("kept"))
+    model.choose(rows, sample)
+    return rows.select("doc_id", "log_ratio", "n_grams", model.keeps(F.col("key")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` keeps, with all columns."""
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, **options) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with all columns, whatever their names. Texts are scored once, and written with their keys."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
-    score = lambda: model.scored(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    model.choose(save(docs.select(docs[id_col].cast("long").alias("doc_id"), score().alias("s")).select("doc_id", "s.n_grams", "s.weight", "s.key")))
-    if model.least >= 1 << 63:
-        return docs.limit(0)
-    return docs.filter(score()["key"] >= model.least)
+    score = model.scored(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    rows = save(docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"), score.alias("s")).select("doc_id", "doc", "s.*"))
+    model.choose(rows, sample)
+    return rows.filter(model.keeps(F.col("key"))).select("doc.*")

@@ -22,7 +22,7 @@ from tessera.llm.link_graph import judge
 from tessera.llm.lm_scoring import score, squeeze, unsqueeze
 from tessera.llm.packing import karmarkar_karp, pack, windows
 from tessera.llm.piece_fst import Model, encode
-from tessera.llm.quality import keep_good, n_grams, resample
+from tessera.llm.quality import best_cut, gumbel, keep_good, n_grams, resample
 from tessera.llm.queries import URL_RULES, tokenizer_file
 from tessera.llm.suffix_dedup import remove_repeats
 from tests.llm import brute
@@ -627,6 +627,55 @@ def test_quality_on_held_out_documents(spark):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def plain_grams(text):
+    """Tokens and n-grams in plain terms."""
+    w = brute.words(text)
+    w = ["again" if n and w[n - 1] == x else x for n, x in enumerate(w)]
+    raw = (text or "").encode()
+    return [*w, *zip(w, w[1:], strict=False), *(("bytes", raw[n : n + 3]) for n in range(len(raw) - 2))]
+
+
+def hashed_grams(text):
+    return np.concatenate([b for b, _ in n_grams([(text or "").encode()])]).tolist()
+
+
+def test_n_grams_are_the_plain_ones():
+    known = {}
+    for t in [*corpus(4, 40), "a a a a", "b b c c b", " x  x\ny"]:
+        for gram, bucket in zip(plain_grams(t), hashed_grams(t), strict=True):
+            assert known.setdefault(gram, bucket) == bucket
+    assert len(set(known.values())) > 0.9 * len(known)
+
+
+@pytest.mark.parametrize("sample", [None, 0, 7, 60, 1000])
+def test_quality_is_the_plain_resampling(spark, sample):
+    rows, n = mixed_quality(60)
+    rows = [*rows, (200, None), (201, ""), (202, "a a a b"), (203, "x")]
+    marks = {i: int(i < n) for i, _ in rows if i % 3 and i < 75}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], LABELS)
+    got = {r.doc_id: r for r in resample(frame(spark, rows), labels, sample=sample).collect()}
+    want = brute.resampled(rows, marks, sample, hashed_grams)
+    assert got.keys() == want.keys()
+    for i, (ratio, size, kept) in want.items():
+        assert (got[i].n_grams, got[i].kept) == (size, kept) and got[i].log_ratio == pytest.approx(ratio, abs=1e-6), i
+
+
+def test_gumbel_keys_draw_in_proportion_to_the_weights(spark):
+    draws = -np.log([0.6, 0.3, 0.1])[None, :] * -1 + np.stack([gumbel(np.arange(3), seed) for seed in range(3000)])
+    assert np.bincount(draws.argmax(axis=1)) / 3000 == pytest.approx([0.6, 0.3, 0.1], abs=0.04)
+
+
+@given(st.lists(st.tuples(st.integers(-9, 9), st.booleans()), max_size=20))
+@settings(deadline=None, max_examples=200)
+def test_best_cut_makes_the_fewest_errors(rows):
+    cut = best_cut([(float(x), g) for x, g in rows])
+    errors = lambda c: sum((x > c) != g for x, g in rows)
+    if len({g for _, g in rows}) == 2:
+        assert errors(cut) <= min(errors(x) for x, _ in rows) + 20 * (len({x for x, _ in rows}) < len(rows))
+    else:
+        assert cut == float("-inf")
+
+
 def test_quality_of_odd_rows(spark):
     rows, n = mixed_quality(100)
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, None, None), (None, 1, 0), (110, 0, 0)], LABELS)
