@@ -55,6 +55,30 @@ def unsqueeze(data: bytes, sorted_: bool = False, kind: type = np.uint64) -> np.
     return out
 
 
+class Distinct:
+    """Sorted distinct keys, gathered piece by piece."""
+
+    def __init__(self) -> None:
+        self.key = np.zeros(0, np.uint64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add_all(self, keys: np.ndarray) -> None:
+        keys = np.sort(keys)
+        self.waiting.append(keys[ctw._runs(keys)])
+        self.size += len(self.waiting[-1])
+        if self.size > max(1 << 20, len(self.key) // 2):
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.waiting:
+            key = np.concatenate([self.key, *self.waiting])
+            self.waiting, self.size = [], 0
+            key.sort(kind="stable")
+            self.key = key[ctw._runs(key)]
+        return self.key
+
+
 class Counts:
     """Distinct keys with the sum of their counts, gathered piece by piece."""
 
@@ -67,7 +91,7 @@ class Counts:
         """Keys that are sorted and distinct."""
         self.waiting.append((key, count))
         self.size += len(key)
-        if self.size > max(1 << 21, len(self.key)):
+        if self.size > max(1 << 20, len(self.key) // 2):
             self.settle()
 
     def add_all(self, keys: np.ndarray, learn: bool) -> None:
@@ -80,11 +104,11 @@ class Counts:
         if self.waiting:
             key = np.concatenate([self.key, *(k for k, _ in self.waiting)])
             count = np.concatenate([self.count, *(c for _, c in self.waiting)])
+            self.waiting, self.size = [], 0
             order = np.argsort(key, kind="stable")
             key, count = key[order], count[order]
             new = ctw._runs(key)
             self.key, self.count = key[new], np.add.reduceat(count, new) if len(new) else count
-            self.waiting, self.size = [], 0
         return self.key, self.count
 
 
@@ -131,6 +155,25 @@ def dealt(pieces: Iterable[list[tuple]], shards: int) -> Iterator[tuple[int, np.
         yield kind, key[order], count[order], shard[order]
 
 
+def answered(packed: list[bytes], got: dict[int, list[bytes]], shards: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each kind a block's sorted keys, found again from its pieces, and their answers, which come in the order of ``dealt``."""
+    found = {GRAMS: Distinct(), WORDS: Distinct()}
+    for p in packed:
+        texts = [t for _, t in pickle.loads(zstandard.decompress(p))]
+        found[GRAMS].add_all(ctw.keys_of(texts)[0])
+        found[WORDS].add_all(tokens(texts)[0])
+    out = {}
+    for kind, distinct in found.items():
+        key = distinct.settle()
+        value = np.concatenate([unsqueeze(p, kind=np.float32 if kind == GRAMS else np.uint64) for p in got.pop(kind)])
+        if len(value) != len(key):
+            raise RuntimeError("a block's answers don't fit its texts")
+        own = np.empty_like(value)
+        own[np.argsort(shard_of(kind, key, shards), kind="stable")] = value
+        out[kind] = key, own
+    return out
+
+
 def lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """``values`` of the keys ``wanted``, all of which are in the sorted ``table``."""
     order = np.argsort(wanted)
@@ -283,15 +326,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(got: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-            tables = {}
-            for kind, key, _, _ in dealt((pickle.loads(zstandard.decompress(p)) for p in got[TEXT]), shards):
-                # answers come in the order in which the block dealt its keys
-                value = np.concatenate([unsqueeze(p, kind=np.float32 if kind == GRAMS else np.uint64) for p in got[kind]])
-                if len(value) != len(key):
-                    raise RuntimeError("a block's answers don't fit its texts")
-                order = np.argsort(key)
-                tables[kind] = key[order], value[order]
-            for packed in got[TEXT]:
+            texts = got.pop(TEXT)
+            tables = answered(texts, got, shards)
+            for packed in texts:
                 yield evaluated(pickle.loads(zstandard.decompress(packed)), tables)
 
         at, got = None, {}

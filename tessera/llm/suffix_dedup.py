@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 from tessera.llm.common import give_back, save
 from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
-from tessera.llm.suffix_runs import SEED, Anchors, Item, WordAnchors, common, decode_run, encode_run, merge_runs, repeated
+from tessera.llm.suffix_runs import SEED, Anchors, Group, Item, WordAnchors, common, decode_run, encode_run, merge_runs
 
-#: Bytes of text in a block; bytes of contexts that are compared at once; items in a piece of a run.
-BLOCK, BATCH, PIECE = 16 << 20, 4 << 20, 8192
+#: Bytes of text in a block; items in a piece of a run.
+BLOCK, PIECE = 16 << 20, 8192
 HALVES, SAMPLE, RUN, MAP, REPLY, TEXT = range(6)
 
 
@@ -43,7 +43,7 @@ def order_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False, run_piece: int = PIECE, batch_bytes: int = BATCH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False, run_piece: int = PIECE) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table, or, if
     ``words`` is given, by that many whole words (set apart by ASCII white space) whose bytes stand as whole words elsewhere.
 
@@ -55,8 +55,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
        one of the two, so an anchor whose hashes occur once is not in any repeated string.
     2. A block sorts the suffixes of the remaining anchors, equal contexts once with their count, front-codes the run and
        sends a piece of it to each range of suffixes. Ranges are cut at quantiles of the suffixes' first bytes.
-    3. A range merges its runs with a loser tree that knows common prefixes (``merge_runs``). Suffixes that share the anchor's
-       bytes come out together, and their strings are compared at once.
+    3. A range merges its runs with a loser tree that knows common prefixes (``merge_runs``). The lengths that neighbours share
+       come out with the suffixes, and tell which strings occur twice (``Group``).
     4. Each block gets back which strings of its contexts are repeated, and cuts its texts.
 
     Strings of words go the same way with anchors of their own (``WordAnchors``), in ranges numbered after the others.
@@ -64,7 +64,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Equal contexts travel once a block, so a group of copies costs a row for each block. Tasks hold a block of 16 MB of text
     or the compressed runs of a range.
 
-    Rows, one for each input row: doc_id, the columns named in ``carry``, n_bytes, n_removed, n_spans (maximal removed runs),
+    Rows, one for each input row: doc_id, the columns named in ``carry`` as carried_0, carried_1 and so on, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256, kept (the remaining bytes; with ``as_text`` a
     string, without bytes of characters that were cut in two). Strings never cross texts. Null text counts as empty. Repeated rows repeat
     each other's strings. A null id is kept. Empty table: no rows. Other columns are ignored.
@@ -209,34 +209,37 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         def flush(part: int, held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
             names = list(held)
             out: dict[int, list] = defaultdict(list)
-            items: list[Item] = []
+            items: list[tuple[bytes, bytes]] = []
+            shared, times = [], []
             owners: list[list[tuple[int, int]]] = []
-            times: list[int] = []
             seen: dict[tuple[bytes, bytes], int] = {}
-            size = 0
 
             def judge() -> None:
-                first, last = repeated(items, times, length) if part < ranges else repeated(items, times, words, True)
-                for own, a, b in zip(owners, first.tolist(), last.tolist(), strict=True):
-                    if b >= 0:
+                if len(items) == 1 and times[0] == 1:
+                    return
+                group = Group(items, shared, times)
+                for own, span, (_, left) in zip(owners, group.strings(length) if part < ranges else group.words(words), items, strict=True):
+                    if span:
                         for run, number in own:
-                            out[run].append((number, a, b))
-
-            for shared, run, item in merge_runs([chained(p) for p in held.values()]):
-                if shared < SEED:
+                            out[run].append((number, len(left) + span[0], len(left) + span[1]))
+
+            least = 0
+            for same, run, (suffix, left, number, n) in merge_runs([chained(p) for p in held.values()]):
+                least = min(least, same)
+                if same < SEED and items:
+                    judge()
+                    items, shared, times, owners = [], [], [], []
                     seen.clear()
-                    if size > batch_bytes:
-                        judge()
-                        items, owners, times, size = [], [], [], 0
-                place = seen.get(item[:2])
+                place = seen.get((suffix, left))
                 if place is None:
-                    place = seen[item[:2]] = len(items)
-                    items.append(item)
+                    place = seen[suffix, left] = len(items)
+                    items.append((suffix, left))
+                    shared.append(least)
                     owners.append([])
                     times.append(0)
-                    size += len(item[0]) + len(item[1])
-                owners[place].append((run, item[2]))
-                times[place] += item[3]
+                    least = len(suffix)
+                owners[place].append((run, number))
+                times[place] += n
             if items:
                 judge()
             for run, rows in out.items():
@@ -257,7 +260,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     replies = by_range.mapInArrow(merged, _ROWS)
 
     out_schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), *(T.StructField(c, docs.schema[c].dataType) for c in carry),
+        T.StructField("doc_id", T.LongType()), *(T.StructField(f"carried_{n}", docs.schema[c].dataType) for n, c in enumerate(carry)),
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from tessera.llm.shingles import _BYTE, _powers, mixed
 
 #: Bytes that a suffix is sampled by.
 SEED = 16
+#: What ASCII white space sets apart.
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,38 +263,120 @@ def merge_runs(runs: list[Iterator[tuple[int, Item]]]) -> Iterator[tuple[int, in
             node //= 2
 
 
-def repeated(items: list[Item], times: list[int], length: int, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Where in each item's context its first string that occurs twice or more begins and its last one ends; -1, -1 where none does.
+#: Items of a group up to which every two are compared; larger groups are parted by sorting.
+FEW = 6
 
-    Strings are of ``length`` bytes or, with ``words``, of that many whole words. All occurrences of a string of an item
-    are among ``items``; ``times`` counts each item's.
+
+class Group:
+    """Suffixes in merged order, each sharing SEED bytes or more with the one before, and what stands before their anchors.
+
+    ``shared`` has the lengths that the merge found neighbours to share. Two items hold the same string around their anchors if
+    they share enough to the right, which is the least of ``shared`` between them, and to the left, for which what
+    stands before the anchors is sorted from the anchor backwards. Bytes are compared, not hashes.
     """
-    texts = [left + suffix for suffix, left, _, _ in items]
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    prefix = prefix_hash(data)
-    if words:
-        start, stop = words_in(data, begin)
-        item = np.searchsorted(begin, start, side="right") - 1
-        whole = np.flatnonzero(item[: len(item) - length + 1] == item[length - 1 :])
-        item, place, end = item[whole], start[whole], stop[whole + length - 1]
-    else:
-        count = size - length + 1
-        item = np.repeat(np.arange(len(items)), count)
-        place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + begin[item]
-        end = place + length
-    key = hash_of(prefix, place, end - place)
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    twice |= (np.array(times) > 1)[item]
-    first = np.full(len(items), np.iinfo(np.int64).max)
-    last = np.full(len(items), -1)
-    np.minimum.at(first, item[twice], (place - begin[item])[twice])
-    np.maximum.at(last, item[twice], (end - begin[item])[twice])
-    first[last < 0] = -1
-    return first, last
+
+    def __init__(self, items: list[tuple[bytes, bytes]], shared: list[int], times: list[int]):
+        self.items, self.shared, self.times = items, shared, times
+
+    def pairs(self) -> Iterator[tuple[int, int, int, int]]:
+        """(item, later item, bytes shared to the right, and to the left) of all pairs of a small group."""
+        back = [left[::-1] for _, left in self.items]
+        for i in range(len(back)):
+            right = len(self.items[i][0])
+            for j in range(i + 1, len(back)):
+                right = min(right, self.shared[j])
+                yield i, j, right, common(back[i], back[j])
+
+    def parted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shared lengths in merged order; the order by what stands before, and the shared lengths in that order."""
+        back = [left[::-1] for _, left in self.items]
+        order = sorted(range(len(back)), key=back.__getitem__)
+        left = [0, *(common(back[a], back[b]) for a, b in zip(order, order[1:], strict=False))]
+        return np.array([0, *self.shared[1:]]), np.array(order), np.array(left)
+
+    def strings(self, length: int) -> list[tuple[int, int] | None]:
+        """Of each item where, in bytes from the anchor, its first string of ``length`` bytes that occurs twice begins (a number up
+        to 0) and its last one ends; None without any. All strings hold the anchor, so those between are covered as well."""
+        found: list[list[int] | None] = [None] * len(self.items)
+
+        def note(i: int, least: int, most: int) -> None:
+            """Strings that begin from ``most`` to ``least`` bytes before the anchor occur twice."""
+            at = found[i]
+            found[i] = [min(least, at[0]), max(most, at[1])] if at else [least, most]
+
+        for i, ((suffix, left), n) in enumerate(zip(self.items, self.times, strict=True)):
+            if n > 1:
+                note(i, max(0, length - len(suffix)), len(left))
+        if len(self.items) <= FEW:
+            for i, j, right, left in self.pairs():
+                if right + left >= length:
+                    note(i, max(0, length - right), min(left, length))
+                    note(j, max(0, length - right), min(left, length))
+        else:
+            self._strings_of_many(length, note)
+        return [None if f is None else (-f[1], length - f[0]) for f in found]
+
+    def _strings_of_many(self, length: int, note) -> None:
+        right, order, left = self.parted()
+        # who shares enough with whom changes only at these distances from the anchor
+        low, high = max(0, length - int(right.max())), int(left.max())
+        edges = np.unique(np.concatenate([length - right, left + 1, [low, high + 1]]))
+        edges = edges[(edges >= low) & (edges <= high + 1)].tolist()
+        before = np.empty(len(order), np.int64)
+        for begin, end in zip(edges, edges[1:], strict=False):
+            before[order] = np.cumsum(left < begin)
+            for i in np.flatnonzero(twice(np.cumsum(right < length - begin) * (len(order) + 1) + before)).tolist():
+                note(i, begin, end - 1)
+
+    def words(self, words: int) -> list[tuple[int, int] | None]:
+        """As ``strings``, for strings of ``words`` whole words; anchors begin words."""
+        found: list[tuple[int, int] | None] = [None] * len(self.items)
+        slots = [self._slots(suffix, left, words) for suffix, left in self.items]
+
+        def note(i: int, before: int, after: int) -> None:
+            at = found[i]
+            found[i] = (min(-before, at[0]), max(after, at[1])) if at else (-before, after)
+
+        for i, n in enumerate(self.times):
+            if n > 1:
+                for s in slots[i]:
+                    note(i, *s)
+        if len(self.items) <= FEW:
+            for i, j, right, left in self.pairs():
+                for before, after in set(slots[i]) & set(slots[j]):
+                    if before <= left and after <= right:
+                        note(i, before, after)
+                        note(j, before, after)
+            return found
+        right, order, left = self.parted()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # by length of the part before the anchor and of the part after it: items whose parts of that length are the same
+        holders: dict[tuple[int, int], list[int]] = {}
+        for i, own in enumerate(slots):
+            for s in own:
+                holders.setdefault(s, []).append(i)
+        for (before, after), who in holders.items():
+            if len(who) > 1:
+                own = np.array(who)
+                same = np.cumsum(right < after)[own] * (len(order) + 1) + np.cumsum(left < before)[place[own]]
+                for i in own[twice(same)].tolist():
+                    note(i, before, after)
+        return found
+
+    @staticmethod
+    def _slots(suffix: bytes, left: bytes, words: int) -> list[tuple[int, int]]:
+        """(bytes before the anchor, bytes from it on) of each string of ``words`` words."""
+        starts = [len(left) - m.start() for m in WORD.finditer(left)][::-1]
+        ends = [m.end() for m in WORD.finditer(suffix)]
+        return [(n and starts[n - 1], ends[words - n - 1]) for n in range(max(0, words - len(ends)), min(len(starts), words - 1) + 1)]
+
+
+def twice(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out

@@ -164,8 +164,8 @@ def test_short_repeats_in_poor_alphabets(spark, seed):
 
 def test_repeats_of_odd_rows(spark):
     rows = [*ODD, (11, "long enough " * 50), (11, "long enough " * 50)]
-    got = remove_repeats(clashing(frame(spark, rows)).withColumn("lang", F.lit("en")), carry=["lang"], as_text=True).collect()
-    assert len(got) == len(rows) and {r.lang for r in got} == {"en"}
+    got = remove_repeats(clashing(frame(spark, rows)).withColumn("lang", F.lit("en")), carry=["lang", "kept"], as_text=True).collect()
+    assert len(got) == len(rows) and {r.carried_0 for r in got} == {"en"} and {r.carried_1 for r in got} == {CLASH.index("kept")}
     assert all(r.kept == "" for r in got if r.doc_id in (7, 8, 10, 11))
     assert remove_repeats(frame(spark, [])).count() == 0
 
@@ -176,10 +176,63 @@ def test_repeats_across_pieces_of_a_run(spark, piece):
     passages = [prose(rng, 60)[:100] for _ in range(6)]
     texts = [prose(rng, 2) + " " + rng.choice(passages)[rng.randint(0, 30) :] + " " + prose(rng, 2) for _ in range(120)]
     rows = doc_rows(texts)
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), length=40, run_piece=piece, batch_bytes=1).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), length=40, run_piece=piece).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == sorted(brute.without_repeats(rows, 40))
 
 
+def judged(few, items, times, method, size):
+    shared = [0, *(suffix_runs.common(a[0], b[0]) for a, b in zip(items, items[1:], strict=False))]
+    old, suffix_runs.FEW = suffix_runs.FEW, few
+    try:
+        return getattr(suffix_runs.Group(items, shared, times), method)(size)
+    finally:
+        suffix_runs.FEW = old
+
+
+def spans(strings, times):
+    """Of each item the outermost ends of its strings, by (bytes before the anchor, bytes after), that occur twice."""
+    count = Counter()
+    for own, n in zip(strings, times, strict=True):
+        count.update({(o, s): n for o, s in own.items()})
+    held = [[o for o, s in own.items() if count[o, s] > 1] for own in strings]
+    return [(-max(o[0] for o in x), max(o[1] for o in x)) if x else None for x in held]
+
+
+@given(st.lists(st.tuples(st.text("ab", max_size=4), st.text("ab ", max_size=14), st.integers(1, 2)), min_size=1, max_size=12, unique_by=lambda x: x[:2]), st.sampled_from([0, 6]), st.integers(5, 9))
+@settings(deadline=None, max_examples=600)
+def test_groups_know_their_repeated_strings_by_shared_lengths(found, few, length):
+    found = [(left[-(length - 4) :], "seed" + suffix, n) for left, suffix, n in sorted(found, key=lambda x: x[1])]
+    found = [x for n, x in enumerate(found) if len(x[0]) + len(x[1]) >= length and x[:2] not in [y[:2] for y in found[:n]]]
+    if found:
+        items, times = [(suffix.encode(), left.encode()) for left, suffix, _ in found], [n for *_, n in found]
+        strings = [{(o, length - o): left[len(left) - o :] + suffix[: length - o] for o in range(max(0, length - len(suffix)), len(left) + 1)} for left, suffix, _ in found]
+        assert judged(few, items, times, "strings", length) == spans(strings, times)
+
+
+WORDS = st.lists(st.sampled_from(["a ", "a  ", "bc ", "bcd "]), max_size=6)
+
+
+@given(st.lists(st.tuples(WORDS, WORDS, st.integers(1, 2)), min_size=1, max_size=12), st.sampled_from([0, 6]))
+@settings(deadline=None, max_examples=600)
+def test_groups_know_their_repeated_words_by_shared_lengths(found, few):
+    kept, n_words = {}, 9
+    for left, right, n in found:
+        words = ["two ", "seed ", *right]
+        if len(left) + len(words) >= n_words:
+            kept["".join(words).rstrip().encode(), "".join(left).encode()] = (left, words, n)
+    if kept:
+        items = sorted(kept)
+        strings, times = [], [kept[i][2] for i in items]
+        for i in items:
+            left, words, _ = kept[i]
+            own = {}
+            for o in range(max(0, n_words - len(words)), min(len(left), n_words - 1) + 1):
+                a, b = "".join(left[len(left) - o :]), "".join(words[: n_words - o]).rstrip()
+                own[len(a), len(b)] = a + b
+            strings.append(own)
+        assert judged(few, items, times, "words", n_words) == spans(strings, times)
+
+
 def without_word_runs(rows, length, words):
     """(doc_id, kept) without the strings of ``length`` bytes or ``words`` whole words that occur twice or more."""
     found, count = [], Counter()
