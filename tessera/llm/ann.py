@@ -130,10 +130,23 @@ def _nearest_in_tiles(dealt: DataFrame, k: int) -> DataFrame:
     return sorted_.mapInArrow(run, "query_id long, vec_id long").distinct()
 
 
-def power_of_two(vector: F.Column) -> F.Column:
-    """The power of two that brings a vector's largest component near one."""
-    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    return F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(largest)).cast("double"))))
+def _scaled(df: DataFrame) -> DataFrame:
+    """Vectors times the power of two that brings the largest component near one: no digit of a cosine changes, and
+    squares stay in range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, n = batch.column("vec"), array_to_numpy(batch.column("width"))
+            if not len(n):
+                continue
+            values = array_to_numpy(column.flatten())
+            wide, begin = values.astype(np.float64), np.cumsum(n) - n
+            exponent = np.frexp(np.maximum.reduceat(np.abs(wide), begin))[1]
+            near_one = np.ldexp(wide, -np.repeat(exponent, n)).astype(values.dtype)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(near_one))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, batch.column("width")], ["id", "vec", "width"])
+
+    return df.mapInArrow(run, df.schema)
 
 
 def exact_cosine(a: F.Column, b: F.Column) -> F.Column:
@@ -162,9 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         own = kind if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.ArrayType(T.DoubleType())
         out = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast(own).alias("vec"))
         out = out.filter(F.col("id").isNotNull() & usable(F.col("vec")))
-        # a power of two for a factor changes no digit of a cosine, and keeps squares in range
-        out = out.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("factor", power_of_two(F.col("vec")))
-        return out.select("id", F.transform("vec", lambda x: x.cast("double") * F.col("factor")).cast(own).alias("vec"), F.size("vec").alias("width"))
+        return _scaled(out.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("width", F.size("vec")))
 
     asked = save(clean(queries))
     # of equal vectors only the k + 1 of smallest id can be among a query's k nearest

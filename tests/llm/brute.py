@@ -135,25 +135,26 @@ def mix(h):
 
 
 def resampled(rows, labels, sample, grams, smoothing=10.0, seed=3):
-    """{doc_id: (log ratio, n-grams, kept)} by importance resampling with n-grams that aren't hashed."""
-    own = {i: Counter(grams(t)) for i, t in rows}
+    """{doc_id: (log ratio, n-grams, kept)} by importance resampling; rows of one id have one text."""
+    own = [(i, Counter(grams(t))) for i, t in rows]
     raw, target = Counter(), Counter()
-    for i, c in own.items():
+    for i, c in own:
         raw.update(c)
         if labels.get(i) == 1:
             target.update(c)
     share = sum(target.values()) / sum(raw.values())
-    out = {}
-    for i, c in own.items():
+    found = []
+    for i, c in own:
         ratio = sum(n * math.log((target[g] - n * (labels.get(i) == 1) + smoothing * share) / ((raw[g] - n + smoothing) * share)) for g, n in c.items())
-        uniform = ((mix((mix(i) + seed) % (1 << 64)) >> 12) + 0.5) / (1 << 52)
-        out[i] = ratio, sum(c.values()), ratio - math.log(-math.log(uniform))
+        uniform = ((mix((mix(i % (1 << 64)) + seed) % (1 << 64)) >> 12) + 0.5) / (1 << 52)
+        found.append((i, ratio, sum(c.values()), ratio - math.log(-math.log(uniform)) if c else -math.inf))
     if sample is None:
-        marked = sorted((out[i][0], q) for i, q in labels.items() if out[i][1])
+        ratios = {i: r for i, r, n, _ in found if n}
+        marked = sorted((ratios[i], q) for i, q in labels.items() if i in ratios)
         places = [(marked[k][0] + marked[min(k + 1, len(marked) - 1)][0]) / 2 for k in range(len(marked))]
         errors = [sum((x > marked[k][0]) != q for x, q in marked) for k in range(len(marked))]
         cut = places[max(k for k in range(len(marked)) if errors[k] == min(errors))]
-        sample = sum(r > cut for r, n, _ in out.values() if n)
-    order = sorted(out, key=lambda i: out[i][2] if out[i][1] else -math.inf, reverse=True)
-    least = out[order[sample - 1]][2] if 0 < sample <= len(order) else -math.inf
-    return {i: (r, n, sample > 0 and (key >= least if n else sample >= len(order))) for i, (r, n, key) in out.items()}
+        sample = sum(r > cut for _, r, n, _ in found if n)
+    keys = sorted((key for *_, key in found), reverse=True)
+    least = math.inf if sample <= 0 else keys[sample - 1] if sample <= len(keys) else -math.inf
+    return {i: (r, n, key >= least) for i, r, n, key in found}
