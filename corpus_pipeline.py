@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``, and further columns of theirs, whatever their names. Null and empty
+texts, null ids, repeated rows and empty tables give what the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -26,20 +27,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group of near-duplicates the document of smallest id; of repeated rows one. Rows with a null id stay."""
     groups = join(docs)
     first = groups.filter("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct()
-    found = docs.join(first, docs["doc_id"] == first["first_id"], "left_semi")
+    row = docs.select(docs["doc_id"].alias("own_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    found = row.join(first, F.col("own_id") == F.col("first_id"), "left_semi")
     # copies of a row have the same id, so they meet where the join has put them already
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.lag(mark).over(Window.partitionBy("doc_id").orderBy(mark))
-    found = found.withColumn("same_text", same.eqNullSafe(mark)).filter(~F.col("same_text")).select(*docs.columns)
-    return found.unionByName(docs.filter("doc_id is null"))
+    mark = F.xxhash64(F.coalesce("row.text", F.lit("")))
+    same = F.lag(mark).over(Window.partitionBy("own_id").orderBy(mark))
+    found = found.select("row", same.eqNullSafe(mark).alias("copy")).filter(~F.col("copy"))
+    return found.select("row").unionByName(row.filter("own_id is null").select("row")).select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of passages of 400 bytes, or of more than 50 words, that stand elsewhere too; bytes of a
-    character that is cut in two go as well."""
+    character that is cut in two go as well. Documents of which nothing is left stay, with an empty text."""
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = remove_repeats(docs, words=51, carry=other, as_text=True).withColumn("text", F.col("kept"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = remove_repeats(docs, words=51, carry=other, as_text=True)
+    place = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(f"carried_{n}") for n, c in enumerate(other)}
+    return out.select(*(place[c].alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
