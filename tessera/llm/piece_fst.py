@@ -6,6 +6,7 @@ import math
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: State of the pair acceptor before the first piece.
 START = -1
 #: Bytes that each memory of a worker may take.
-REMEMBERED = 96 << 20
+REMEMBERED = 160 << 20
 #: Pairs that the acceptor remembers.
 PAIRS = 500_000
 
@@ -51,23 +52,19 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class Lexicon:
-    """The pieces as an automaton over symbols, in arrays: arcs by (state, symbol), and of each state the piece that is
-    spelt there (or -1). State 0 is the start; the weight of a path is the piece's."""
+#: Key of a lexicon state under which the piece stands that is spelt there.
+PIECE = ""
 
-    def __init__(self, pieces: dict[str, int]):
-        self.arc: dict[int, int] = {}
-        self.piece = [-1]
-        for spelling, number in pieces.items():
-            state = 0
-            for c in spelling:
-                key = state << 21 | ord(c)
-                after = self.arc.get(key)
-                if after is None:
-                    after = self.arc[key] = len(self.piece)
-                    self.piece.append(-1)
-                state = after
-            self.piece[state] = number
+
+def lexicon(pieces: dict[str, int]) -> dict:
+    """The pieces as an automaton over symbols: a state is the arcs by symbol, and under PIECE the piece that is spelt there."""
+    start: dict = {}
+    for spelling, number in pieces.items():
+        state = start
+        for c in spelling:
+            state = state.setdefault(c, {})
+        state[PIECE] = number
+    return start
 
 
 class Model:
@@ -105,14 +102,15 @@ class Model:
     def compile(self, names: list[str], kinds: list[int], scores: list[float], merging: bool) -> None:
         self.names, self.merging = names, merging
         self.ids = {p: i for i, (p, k) in enumerate(zip(names, kinds, strict=True)) if k in (NORMAL, USER)}
-        self.lexicon = Lexicon(self.ids)
+        self.lexicon = lexicon(self.ids)
         self.weight = [-s for s in scores]
         self.heaviest = max((self.weight[i] for i in self.ids.values()), default=0.0) + 10.0
         self.unknown = kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(names, kinds, strict=True)) if k == BYTE}
         #: Neighbours that stand together in some piece; elsewhere every path has a cut.
         self.joined = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
-        self.pairs: dict[tuple[int, int], float] = {}
+        self.pairs: dict[int, dict[int, float]] = defaultdict(dict)
+        self.known_pairs = 0
         self.parts, self.words, self.chunks = Memory(REMEMBERED), Memory(REMEMBERED), Memory(REMEMBERED)
 
     def merged(self, text: str) -> list[str]:
@@ -130,57 +128,56 @@ class Model:
 
     def pair(self, a: int, b: int) -> float:
         """Weight that the pair acceptor gives piece b after piece a (START: b is the first). Symbols that are no piece have numbers below START."""
-        known = self.pairs.get((a, b))
+        known = self.pairs[a].get(b)
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
+            self.known_pairs += 1
+            if self.known_pairs > PAIRS:
+                for row in self.pairs.values():  # rows that are in use stay
+                    row.clear()
+                self.known_pairs = 1
             parts = [self.names[n] if n >= 0 else chr(START - 1 - n) for n in (a, b) if n != START]
-            known = self.pairs[a, b] = 0.0 if self.merged("".join(parts)) == parts else math.inf
+            known = self.pairs[a][b] = 0.0 if not self.merging or self.merged("".join(parts)) == parts else math.inf
         return known
 
-    def arcs(self, symbols: str, at: int) -> Iterator[tuple[int, int, float]]:
-        """(end, piece, weight) of the lexicon's paths from ``at`` on, and of the fallback's if the symbol is no piece."""
-        arc, piece = self.lexicon.arc, self.lexicon.piece
-        state, alone = 0, False
-        for end in range(at, len(symbols)):
-            state = arc.get(state << 21 | ord(symbols[end]))
-            if state is None:
-                break
-            n = piece[state]
-            if n >= 0:
-                alone |= end == at
-                yield end + 1, n, self.weight[n]
-        if not alone:
-            yield at + 1, START - 1 - ord(symbols[at]), self.heaviest
-
     def shortest(self, symbols: str) -> list[int]:
         """Pieces on the path of least weight that reads ``symbols``; of symbols that are no piece numbers as in ``pair``.
 
-        Nodes of the composition are (place, state of the pair acceptor), the state being the last piece of a merge model and
-        START of others. Places are in topological order, so every arc is relaxed once, and nodes of infinite weight don't arise.
+        Nodes of the composition are (place, state of the pair acceptor). The beginning of a text up to a place has one merge result, so
+        of a merge model one node of a place has finite weight; the acceptor of others has one state. So a place has one
+        node. Places are in topological order, and every arc is relaxed once.
         """
-        reached: list[dict[int, tuple]] = [{} for _ in range(len(symbols) + 1)]
-        reached[0][START] = (0.0, 0, START, START)
-        merging, pairs = self.merging, self.pairs
-        for at in range(len(symbols)):
-            here = reached[at]
-            if not here:
+        size, weights, merging = len(symbols), self.weight, self.merging
+        total, last, back = [0.0] + [math.inf] * size, [START] * (size + 1), [0] * (size + 1)
+        for at in range(size):
+            before = total[at]
+            if before == math.inf:
                 continue
-            for end, n, weight in self.arcs(symbols, at):
-                for state, (before, *_) in here.items():
-                    total = before + weight
-                    if merging:
-                        total += pairs[state, n] if (state, n) in pairs else self.pair(state, n)
-                        if total == math.inf:
-                            continue
-                    known = reached[end].get(n if merging else START)
-                    if known is None or total < known[0]:
-                        reached[end][n if merging else START] = (total, at, state, n)
-        out, at = [], len(symbols)
-        state = min(reached[at], key=lambda s: reached[at][s][0])
+            row = self.pairs[last[at]]
+            state, end, alone = self.lexicon, at, False
+            while end < size:
+                state = state.get(symbols[end])
+                if state is None:
+                    break
+                end += 1
+                n = state.get(PIECE)
+                if n is None:
+                    continue
+                alone |= end == at + 1
+                weight = before + weights[n]
+                if merging:
+                    pair = row.get(n)
+                    weight += self.pair(last[at], n) if pair is None else pair
+                if weight < total[end]:
+                    total[end], last[end], back[end] = weight, n, at
+            if not alone:  # the fallback's arc
+                n = START - 1 - ord(symbols[at])
+                weight = before + self.heaviest + self.pair(last[at], n)
+                if weight < total[at + 1]:
+                    total[at + 1], last[at + 1], back[at + 1] = weight, n, at
+        out, at = [], size
         while at:
-            _, at, state, n = reached[at][state]
-            out.append(n)
+            out.append(last[at])
+            at = back[at]
         return out[::-1]
 
     def part_ids(self, part: str) -> bytes:
