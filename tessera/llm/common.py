@@ -187,10 +187,10 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def tiles(df: DataFrame, keys: Sequence[str], member: str, size: int) -> DataFrame:
+def tiles(df: DataFrame, keys: Sequence[str], member: str, size: int, counted: bool = False) -> DataFrame:
     """Deal each group of two rows or more into square tiles of about ``2 * size`` rows.
 
-    Adds ``tile_a <= tile_b`` and ``side``. Rows of a group are dealt by the hash of ``member`` to
+    Adds ``tile_a <= tile_b`` and ``side``, and the group's number of ``blocks`` if ``counted``. Rows of a group are dealt by the hash of ``member`` to
     ceil(count / size) blocks, and each block goes to the tiles it forms with every block, so each
     pair of rows of the group meets in a tile: pairs inside a block in the tile (a, a), others in
     (a, b). A hot group becomes many tasks, a small one stays a single tile. Counts are partially
@@ -206,6 +206,7 @@ def tiles(df: DataFrame, keys: Sequence[str], member: str, size: int) -> DataFra
         F.least("block", "other").cast("int").alias("tile_a"),
         F.greatest("block", "other").cast("int").alias("tile_b"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
+        *(["blocks"] if counted else []),
     )
 
 

@@ -14,6 +14,10 @@ from tessera.llm.common import array_to_numpy, components, give_back, local_comp
 from tessera.llm.shingles import minhashes, mixed, set_key, shingle_sets
 
 
+#: If a tile's surviving pairs are fewer than this part of all, they are intersected one by one.
+FEW = 64
+
+
 def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[int]:
     """For each number of compared values, the fewest matches that keep a pair.
 
@@ -74,7 +78,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     2. Classes that agree in a band of MinHash values meet in tiles of bounded size. Their values are compared
        step by step, and a pair is dropped as soon as the posterior probability of reaching the threshold
        falls below ``tolerance``. Of what survives only a spanning star of each linked group is kept.
-    3. The stars' components are clusters; in tiles of each cluster every pair is verified exactly on the
+    3. The stars' components are clusters. Of a cluster of several tiles, signatures meet first, and shingles go only to tiles where
+       a pair of theirs survives. In a tile the pairs that survive the same pruning are verified exactly on the
        shingles. Links are counted without listing pairs; the components of exact links are the result's groups.
 
     No step lists the pairs of a group, and hot buckets and clusters are dealt to many tasks. At the defaults a pair at
@@ -145,44 +150,64 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     sorted_ = dealt.repartition("bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b", "side")
     clusters = save(components(sorted_.mapInArrow(candidates, "u long, v long").distinct()))
 
-    wanted = clusters.withColumnRenamed("node", "rep").join(classes.select("rep", "k1", "n"), "rep").select("rep", "k1", "n", F.col("component").alias("cluster"))
-    chosen = base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "k1", "n", "cluster", "text")
+    wanted = clusters.withColumnRenamed("node", "rep").join(classes.select("rep", "k1", "n", "sig"), "rep").select("rep", "k1", "n", "sig", F.col("component").alias("cluster"))
+    chosen = base.join(wanted, base["doc_id"] == wanted["rep"]).select("rep", "k1", "n", "sig", "text")
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 sets = shingle_sets(_texts(batch.column("text")), width)
                 own = pa.array([len(s) > 0 and set_key(s)[0] == k for s, k in zip(sets, batch.column("k1").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "cluster")), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "cluster", "shingles"]).filter(own)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "n", "sig")), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "sig", "shingles"]).filter(own)
+
+    sets_ = chosen.mapInArrow(spelled, "rep long, n long, sig binary, shingles binary")
+    spots = tiles(wanted.select("rep", "cluster"), ["cluster"], "rep", tile, counted=True)
+    in_tiles = lambda df: df.repartition("cluster", "tile_a", "tile_b").sortWithinPartitions("cluster", "tile_a", "tile_b", "side", "rep")
 
-    sets_ = chosen.mapInArrow(spelled, "rep long, n long, cluster long, shingles binary")
-    members = wanted.select("rep", "cluster")
-    placed = tiles(members, ["cluster"], "rep", tile).join(sets_.drop("cluster"), "rep")
+    def survivors(batches: Iterator[pa.RecordBatch], other: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """Each tile without repeated rows, and its pairs that the pruning leaves; ``other`` is one more column that is kept."""
+        columns = ["cluster", "tile_a", "tile_b", "side", "rep", "sig", *other.split()]
+        for table in whole_groups(batches, columns[:3]):
+            edges = [*starts([array_to_numpy(table[c]) for c in columns[:3]]).tolist(), len(table)]
+            rep = array_to_numpy(table["rep"])
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                own = table.select(columns).take(pa.array(lo + np.unique(rep[lo:hi], return_index=True)[1]))
+                sig = np.frombuffer(b"".join(own["sig"].to_pylist()), np.uint16).reshape(len(own), count)
+                found = []
+                for i, j in pairs_of_tiles(own, ["cluster"], 1 << 18):
+                    kept = prune(sig, sig, i, j, steps, least)
+                    found.append((i[kept], j[kept]))
+                if sum(len(i) for i, _ in found):
+                    yield own, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, i, j in survivors(batches, ""):
+            use = np.unique(np.concatenate([i, j]))
+            yield from own.select(["rep", "cluster", "tile_a", "tile_b", "side"]).take(pa.array(use)).combine_chunks().to_batches()
+
+    large = in_tiles(spots.filter("blocks > 1").drop("blocks").join(wanted.select("rep", "sig"), "rep")).mapInArrow(occupied, "rep long, cluster long, tile_a int, tile_b int, side int")
+    small = spots.filter("blocks = 1").select("rep", "cluster", "tile_a", "tile_b", "side")
+    placed = small.unionByName(large).join(sets_, "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["cluster", "tile_a", "tile_b"]):
-            cols = {c: array_to_numpy(table[c]) for c in ("rep", "n", "cluster", "tile_a", "tile_b", "side")}
-            first = starts([cols[c] for c in ("cluster", "tile_a", "tile_b")])
-            sets = [np.frombuffer(s, np.uint64) for s in table["shingles"].to_pylist()]
-            out = []
-            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(sets)], strict=True):
-                take = lo + np.unique(cols["rep"][lo:hi], return_index=True)[1]
-                rep, n, side = cols["rep"][take], cols["n"][take], cols["side"][take]
-                own = [sets[k] for k in take]
-                both = intersections(own)
-                size = np.array([len(s) for s in own])
-                linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-                if cols["tile_a"][lo] != cols["tile_b"][lo]:
-                    linked &= side[:, None] != side[None, :]
-                np.fill_diagonal(linked, False)
-                i, j = np.nonzero(np.triu(linked))
-                if len(i):
-                    use, low = stars(rep, i, j)
-                    out.append((rep[use], (linked @ n)[use], rep[low[use]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "add", "low"])
-
-    tiled = placed.repartition("cluster", "tile_a", "tile_b").sortWithinPartitions("cluster", "tile_a", "tile_b", "side", "rep")
+        for own, i, j in survivors(batches, "n shingles"):
+            rep, n = array_to_numpy(own["rep"]), array_to_numpy(own["n"])
+            sets = [np.frombuffer(s, np.uint64) for s in own["shingles"].to_pylist()]
+            size = np.array([len(s) for s in sets])
+            if len(i) * FEW > len(rep) ** 2:
+                both = intersections(sets)[i, j]
+            else:
+                both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+            close = both >= threshold * (size[i] + size[j] - both) - 1e-9
+            i, j = i[close], j[close]
+            if len(i):
+                add = np.zeros(len(rep), np.int64)
+                np.add.at(add, i, n[j])
+                np.add.at(add, j, n[i])
+                use, low = stars(rep, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rep[use], add[use], rep[low[use]])], ["rep", "add", "low"])
+
+    tiled = in_tiles(placed)
     linked = save(tiled.mapInArrow(verify, "rep long, add long, low long"))
     group = components(linked.select(F.col("rep").alias("u"), F.col("low").alias("v")).distinct()).withColumnRenamed("node", "rep")
     counts = linked.groupBy("rep").agg(F.sum("add").alias("add"))
