@@ -99,7 +99,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), words=51, remove_words=False).drop("kept")
 
 
 @query
@@ -173,13 +173,20 @@ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.la
 r AS (SELECT DISTINCT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a), m AS (SELECT node, min(reach) AS low FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.low, v.vec_id) AS component_id, coalesce(m.low, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN m ON m.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
 
-ORACLES["op2_suffix_dedup"] = """WITH b AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+ORACLES["op2_suffix_dedup"] = """WITH b AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS t FROM documents),
 w AS MATERIALIZED (SELECT doc_id, pos, md5(array_slice(t, pos, pos + 399)) AS h FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 398)) AS pos FROM b WHERE octet_length(t) >= 400)),
 f AS MATERIALIZED (SELECT doc_id, pos FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
 g AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM f),
 i AS (SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos - before > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g),
 r AS MATERIALIZED (SELECT doc_id, run, min(pos) AS low, max(pos) + 400 AS high FROM i GROUP BY 1, 2),
 k AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 1) AS low, low AS high FROM r UNION ALL SELECT b.doc_id, coalesce(max(high), 1), octet_length(any_value(t)) + 1 FROM b LEFT JOIN r ON b.doc_id = r.doc_id GROUP BY 1),
-s AS (SELECT k.doc_id, sha256(unhex(string_agg(CASE WHEN k.high > k.low THEN hex(array_slice(t, k.low, k.high - 1)) ELSE '' END, '' ORDER BY k.low))) AS kept FROM k JOIN b ON k.doc_id = b.doc_id GROUP BY 1)
-SELECT b.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, kept AS kept_sha256
-FROM b JOIN s ON b.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, sum(high - low) AS n, count(*) AS c FROM r GROUP BY 1) q ON b.doc_id = q.doc_id"""
+s AS (SELECT k.doc_id, sha256(unhex(string_agg(CASE WHEN k.high > k.low THEN hex(array_slice(t, k.low, k.high - 1)) ELSE '' END, '' ORDER BY k.low))) AS kept FROM k JOIN b ON k.doc_id = b.doc_id GROUP BY 1),
+pt AS (SELECT doc_id, x, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS x FROM b)),
+pp AS (SELECT doc_id, x[n] AS p, 1 + sum(octet_length(encode(x[n]))) OVER (PARTITION BY doc_id ORDER BY n) AS high, n FROM pt),
+pw AS MATERIALIZED (SELECT doc_id, high - octet_length(encode(p)) AS low, high, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n FROM pp WHERE regexp_matches(p, '^[^\\x20\\x09-\\x0D]')),
+ps AS MATERIALIZED (SELECT a.doc_id, a.low, z.high, md5(array_slice(t, CAST(a.low AS BIGINT), CAST(z.high AS BIGINT) - 1)) AS h FROM pw a JOIN pw z ON a.doc_id = z.doc_id AND z.n = a.n + 50 JOIN b ON b.doc_id = a.doc_id),
+pi AS (SELECT doc_id, low, high FROM ps JOIN (SELECT h FROM ps GROUP BY h HAVING count(*) > 1) USING (h) UNION ALL SELECT doc_id, low, high FROM r),
+pr AS (SELECT doc_id, low, high, max(high) OVER (PARTITION BY doc_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM pi),
+pn AS (SELECT doc_id, sum(greatest(0, high - greatest(low, coalesce(reached, low)))) AS n FROM pr GROUP BY 1)
+SELECT b.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(q.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c, 0) AS BIGINT) AS n_spans, kept AS kept_sha256, CAST(coalesce(pn.n, 0) AS BIGINT) AS n_repeated
+FROM b JOIN s ON b.doc_id = s.doc_id LEFT JOIN (SELECT doc_id, sum(high - low) AS n, count(*) AS c FROM r GROUP BY 1) q ON b.doc_id = q.doc_id LEFT JOIN pn ON pn.doc_id = b.doc_id"""

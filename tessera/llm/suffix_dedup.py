@@ -43,9 +43,10 @@ def order_key(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, carry: Sequence[str] = (), as_text: bool = False, run_piece: int = PIECE) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int | None = None, remove_words: bool = True, carry: Sequence[str] = (), as_text: bool = False, run_piece: int = PIECE) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else in the table, or, if
-    ``words`` is given, by that many whole words (set apart by ASCII white space) whose bytes stand as whole words elsewhere.
+    ``words`` is given, by that many whole words (set apart by ASCII white space) whose bytes stand as whole words elsewhere. Without
+    ``remove_words`` the latter are only counted.
 
     A suffix array of every position would be many times the text. Suffixes are therefore sampled by content: each string
     of ``length`` bytes has one anchor, and equal strings have it at the same offset (``Anchors``), so it is enough
@@ -65,7 +66,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     or the compressed runs of a range.
 
     Rows, one for each input row: doc_id, the columns named in ``carry`` as carried_0, carried_1 and so on, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256, kept (the remaining bytes; with ``as_text`` a
+    kept_sha256, n_repeated (bytes in strings of either kind that occur twice), kept (the remaining bytes; with ``as_text`` a
     string, without bytes of characters that were cut in two). Strings never cross texts. Null text counts as empty. Repeated rows repeat
     each other's strings. A null id is kept. Empty table: no rows. Other columns are ignored.
     """
@@ -166,7 +167,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 for r, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
                     for lo in range(i, j, run_piece):  # pieces of a run, in order
                         yield _batch([(at, RUN, kind * ranges + r, lo.to_bytes(8, "big"), encode_run([(*items[n][:2], base + n, len(items[n][2])) for n in range(lo, min(j, lo + run_piece))]))])
-                rows += [(base + n, *p) for n, i in enumerate(items) for p in i[2]]
+                rows += [(base + n, kind, *p) for n, i in enumerate(items) for p in i[2]]
                 base += len(items)
             if rows:
                 yield _batch([(at, MAP, 0, None, zstandard.compress(np.array(rows, np.int64).tobytes(), 1))])
@@ -261,36 +262,38 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     out_schema = T.StructType([
         T.StructField("doc_id", T.LongType()), *(T.StructField(f"carried_{n}", docs.schema[c].dataType) for n, c in enumerate(carry)),
-        T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
+        T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("n_repeated", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, replied, gone = None, [], [], None
+        at, rows, replied, gone, seen = None, [], [], None, None
         for block, kind, part, _, data in _rows(batches):
             if block != at:
                 at, rows, replied, gone = block, [], [], None
             if kind != TEXT:
-                (rows if kind == MAP else replied).append(np.frombuffer(zstandard.decompress(data), np.int64).reshape(-1, 4 if kind == MAP else 3))
+                (rows if kind == MAP else replied).append(np.frombuffer(zstandard.decompress(data), np.int64).reshape(-1, 5 if kind == MAP else 3))
                 continue
             if gone is None:
-                gone = defaultdict(list)
+                gone, seen = defaultdict(list), defaultdict(list)
                 if rows and replied:
                     reply = np.concatenate(replied)
                     reply = reply[np.argsort(reply[:, 0])]
                     known = np.concatenate(rows)
                     i = np.minimum(np.searchsorted(reply[:, 0], known[:, 0]), len(reply) - 1)
                     hit = reply[i, 0] == known[:, 0]
-                    for (_, p, text, first), (_, a, b) in zip(known[hit].tolist(), reply[i[hit]].tolist(), strict=True):
-                        gone[p, text].append((first + a, first + b))
+                    for (_, of_words, p, text, first), (_, a, b) in zip(known[hit].tolist(), reply[i[hit]].tolist(), strict=True):
+                        seen[p, text].append((first + a, first + b))
+                        if remove_words or not of_words:
+                            gone[p, text].append((first + a, first + b))
             out = []
             for n, (doc, raw, extra) in enumerate(pickle.loads(zstandard.decompress(data))):
                 spans = _spans(gone.get((part, n), []))
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((doc, *extra, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+                out.append((doc, *extra, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in _spans(seen.get((part, n), []))), kept.decode("utf-8", "ignore") if as_text else kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         give_back()
 

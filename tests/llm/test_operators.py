@@ -257,6 +257,10 @@ def test_runs_of_words_are_removed(spark, seed):
     rows = doc_rows(["".join(part() + rng.choice([" ", " ", " ", "", "\t"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["b"] * 30 + ["a " * 40, "long" * 60, "long" * 61, None])
     got = remove_repeats(frame(spark, rows), length=120, words=17).collect()
     assert sorted((r.doc_id, bytes(r.kept)) for r in got) == without_word_runs(rows, 120, 17)
+    assert all(r.n_repeated == r.n_removed for r in got)
+    counted = {r.doc_id: r for r in remove_repeats(frame(spark, rows), length=120, words=17, remove_words=False).collect()}
+    assert all(counted[r.doc_id].n_repeated == r.n_removed for r in got)
+    assert sorted((r.doc_id, bytes(r.kept)) for r in counted.values()) == without_word_runs(rows, 120, 10**6)
     assert without_word_runs(rows, 120, 17) != without_word_runs(rows, 120, 10**6)
 
 
