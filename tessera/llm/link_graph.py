@@ -39,8 +39,8 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def propagate(edges: DataFrame, seeds: DataFrame, seed_col: str, *, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank over edges (src, dst, weight); weights of one src sum to one.
 
-    seeds: one row per host. Rows: host, score; the start mass of a host without links is kept at
-    its seed value. Contributions are summed by aggregation, so hubs cost no more than their links.
+    seeds: one row per host, of any sum. Rows: host, score. What a host without links holds goes nowhere; handing it back to the seeds would
+    only multiply all scores, as would seeds of sum one, so neither is done here. Contributions are summed by aggregation, so hubs cost no more than their links.
 
     Rounds go on until no score can be further than ``tolerance`` from its limit. A round brings all scores together at least by the factor
     ``damping`` nearer, so what is left is at most what the last round moved times damping / (1 - damping).
@@ -62,8 +62,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", u
     Links are the absolute and protocol-relative ``href`` values of a page; a host's edges are its
     links to other hosts, weighted by how many of its pages' links go there. Trust starts at hosts in
     proportion to the share of their pages that rules allow and follows links; distrust
-    starts in proportion to the share that rules block and goes against the links. Both are divided
-    by the restart share, so that a host without links keeps its seed; both are within ``tolerance`` of the limit, however long the paths.
+    starts in proportion to the share that rules block and goes against the links. Both are scaled so that
+    a host without links keeps its seed, which makes scores of graphs of all sizes alike: they are personalised PageRank, with the seeds as a
+    distribution and what hosts without links hold handed back to the seeds, times one factor. Both are within ``tolerance`` of the
+    limit, however long the paths.
 
     A host is blocked if its distrust exceeds its trust by more than ``margin``, or if what links brought it of distrust exceeds
     its trust by more than ``margin`` times what they can carry. Distrust of a host is divided among all that

@@ -329,6 +329,29 @@ def test_distrust_of_long_chains(spark):
     assert got["start.info"].distrust == pytest.approx(4 * 0.85**9, abs=1e-6) and got["start.info"].verdict == "block"
 
 
+def personalised_pagerank(links, seeds, damping=0.85):
+    """By a dense solver: seeds as a distribution, and hosts without links hand what they hold back to the seeds."""
+    start = seeds / seeds.sum()
+    size = links.sum(axis=1, keepdims=True)
+    step = np.where(size > 0, links / np.where(size > 0, size, 1), start[None, :])
+    return np.linalg.solve(np.eye(len(start)) - damping * step.T, (1 - damping) * start)
+
+
+def test_scores_are_those_of_a_dense_solver(spark):
+    rng = np.random.default_rng(12)
+    ends = ["net", "org", "info"]
+    names = [f"h{i}.{ends[i % 3]}" for i in range(200)]
+    links = np.where(rng.random((200, 200)) < 0.012, rng.integers(1, 4, (200, 200)), 0)
+    np.fill_diagonal(links, 0)
+    links[rng.random(200) < 0.2] = 0
+    rows = [(i, f"http://{n}/fr/{i}", "".join(f'<a href="http://{names[j]}/x">' * links[i, j] for j in np.flatnonzero(links[i]))) for i, n in enumerate(names)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
+    trusted, blocked = (np.array([float(n.endswith(e)) for n in names]) for e in ("org", "net"))
+    for column, graph, seeds in (("trust", links, trusted), ("distrust", links.T, blocked)):
+        found = np.array([got[i][column] for i in range(200)])
+        assert found / found.sum() == pytest.approx(personalised_pagerank(graph, seeds), abs=2e-7)
+
+
 def test_scores_on_a_cycle(spark):
     rows = [(1, "http://a.info/", linked("b.info", "bad.net")), (2, "http://b.info/", linked("a.info")), (3, "http://bad.net/", "")]
     got = {r.host: r for r in judge(spark.createDataFrame(rows, PAGES), URL_RULES).collect()}
