@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
@@ -37,6 +38,16 @@ class SplitterConfig:
     patterns: list[list[str]] | None = None
 
 
+#: Least and greatest value of the numbers of StorageConfig.
+STORAGE_RANGES = {
+    "compact_ratio": (math.ulp(0.0), 1.0),
+    "fsync_interval_ms": (0, math.inf),
+    "memory_budget_mb": (1, math.inf),
+    "segment_max_mb": (1, math.inf),
+    "snapshot_interval_s": (1, math.inf),
+}
+
+
 @dataclass(frozen=True)
 class StorageConfig:
     dir: str = "storage"
@@ -47,15 +58,11 @@ class StorageConfig:
     compact_ratio: float = 0.3
 
     def __post_init__(self) -> None:
-        if not self.dir:
-            raise ValueError("[storage] dir must not be empty")
-        for name in ("memory_budget_mb", "segment_max_mb", "snapshot_interval_s"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"[storage] {name} must be greater than 0")
-        if self.fsync_interval_ms < 0:
-            raise ValueError("[storage] fsync_interval_ms must not be negative")
-        if not 0 < self.compact_ratio <= 1:
-            raise ValueError(f"[storage] compact_ratio must be in (0, 1], not {self.compact_ratio}")
+        wrong = {name: value for name, (low, high) in STORAGE_RANGES.items() if not low <= (value := getattr(self, name)) <= high}
+        if wrong:
+            raise ValueError(f"storage settings out of range: {wrong}; ranges are { {name: STORAGE_RANGES[name] for name in wrong} }")
+        if not self.dir.strip():
+            raise ValueError("storage needs a folder")
 
     @property
     def memory_budget_bytes(self) -> int:

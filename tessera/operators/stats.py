@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,17 +56,25 @@ def distinct_documents(filter_rows: DataFrame) -> DataFrame:
     return filter_rows.agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_rows"))
 
 
-def latency(rows: DataFrame, value_col: str, groups: list[str]) -> DataFrame:
-    """Median and 99th percentile by nearest rank, mean and count of each group.
+def latency(rows: DataFrame, value_col: str, groups: list[str], most: int = 20_000) -> DataFrame:
+    """Median and 99th percentile by nearest rank, mean and count of each group. Null values count as rows but have no rank.
 
-    Ranks are taken by a window, so that no group is gathered into one value.
+    Approximate quantiles, which are added up in each task, bound where the two values are. Only rows between the bounds are
+    put in order; those below are counted. Groups of up to ``most`` values are put in order as a whole.
     """
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy(*groups))
-    at = F.row_number().over(Window.partitionBy(*groups).orderBy(value_col)) - 1
-    ranked = rows.withColumn("n", n).withColumn("at", at)
-    pick = lambda p: F.max(F.when(F.col("at") == F.floor(F.lit(p / 100.0) * (F.col("n") - 1) + 0.5), F.col(value_col)))
-    return ranked.groupBy(*groups).agg(pick(50).alias("p50"), pick(99).alias("p99"), F.avg(value_col).alias("mean"), F.count("*").alias("n"))
-
-
+    value = F.col(value_col)
+    near, slack = (0.5, 0.99), 0.001
+    bounds = F.percentile_approx(value, [min(1.0, max(0.0, p + s)) for p in near for s in (-slack, slack)], 10_000)
+    figures = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.count(value).alias("known"), F.avg(value).alias("mean"), bounds.alias("bounds"))
+    both = rows.filter(value.isNotNull()).join(figures.select(*groups, "known", "bounds"), groups)
+    out = figures
+    for k, (p, name) in enumerate(zip(near, ("p50", "p99"), strict=True)):
+        low, high = (F.col("bounds")[2 * k + n] for n in (0, 1))
+        small = F.col("known") <= most
+        inside = both.filter(small | value.between(low, high))
+        below = both.filter(~small & (value < low)).groupBy(*groups).agg(F.count("*").alias("below"))
+        at = F.row_number().over(Window.partitionBy(*groups).orderBy(value_col)) - 1
+        found = inside.withColumn("at", at).join(below, groups, "left").withColumn("at", F.col("at") + F.coalesce("below", F.lit(0)))
+        found = found.filter(F.col("at") == F.floor(F.lit(p) * (F.col("known") - 1) + 0.5)).select(*groups, value.alias(name))
+        out = out.join(found, groups, "left")
+    return out.select(*groups, "p50", "p99", "mean", "n")

@@ -29,12 +29,22 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def comparable(vector: Column, width: Column | int) -> Column:
+    """Whether a vector can be compared with queries of a width: it is there, is as wide, and has no null components."""
+    wide = F.size(vector) == (F.lit(width) if isinstance(width, int) else width)
+    return F.coalesce(wide & ~F.exists(vector, lambda x: x.isNull()), F.lit(False))
+
+
 def scored(vectors: DataFrame, query: Sequence[float] | DataFrame, metric: str, vec_col: str = "embedding") -> DataFrame:
-    """``vectors`` with their ``distance`` to one query: a list, or a DataFrame whose only row has ``query_vector``."""
+    """``vectors`` with their ``distance`` to one query: a list, or a DataFrame whose only row has ``query_vector``.
+
+    Rows without a vector, or with one that isn't ``comparable``, are left out, as they would be from an index.
+    """
     if isinstance(query, DataFrame):
         one = query.select(F.col("query_vector")).limit(1)
-        return vectors.crossJoin(F.broadcast(one)).withColumn("distance", distance(metric, F.col(vec_col), F.col("query_vector"))).drop("query_vector")
-    return vectors.withColumn("distance", distance(metric, F.col(vec_col), literal(query)))
+        both = vectors.crossJoin(F.broadcast(one)).filter(comparable(F.col(vec_col), F.size("query_vector")))
+        return both.withColumn("distance", distance(metric, F.col(vec_col), F.col("query_vector"))).drop("query_vector")
+    return vectors.filter(comparable(F.col(vec_col), len(query))).withColumn("distance", distance(metric, F.col(vec_col), literal(query)))
 
 
 def restrict(vectors: DataFrame, *, workspaces: Sequence | None = None, doc_ids: Sequence[int] | DataFrame | None = None) -> DataFrame:
@@ -76,53 +86,77 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, met
     """Nearest k rows for each row (query_id, query_vector) of ``queries``: (query_id, rank, id, distance).
 
     A query set of checked size is sent to every task, which scores a batch of vectors against all of it at once and passes on
-    at most the k nearest of the batch for each query (and ties). A larger set is cut into blocks of about ``tile`` rows, and every
-    vector meets every block through an equi-join on the block's number, so no task holds more than a block.
+    at most the k nearest of the batch for each query. A larger set is cut into blocks of about ``tile`` rows, and every
+    vector meets every block through an equi-join on the block's number, so no task holds more than a block. Both give the same
+    hits: queries are of one width, and vectors that aren't ``comparable`` are left out. Queries without a vector have no hits.
     """
     check_k(k)
     asked = queries.select(F.col("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector")).filter("query_vector is not null")
-    known = vectors.select(id_col, F.col(vec_col).alias("vector"))
-    if asked.limit(tile + 1).count() <= tile:
-        near = _scored_in_batches(known, asked.collect(), asked.schema["query_id"].dataType, k, id_col, metric)
+    count, least, width = asked.agg(F.count("*"), F.min(F.size("query_vector")), F.max(F.size("query_vector"))).first()
+    if least != width:
+        raise ValueError(f"the queries have vectors of different widths, {least} to {width}")
+    known = vectors.select(id_col, F.col(vec_col).alias("vector")).filter(comparable(F.col("vector"), width or 0))
+    if count <= tile:
+        near = _scored_in_batches(known, asked.collect(), width or 0, asked.schema["query_id"].dataType, k, id_col, metric)
         return topk_by(near, ["query_id"], k, id_col)
-    blocks = -(-asked.count() // tile)
+    blocks = -(-count // tile)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     pairs = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block")
     near = pairs.select("query_id", id_col, distance(metric, F.col("vector"), F.col("query_vector")).alias("distance"))
     return topk_by(near, ["query_id"], k, id_col)
 
 
-def _scored_in_batches(known: DataFrame, asked: list, query_type: T.DataType, k: int, id_col: str, metric: str) -> DataFrame:
-    """(query_id, id, distance) of the k nearest of each batch of vectors. Distances are those of ``distance``, in doubles."""
+def _distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, as ``distance`` has them."""
+    if metric == "L2sq":
+        return ((a - b) ** 2).sum(axis=1)
+    dot = (a * b).sum(axis=1)
+    if metric == "IP":
+        return 1.0 - dot
+    if metric == "Cos":
+        size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        return np.where(size <= EPSILON, 1.0, 1.0 - dot / np.where(size > 0, size, 1.0))
+    return np.full(len(a), np.inf)
+
+
+def _scored_in_batches(known: DataFrame, asked: list, width: int, query_type: T.DataType, k: int, id_col: str, metric: str) -> DataFrame:
+    """(query_id, id, distance) of the k nearest of each batch of vectors, ties by id."""
     ids = [r.query_id for r in asked]
-    width = len(asked[0].query_vector) if asked else 0
-    if any(len(r.query_vector) != width for r in asked):
-        raise ValueError("the queries have vectors of different widths")
     matrix = np.array([r.query_vector for r in asked], float).reshape(len(asked), width)
     own = (matrix * matrix).sum(axis=1)
     kind = to_arrow_type(query_type)
 
+    def roughly(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """Distances by one product of matrices, and how far off they may be."""
+        if metric not in ("IP", "L2sq", "Cos"):
+            return np.zeros((len(ids), len(rows))), 0.0
+        dot, norm = matrix @ rows.T, (rows * rows).sum(axis=1)
+        if metric == "IP":
+            return -dot, 1e-12 * np.sqrt(own[:, None] * norm[None, :]).max(axis=1, keepdims=True)
+        if metric == "L2sq":
+            return own[:, None] - 2 * dot + norm[None, :], 1e-12 * (own[:, None] + norm.max())
+        size = np.sqrt(own[:, None] * norm[None, :])
+        return np.where(size <= EPSILON, 1.0, 1.0 - dot / np.where(size > 0, size, 1.0)), 1e-12
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
-                column = batch.column(1)
-                batch = batch.filter(pc.and_(column.is_valid(), pc.equal(pc.list_value_length(column), width)))
-                if not len(batch) or not len(ids) or not k:
+                if not len(ids) or not k:
                     continue
                 rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), width)
-                dot = matrix @ rows.T
-                if metric == "IP":
-                    d = 1.0 - dot
-                elif metric == "L2sq":
-                    d = np.maximum(own[:, None] - 2 * dot + (rows * rows).sum(axis=1)[None, :], 0.0)
-                elif metric == "Cos":
-                    size = np.sqrt(own[:, None] * (rows * rows).sum(axis=1)[None, :])
-                    d = np.where(size <= EPSILON, 1.0, 1.0 - dot / np.where(size > 0, size, 1.0))
-                else:
-                    d = np.full(dot.shape, np.inf)
-                least = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(ids), 1), np.inf)
-                q, r = np.nonzero(~(d > least))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(d[q, r])], ["query_id", id_col, "distance"])
+                place = np.empty(len(rows), np.int64)
+                place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(rows))
+                rough, off = roughly(rows)
+                least = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if len(rows) > k else np.full((len(ids), 1), np.inf)
+                q, r = np.nonzero(~(rough > least + 2 * off))
+                d = np.empty(len(q))
+                for part in range(0, len(q), 1 << 16):
+                    s = slice(part, part + (1 << 16))
+                    d[s] = _distances(metric, matrix[q[s]], rows[r[s]])
+                order = np.lexsort((place[r], d, q))
+                q, r, d = q[order], r[order], d[order]
+                use = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(q[use])), batch.column(0).take(pa.array(r[use])), pa.array(d[use])], ["query_id", id_col, "distance"])
 
     return known.mapInArrow(run, T.StructType([T.StructField("query_id", query_type), known.schema[id_col], T.StructField("distance", T.DoubleType())]))

@@ -31,8 +31,8 @@ def ranked_splits(splits: DataFrame, summaries: DataFrame, query, *, k: int = 5,
 
 
 def pinned(hits: DataFrame) -> DataFrame:
-    """Hits as rows of the plan itself. A search has at most k of them for each kind, so they fit the driver, and what
-    follows neither searches again nor shuffles the tables it looks them up in."""
+    """Hits, without texts and vectors, as rows of the plan itself. A search has at most k of them for each kind, so they fit the driver,
+    and what follows neither searches again nor shuffles the tables it looks them up in."""
     return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
 
 
@@ -41,7 +41,9 @@ def search_documents(docs: DataFrame, splits: DataFrame, summaries: DataFrame, q
 
     With a reranker each document's full list is ranked too, on its own.
     """
-    ranked, hits = map(pinned, ranked_splits(splits, summaries, query, **options))
+    ranked, hits = ranked_splits(splits, summaries, query, **options)
+    ranked = pinned(ranked)
+    hits = pinned(hits.select("workspace_id", "split_id", "summary_id", "distance", *(c for c in ("rank", "score") if c in hits.columns)))
     ranks = None
     if (reranker := options.get("reranker")) is not None:
         own = summaries.join(ranked.select("workspace_id", "doc_id").distinct(), ["workspace_id", "doc_id"], "left_semi").select("workspace_id", "doc_id", "summary_id", "text", F.col("summary_id").alias("index"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset
+    and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/') if base else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/engine-{uuid.uuid4().hex}"
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
