@@ -72,3 +72,11 @@ def reject(docs: DataFrame, *bad: DataFrame) -> tuple[DataFrame, DataFrame]:
         keys = keys.unionByName(b.select(*KEY))
     keys = keys.distinct()
     return docs.join(keys, KEY, "left_anti"), docs.join(keys, KEY, "left_semi")
+
+
+def in_requested_order(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], position: str = "position") -> DataFrame:
+    """Rows of a list of ids, each with its place in the list; sort by ``position`` for the order. Ids that aren't there are skipped.
+
+    The list is that of a request, so the rows are found by a join that the engine broadcasts it in when it is small.
+    """
+    return wanted.join(rows, list(keys)).select(position, *rows.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from tessera.plans.search import search_documents
 from tessera.schemas import SEARCH_MODE
 from tessera.sources.store import Store
 
+log = logging.getLogger(__name__)
+
 
 class Engine:
     """A store with its models. Every method takes and returns DataFrames; ``model`` of a request is passed through only."""
@@ -25,7 +28,7 @@ class Engine:
         check_supported(config)
         self.spark, self.config, self.embedder, self.reranker = spark, config, embedder, reranker
         model = spark.range(1).select(ids.model_id(embedder.path, embedder.n_embd)).first()[0]
-        self.store = Store(spark, root, model_id=model, n_embd=embedder.n_embd, scalar_kind=config.index.scalar_kind)
+        self.store = Store(spark, root, model_id=model, n_embd=embedder.n_embd, scalar_kind=config.index.scalar_kind, segment_bytes=config.storage.segment_max_bytes)
 
     def insert(self, docs: DataFrame, verbose: bool = False) -> DataFrame:
         """Insert or replace documents (workspace_id, url, text). Rows: status of each; with ``verbose`` the stored document too."""
@@ -85,7 +88,15 @@ class Engine:
         return self.spark.range(1).select(F.lit("OK").alias("status"), F.lit(self.spark.version).alias("version"), F.lit(sc.defaultParallelism).alias("worker_count"))
 
     def maintain(self) -> bool:
-        """A maintenance pass: compaction where it is due, then removal of what no manifest names."""
-        done = self.store.compact(self.config.storage.compact_ratio)
-        self.store.clean()
+        """A maintenance pass: compaction where it is due, then removal of what no manifest names. A step that fails is logged, and the pass goes on;
+        whether anything was compacted."""
+        done = False
+        try:
+            done = self.store.compact(self.config.storage.compact_ratio)
+        except Exception:
+            log.exception("compaction of %s failed", self.store.root)
+        try:
+            self.store.clean()
+        except Exception:
+            log.exception("cleaning of %s failed", self.store.root)
         return done

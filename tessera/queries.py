@@ -485,8 +485,8 @@ add("lookup_by_url", lookup_by_url, f"SELECT page_id, url, {_MD5.format('url')}
 def get_in_requested_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits by a list of ids, in its order; ids that aren't there are skipped."""
     _, s, _, _ = entities(spark, sf_dir)
-    wanted = spark.range(1).select(F.posexplode(F.sequence(F.lit(300), F.lit(-1), F.lit(-7))).alias("pos", "split_id"))
-    return wanted.join(s, "split_id").select(F.col("pos").cast("long").alias("pos"), F.col("split_id").cast("long").alias("split_id"), "doc_id")
+    wanted = spark.range(1).select(F.posexplode(F.sequence(F.lit(300).cast("long"), F.lit(-1).cast("long"), F.lit(-7).cast("long"))).alias("pos", "split_id"))
+    return dml.in_requested_order(s, wanted, ["split_id"], "pos").select(F.col("pos").cast("long").alias("pos"), "split_id", "doc_id")
 
 
 add("get_in_requested_order", get_in_requested_order, f"WITH {ENTITIES}, w AS (SELECT CAST(row_number() OVER (ORDER BY i DESC) - 1 AS BIGINT) AS pos, i FROM (SELECT 300 - 7 * n FROM range(0, 44) t(n)) r(i)) SELECT pos, split_id, doc_id FROM w JOIN s ON s.split_id = w.i")

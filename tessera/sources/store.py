@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +17,21 @@ from tessera.plans.ingest import Processed
 from tessera.schemas import DOCS, SPLITS, SUMMARIES
 
 TABLES = {"docs": DOCS, "splits": SPLITS, "summaries": SUMMARIES}
-VERSION = 1
+VERSION = 2
+MANIFESTS = "_manifests"
 _COMMIT = T.StructField("commit", T.LongType())
 
 
+_BATCH = T.StructField("batch", T.StringType())
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since this one read the manifest."""
+
+
 @dataclass(frozen=True)
 class Manifest:
-    """What a reader may see: the commits in order, and where each table of a commit is."""
+    """What a reader may see: the commits in order, and where each table of a commit is. ``number`` counts manifests."""
 
     model_id: int
     n_embd: int
@@ -29,18 +39,24 @@ class Manifest:
     commits: list[dict] = field(default_factory=list)
     next_commit: int = 1
     version: int = VERSION
+    number: int = 0
 
 
 class Store:
     """Documents by workspace under ``root``, in any file system that Spark writes.
 
-    A commit is a folder of Parquet files and becomes visible with the manifest that names it; what a failed commit has
+    A commit is a folder of Parquet files in each table and becomes visible with the manifest that names it; what a failed commit has
     written is never read. A document's live rows are those of its latest commit, unless that deleted it. Readers of one
-    manifest see one version. There is one writer at a time.
+    manifest see one version.
+
+    Manifests are numbered files. A new one is written under another name and renamed to the next number, which fails if that is
+    there: the newest complete manifest always stays, and of two writers at a time one gets a ``Conflict`` and
+    changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, root: str, *, model_id: int, n_embd: int, scalar_kind: str = "F32"):
+    def __init__(self, spark: SparkSession, root: str, *, model_id: int, n_embd: int, scalar_kind: str = "F32", segment_bytes: int = 256 << 20, most_commits: int = 64):
         self.spark, self.root = spark, root.rstrip("/")
+        self.segment_bytes, self.most_commits = segment_bytes, most_commits
         self.manifest = self._load() or Manifest(model_id, n_embd, scalar_kind)
         m = self.manifest
         if m.version > VERSION:
@@ -52,10 +68,16 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
     def _load(self) -> Manifest | None:
-        fs, path = self._path("_manifest.json")
-        if not fs.exists(path):
+        """The manifest of the highest number."""
+        numbered = [n for n in self._names(MANIFESTS) if re.fullmatch(r"\d{10}\.json", n)]
+        if not numbered:
             return None
+        fs, path = self._path(f"{MANIFESTS}/{numbered[-1]}")
         stream = fs.open(path)
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -63,35 +85,47 @@ class Store:
             stream.close()
         return Manifest(**json.loads(text))
 
+    def refresh(self) -> None:
+        """See what others have published."""
+        self.manifest = self._load() or self.manifest
+
     def _publish(self, manifest: Manifest) -> None:
-        fs, path = self._path("_manifest.json")
-        _, new = self._path(f"_manifest.{uuid.uuid4().hex}.tmp")
+        manifest = replace(manifest, number=self.manifest.number + 1)
+        fs, new = self._path(f"{MANIFESTS}/{uuid.uuid4().hex}.tmp")
         stream = fs.create(new, True)
         try:
             stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
         finally:
             stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(new, path):
-            raise OSError(f"{path} could not be replaced")
+        self._rename(new, f"{MANIFESTS}/{manifest.number:010d}.json")
         self.manifest = manifest
 
+    def _rename(self, source, name: str) -> None:
+        """Rename a file to a name that must be free."""
+        jvm, (fs, target) = self.spark._jvm, self._path(name)
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, options)
+        except Py4JJavaError as e:
+            fs.delete(source, False)
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+                raise Conflict(f"{name} has been published by another writer") from None
+            raise
+
     def _write(self, number: int, tables: dict[str, DataFrame], label: str) -> dict:
         folder = f"{label}-{number:010d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.partitionBy("workspace_id").parquet(f"{self.root}/{folder}/{name}")
+            df.write.partitionBy("workspace_id").parquet(f"{self.root}/{name}/batch={folder}")
         return {"number": number, "folder": folder, "tables": sorted(tables), "kind": label}
 
     def _read(self, name: str, commits: list[dict] | None = None) -> DataFrame:
-        """Rows of all commits with their number; a compacted commit keeps the numbers of its rows."""
+        """Rows of all commits with their number, by one scan; a compacted commit keeps the numbers of its rows."""
         schema = T.StructType([*(f for f in TABLES[name].fields), *([T.StructField("deleted", T.BooleanType())] if name == "docs" else []), _COMMIT])
-        out = None
-        for c in self.manifest.commits if commits is None else commits:
-            if name in c["tables"]:
-                part = self.spark.read.schema(schema).parquet(f"{self.root}/{c['folder']}/{name}").select(*schema.fieldNames())
-                out = part if out is None else out.unionByName(part)
-        return self.spark.createDataFrame([], schema) if out is None else out
+        paths = [f"{self.root}/{name}/batch={c['folder']}" for c in (self.manifest.commits if commits is None else commits) if name in c["tables"]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(T.StructType([*schema.fields, _BATCH])).option("basePath", f"{self.root}/{name}").parquet(*paths)
+        return rows.select(*schema.fieldNames())
 
     def _live(self) -> DataFrame:
         """(workspace_id, doc_id, live commit) of each document that is there."""
@@ -126,13 +160,22 @@ class Store:
         return out
 
     def clean(self) -> None:
-        """Delete staged batches and folders that no manifest names."""
-        fs, root = self._path("")
-        named = {c["folder"] for c in self.manifest.commits}
-        for status in fs.listStatus(root) if fs.exists(root) else ():
-            name = status.getPath().getName()
-            if status.isDirectory() and name not in named:
-                fs.delete(status.getPath(), True)
+        """Delete staged batches, older manifests, and folders that the newest manifest doesn't name. Refuses where there is none, or one that
+        isn't this writer's."""
+        newest = self._load()
+        if newest is None:
+            if any(self._names(t) for t in TABLES):
+                raise RuntimeError(f"{self.root} has tables but no manifest; nothing is deleted")
+            return
+        if newest != self.manifest:
+            raise Conflict("the newest manifest is another writer's")
+        keep = {f"batch={c['folder']}" for c in newest.commits}
+        old = [f"{t}/{n}" for t in TABLES for n in self._names(t) if n.startswith("batch=") and n not in keep]
+        old += [n for n in self._names("") if n.startswith("_staging-")]
+        old += [f"{MANIFESTS}/{n}" for n in self._names(MANIFESTS) if n != f"{newest.number:010d}.json"]
+        for name in old:
+            fs, path = self._path(name)
+            fs.delete(path, True)
 
     def delete(self, doc_ids: DataFrame) -> DataFrame:
         """Delete documents (workspace_id, doc_id); status Success or NotFound. Unknown ids change nothing."""
@@ -155,19 +198,27 @@ class Store:
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def compact(self, ratio: float = 0.3) -> bool:
-        """Rewrite the live rows if any workspace's dead share is over ``ratio``; commit numbers stay, tombstones go."""
-        if not stats.needs_compaction(self.dead_rows(), ratio).filter("needs_compaction").limit(1).count():
+        """Rewrite the live rows if any workspace's dead share is over ``ratio``, or there are more than ``most_commits`` commits; commit
+        numbers stay, tombstones go. Files are of about ``segment_bytes``."""
+        due = len(self.manifest.commits) > self.most_commits
+        if not due and not stats.needs_compaction(self.dead_rows(), ratio).filter("needs_compaction").limit(1).count():
             return False
         m, live = self.manifest, self._live()
         tables = {}
         for name in TABLES:
             rows = self._read(name)
             rows = rows.filter(~F.col("deleted")) if name == "docs" else rows
-            tables[name] = rows.join(live, [*dml.KEY, "commit"], "left_semi").repartition("workspace_id", "doc_id").sortWithinPartitions("doc_id")
+            files = max(1, -(-self._size(name) // self.segment_bytes))
+            tables[name] = rows.join(live, [*dml.KEY, "commit"], "left_semi").repartition(files, "workspace_id", "doc_id").sortWithinPartitions("workspace_id", "doc_id")
         commit = self._write(m.next_commit, tables, "base")
         self._publish(replace(m, commits=[commit], next_commit=m.next_commit + 1))
         return True
 
+    def _size(self, name: str) -> int:
+        """Bytes that the manifest's files of a table take."""
+        paths = [self._path(f"{name}/batch={c['folder']}") for c in self.manifest.commits if name in c["tables"]]
+        return sum(fs.getContentSummary(p).getLength() for fs, p in paths)
+
     def stats(self) -> DataFrame:
         return stats.shard_stats(self.table("docs"), self.table("splits"), self.table("summaries"))
 
@@ -175,6 +226,12 @@ class Store:
         """Ids and vectors of all live splits or summaries; texts aren't read."""
         return self.table(name).select("workspace_id", "doc_id", f"{'summary' if name == 'summaries' else 'split'}_id", "embedding")
 
+    def get(self, name: str, wanted: DataFrame) -> DataFrame:
+        """Live rows of a table by id, with their ``position``: ``wanted`` has (position, workspace_id, doc_id, split_id or summary_id).
+        Ids that aren't there are skipped; one that is asked for twice comes twice."""
+        key = {"docs": "doc_id", "splits": "split_id", "summaries": "summary_id"}[name]
+        return dml.in_requested_order(self.table(name), wanted.select("position", "workspace_id", key), ["workspace_id", key])
+
     def contains(self, workspace: str, doc_id: int) -> bool:
         return bool(self._live().filter((F.col("workspace_id") == workspace) & (F.col("doc_id") == doc_id)).limit(1).count())
 

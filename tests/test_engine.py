@@ -1,5 +1,7 @@
 """Configuration, store, engine, replay, migration and streams."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
 from tessera.plans.requests import Header, dispatch
 from tessera.sources import legacy, readers
-from tessera.sources.store import Store
+from tessera.sources.store import Conflict, Store
 from tessera.streaming.ingest import ingest_stream, replay_stream
 
 CONFIG = EngineConfig(index=IndexConfig(dimensions=32, metric_kind="Cos"), splitter=SplitterConfig(max_tokens=20))
@@ -118,6 +120,81 @@ def test_reopen_compact_and_refuse(engine, spark, tmp_path):
         again.rerank("q", spark.createDataFrame([(0, "x")], "index int, text string"))
 
 
+class Crash(RuntimeError):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_write", "_publish", "_rename"])
+def test_a_crash_at_any_step_leaves_the_last_version(engine, spark, tmp_path, monkeypatch, step):
+    """Whatever step of an insert or a compaction ends the writer, what was there before is there after, and cleaning keeps it."""
+    before = state(engine)
+
+    def crash(*_):
+        raise Crash
+
+    monkeypatch.setattr(Store, step, crash)
+    with pytest.raises(Crash):
+        engine.insert(documents(spark, "w1", z="This text never becomes visible at all."))
+    monkeypatch.setattr(engine.store, "most_commits", 0)
+    assert engine.maintain() is False  # the failure is logged
+    monkeypatch.undo()
+    again = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
+    again.store.clean()
+    assert state(again) == before
+    again.insert(documents(spark, "w1", z="This text becomes visible later on."))
+    assert "u://z" in {r.url for r in again.store.table("docs").collect()}
+
+
+def test_cleaning_needs_a_manifest(engine, spark, tmp_path):
+    shutil.rmtree(f"{tmp_path}/store/_manifests")
+    lost = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
+    with pytest.raises(RuntimeError, match="no manifest"):
+        lost.store.clean()
+    assert any((tmp_path / "store" / "docs").iterdir())
+
+
+def test_of_two_writers_one_gets_a_conflict(engine, spark, tmp_path):
+    other = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
+    engine.insert(documents(spark, "w1", y="The first writer came in before you."))
+    with pytest.raises(Conflict):
+        other.insert(documents(spark, "w1", x="The second writer came in too late."))
+    with pytest.raises(Conflict):
+        other.store.clean()
+    assert {"u://y"} == {r.url for r in engine.store.table("docs").collect()} - {"u://a", "u://b", "u://c"}
+    other.store.refresh()
+    other.insert(documents(spark, "w1", x="The second writer tries it again."))
+    engine.store.refresh()
+    assert state(engine) == state(other)
+
+
+def test_many_commits_are_one_scan(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
+    e.insert(documents(spark, "w", **TEXT))
+    commit = e.store.manifest.commits[0]
+    for n in range(199):
+        folder = f"copy-{n}"
+        for t in ("docs", "splits", "summaries"):
+            shutil.copytree(f"{tmp_path}/store/{t}/batch={commit['folder']}", f"{tmp_path}/store/{t}/batch={folder}")
+        e.store.manifest.commits.append(commit | {"folder": folder})
+    rows = e.store._read("splits")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan
+    assert rows.count() == 200 * spark.read.parquet(f"{tmp_path}/store/splits/batch={commit['folder']}").count()
+    e.store.manifest = e.store._load()
+    e.store.most_commits = 0
+    before = state(e)
+    assert e.maintain() and len(e.store.manifest.commits) == 1 and state(e) == before
+    assert len(list((tmp_path / "store" / "splits").iterdir())) == 1
+
+
+def test_rows_in_requested_order(engine, spark):
+    ids = [r.split_id for r in engine.store.table("splits").filter("workspace_id = 'w1'").orderBy("split_id").collect()]
+    asked = [ids[2], 5, ids[0], ids[2]]
+    wanted = spark.createDataFrame([(n, "w1", i) for n, i in enumerate(asked)], "position int, workspace_id string, split_id long")
+    got = engine.store.get("splits", wanted).orderBy("position").collect()
+    assert [(r.position, r.split_id) for r in got] == [(0, ids[2]), (2, ids[0]), (3, ids[2])] and all(r.text for r in got)
+
+
 def test_bad_documents_are_rejected_whole(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
     p = process_documents(documents(spark, "w", **TEXT), CONFIG, e.embedder)
