@@ -82,8 +82,8 @@ class Distinct:
 class Counts:
     """Distinct keys with the sum of their counts, gathered piece by piece."""
 
-    def __init__(self) -> None:
-        self.key, self.count = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def __init__(self, kind: type = np.uint64) -> None:
+        self.key, self.count = np.zeros(0, np.uint64), np.zeros(0, kind)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -91,24 +91,30 @@ class Counts:
         """Keys that are sorted and distinct."""
         self.waiting.append((key, count))
         self.size += len(key)
-        if self.size > max(1 << 20, len(self.key) // 2):
+        if self.size > max(1 << 20, len(self.key) // 3):
             self.settle()
 
     def add_all(self, keys: np.ndarray, learn: bool) -> None:
         keys = np.sort(keys)
         new = ctw._runs(keys)
-        n = np.diff(np.append(new, len(keys))).astype(np.uint64)
-        self.add(keys[new], n if learn else np.zeros(len(new), np.uint64))
+        n = np.diff(np.append(new, len(keys))).astype(self.count.dtype)
+        self.add(keys[new], n if learn else np.zeros_like(n))
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         if self.waiting:
             key = np.concatenate([self.key, *(k for k, _ in self.waiting)])
             count = np.concatenate([self.count, *(c for _, c in self.waiting)])
+            # what isn't needed any more goes at once: a block has millions of keys
+            self.key = self.count = key[:0]
             self.waiting, self.size = [], 0
             order = np.argsort(key, kind="stable")
-            key, count = key[order], count[order]
+            key = key[order]
+            count = count[order]
+            del order
             new = ctw._runs(key)
-            self.key, self.count = key[new], np.add.reduceat(count, new) if len(new) else count
+            self.key = key[new]
+            del key
+            self.count = np.add.reduceat(count, new, dtype=count.dtype) if len(new) else count
         return self.key, self.count
 
 
@@ -141,18 +147,20 @@ def shard_of(kind: int, key: np.ndarray, shards: int) -> np.ndarray:
 
 def dealt(pieces: Iterable[list[tuple]], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(kind, keys, training counts, shards) of a block's pieces, distinct keys in order of shard and key."""
-    found = {GRAMS: Counts(), WORDS: Counts()}
+    found = {GRAMS: Counts(np.uint32), WORDS: Counts(np.uint32)}
     for piece in pieces:
         for learn in (True, False):
             texts = [t for i, t in piece if held_out(i) != learn]
             if texts:
                 found[GRAMS].add_all(ctw.keys_of(texts)[0], learn)
                 found[WORDS].add_all(tokens(texts)[0], learn)
-    for kind, counts in found.items():
-        key, count = counts.settle()
+    for kind in (GRAMS, WORDS):
+        key, count = found.pop(kind).settle()
         shard = shard_of(kind, key, shards)
         order = np.argsort(shard, kind="stable")
-        yield kind, key[order], count[order], shard[order]
+        shard, key, count = shard[order], key[order], count[order]
+        del order
+        yield kind, key, count, shard
 
 
 def answered(packed: list[bytes], got: dict[int, list[bytes]], shards: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -185,7 +193,7 @@ def lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 _ROWS = "block long, kind int, shard int, keys binary, data binary"
 
 
-def trees(key: np.ndarray, count: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[ctw.Tree, slice]]:
+def trees(key: np.ndarray, count: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[ctw.Tree, slice]]:
     """Trees over consecutive parts of a shard's keys, of about ``most`` keys or one subtree, so that memory is bounded by it."""
     first = ctw._runs(key >> np.uint64(ctw.SHARD_BITS))
     begin = 0
@@ -284,7 +292,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
                 yield _batch([(-1, *at, squeeze(key, True), squeeze(count))])
                 counts = Counts()
             at = (kind, shard)
-            counts.add(unsqueeze(keys, True), unsqueeze(data))
+            counts.add(unsqueeze(keys, True), unsqueeze(data, kind=np.uint32).astype(np.uint64))
         if at is not None:
             key, count = counts.settle()
             yield _batch([(-1, *at, squeeze(key, True), squeeze(count))])
