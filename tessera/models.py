@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -15,12 +19,16 @@ from pyspark.sql import functions as F
 
 
 class Embedder(Protocol):
-    """One vector (or None on failure) for each text; loaded once by each worker."""
+    """One vector for each text, or on failure None or a ``Failure`` that says why; loaded once by each worker."""
 
     path: str
     n_embd: int
 
-    def embed(self, texts: list[str]) -> list[list[float] | None]: ...
+    def embed(self, texts: list[str]) -> list[list[float] | Failure | None]: ...
+
+
+class Failure(str):
+    """Why a text has no vector."""
 
 
 class Reranker(Protocol):
@@ -81,6 +89,71 @@ class OverlapReranker:
         return out
 
 
+class HttpModel:
+    """Calls a model server with JSON; waits at most ``timeout`` seconds for an answer and tries ``retries`` times more, waiting longer each time."""
+
+    def __init__(self, url: str, *, timeout: float = 30.0, retries: int = 2, batch: int = 64, pause: float = 0.2):
+        self.url, self.timeout, self.retries, self.batch, self.pause = url, timeout, retries, batch, pause
+
+    def post(self, body: dict) -> dict:
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        for attempt in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                    return json.load(answer)
+            except urllib.error.HTTPError as e:
+                if e.code < 500 or attempt == self.retries:  # asking again won't help
+                    raise
+            except (OSError, ValueError):
+                if attempt == self.retries:
+                    raise
+            time.sleep(self.pause * 2**attempt)
+        raise AssertionError
+
+    def batches(self, texts: list[str]) -> Iterator[list[str]]:
+        for lo in range(0, len(texts), self.batch):
+            yield texts[lo : lo + self.batch]
+
+
+class HttpEmbedder(HttpModel):
+    """Vectors from a server: ``{"input": [texts]}`` is answered by ``{"embeddings": [vector or null, ...]}``.
+
+    A batch without a usable answer fails, text by text, with the reason; the others go on.
+    """
+
+    def __init__(self, url: str, n_embd: int, path: str | None = None, **options):
+        super().__init__(url, **options)
+        self.n_embd, self.path = n_embd, path or url
+
+    def embed(self, texts: list[str]) -> list[list[float] | Failure | None]:
+        out: list[list[float] | Failure | None] = []
+        for part in self.batches(texts):
+            try:
+                found = self.post({"input": part})["embeddings"]
+                if len(found) != len(part):
+                    raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+                out += [v if v is None or len(v) == self.n_embd else Failure(f"a vector of width {len(v)}, not {self.n_embd}") for v in found]
+            except (OSError, ValueError, KeyError, TypeError) as e:
+                out += [Failure(f"{type(e).__name__}: {e}")] * len(part)
+        return out
+
+
+class HttpReranker(HttpModel):
+    """Scores from a server: ``{"query": text, "texts": [texts]}`` is answered by ``{"scores": [number or null, ...]}``."""
+
+    def score(self, query: str, texts: list[str]) -> list[float | None]:
+        if not query.strip():
+            raise ValueError("the query is empty")
+        out: list[float | None] = []
+        for part in self.batches(texts):
+            try:
+                found = self.post({"query": query, "texts": part})["scores"]
+                out += found if len(found) == len(part) else [None] * len(part)
+            except (OSError, ValueError, KeyError, TypeError):
+                out += [None] * len(part)
+        return out
+
+
 def embed_column(text: Column, embedder: Embedder) -> Column:
     """Vectors of a text column, in Arrow batches; null where the model fails or the text is null."""
 
@@ -89,7 +162,8 @@ def embed_column(text: Column, embedder: Embedder) -> Column:
         for texts in batches:
             good = texts.notna().to_numpy()
             made = iter(embedder.embed(texts[good].tolist()))
-            yield pd.Series([next(made) if g else None for g in good], dtype=object)
+            vectors = (next(made) if g else None for g in good)
+            yield pd.Series([None if isinstance(v, Failure) else v for v in vectors], dtype=object)
 
     return run(text)
 

@@ -18,8 +18,54 @@ PATTERNS: tuple[tuple[str, ...], ...] = (("<SENT>",), ("\n\n",), ("\n",), (". ",
 _WORD = re.compile(r"[^ \t\n\r]+")
 
 
+class Words:
+    """Counts words, parted by white space."""
+
+    def count(self, text: str) -> int:
+        return len(_WORD.findall(text))
+
+    def cuts(self, text: str, most: int) -> list[int]:
+        """Where to cut a text so that parts have at most ``most``."""
+        return [m.start() for m in _WORD.finditer(text)][most::most]
+
+
+class Tokens:
+    """Counts the tokens of a tokenizer file, without special ones."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _encoded(self, text: str):
+        return _tokenizer(self.path).encode(text, add_special_tokens=False)
+
+    def count(self, text: str) -> int:
+        return len(self._encoded(text).ids)
+
+    def cuts(self, text: str, most: int) -> list[int]:
+        """Between tokens; a part alone may be cut into other tokens than in the whole, so parts are tried and made shorter as needed."""
+        out, begin = [], 0
+        while True:
+            ends = [b for _, b in self._encoded(text[begin:]).offsets]
+            if len(ends) <= most:
+                return out
+            n = most
+            while n > 1 and self.count(text[begin : begin + ends[n - 1]]) > most:
+                n -= 1
+            begin += max(1, ends[n - 1])
+            if begin >= len(text):
+                return out
+            out.append(begin)
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def count_words(text: str) -> int:
-    return len(_WORD.findall(text))
+    return Words().count(text)
 
 
 @lru_cache
@@ -34,12 +80,13 @@ def pieces(text: str, separators: Sequence[str]) -> list[str]:
     return [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if a < b]
 
 
-def chunks(text: str, max_tokens: int, patterns: Sequence[Sequence[str]] = PATTERNS, merge: bool = True) -> list[str]:
-    """Chunks of at most ``max_tokens`` words.
+def chunks(text: str, max_tokens: int, patterns: Sequence[Sequence[str]] = PATTERNS, merge: bool = True, unit: Words | Tokens | None = None) -> list[str]:
+    """Chunks of at most ``max_tokens`` of a unit, words unless another is given.
 
-    A text over the budget is cut at the outermost pattern; its parts over the budget at the next, and at the end between words.
+    A text over the budget is cut at the outermost pattern; its parts over the budget at the next, and at the end between words or tokens.
     Neighbours are then merged as long as they fit. Without merging every pattern cuts, whatever the size.
     """
+    unit = unit or Words()
 
     def cut(part: str, size: int, level: int) -> list[tuple[str, int]]:
         if merge and size <= max_tokens:
@@ -47,16 +94,16 @@ def chunks(text: str, max_tokens: int, patterns: Sequence[Sequence[str]] = PATTE
         if level == len(patterns):
             if size <= max_tokens:
                 return [(part, size)]
-            ends = [m.start() for m in _WORD.finditer(part)][max_tokens::max_tokens]
-            return [(p, count_words(p)) for p in (part[a:b] for a, b in zip([0, *ends], [*ends, len(part)], strict=True))]
+            ends = unit.cuts(part, max_tokens)
+            return [(p, unit.count(p)) for p in (part[a:b] for a, b in zip([0, *ends], [*ends, len(part)], strict=True))]
         found = pieces(part, patterns[level])
         if len(found) == 1:
             return cut(part, size, level + 1)
-        return [c for p in found for c in cut(p, count_words(p), level + 1)]
+        return [c for p in found for c in cut(p, unit.count(p), level + 1)]
 
     joined: list[list[str]] = []
     total = 0
-    for part, size in cut(text, count_words(text), 0):
+    for part, size in cut(text, unit.count(text), 0):
         if merge and joined and total + size <= max_tokens:
             joined[-1].append(part)
             total += size
@@ -66,8 +113,12 @@ def chunks(text: str, max_tokens: int, patterns: Sequence[Sequence[str]] = PATTE
     return [t for t in ("".join(j).strip(" \t\n\r") for j in joined) if t]
 
 
-def chunk(docs: DataFrame, text_col: str, max_tokens: int, *, merge: bool = True) -> DataFrame:
-    """All columns but the text, with seq_id (from 0), text and token_len of each chunk. Null or blank texts have none."""
+def chunk(docs: DataFrame, text_col: str, max_tokens: int, *, merge: bool = True, patterns: Sequence[Sequence[str]] = PATTERNS, tokenizer: str | None = None) -> DataFrame:
+    """All columns but the text, with seq_id (from 0), text and token_len of each chunk. Null or blank texts have none.
+
+    The budget counts words, or with ``tokenizer`` the tokens of that file, which every worker must be able to open.
+    """
+    unit = Tokens(tokenizer) if tokenizer else Words()
     kept = [f for f in docs.schema.fields if f.name != text_col]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("seq_id", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("token_len", T.LongType())])
@@ -76,13 +127,13 @@ def chunk(docs: DataFrame, text_col: str, max_tokens: int, *, merge: bool = True
         for batch in batches:
             rows, seq, out = [], [], []
             for n, text in enumerate(batch.column(len(names)).to_pylist()):
-                for k, c in enumerate(chunks(text or "", max_tokens, merge=merge)):
+                for k, c in enumerate(chunks(text or "", max_tokens, patterns, merge, unit)):
                     rows.append(n)
                     seq.append(k)
                     out.append(c)
             take = pa.array(rows, pa.int32())
             arrays = [batch.column(i).take(take) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(seq, pa.int32()), pa.array(out, pa.string()), pa.array([count_words(c) for c in out], pa.int64())], [*names, "seq_id", "text", "token_len"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(seq, pa.int32()), pa.array(out, pa.string()), pa.array([unit.count(c) for c in out], pa.int64())], [*names, "seq_id", "text", "token_len"])
 
     return docs.select(*names, text_col).mapInArrow(run, schema)
 

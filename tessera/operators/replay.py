@@ -39,22 +39,33 @@ def snapshot_and_tail(log: DataFrame, seq: int, keys: Sequence[str] = ("doc_id",
     return committed(committed(log.filter(F.col("seq") <= seq), keys).unionByName(after(log, seq)), keys)
 
 
-#: What a checksum covers.
-_FRAME = ("seq", "kind", "doc_id", "entity_id")
+#: What a checksum covers, as far as a log has it: the frame, and what it holds.
+_COVERED = ("seq", "kind", "doc_id", "entity_id", "split_ids", "summary_ids", "text", "embedding", "model_id")
 
 
-def checksum() -> Column:
-    return F.crc32(F.concat_ws("|", *[F.col(c).cast("string") for c in _FRAME]))
+def checksum(columns: Sequence[str]) -> Column:
+    """Of a log's columns those that count, with their names, so that nulls and neighbouring values can't be taken for others."""
+    return F.crc32(F.to_json(F.struct(*(c for c in _COVERED if c in columns))).cast("binary"))
 
 
-def verified(log: DataFrame, active: int, segment_col: str = "segment", crc_col: str = "crc") -> DataFrame:
-    """Rows whose checksum holds. In the active segment the log ends before the first bad row (a torn tail); in a sealed one a bad row is
-    an error."""
-    bad = F.min(F.when(~F.col(crc_col).eqNullSafe(checksum()), F.col("seq"))).over(Window.partitionBy(segment_col))
-    rows = log.withColumn("bad_from", bad)
-    broken = F.raise_error(F.concat(F.lit("corrupt record in sealed segment "), F.col(segment_col).cast("string"), F.lit(" from seq "), F.col("bad_from").cast("string"))).cast("boolean")
-    keep = F.when(F.col("bad_from").isNull(), F.lit(True)).when(F.col(segment_col) == active, F.col("seq") < F.col("bad_from")).otherwise(broken)
-    return rows.filter(keep).drop("bad_from")
+def frame_error(columns: Sequence[str], width: int | None = None, crc_col: str = "crc") -> Column:
+    """What is wrong with a row, or null: cut off, of a kind that doesn't exist, a vector that isn't ``width`` wide, or another checksum."""
+    error = F.when(F.col("seq").isNull() | F.col("kind").isNull() | F.col(crc_col).isNull(), "truncated")
+    error = error.when(~F.col("kind").isin(*KIND.values()), "unknown kind")
+    if width is not None and "embedding" in columns:
+        error = error.when(F.size("embedding") != width, "wrong length")
+    return error.when(F.col(crc_col) != checksum(columns), "wrong checksum")
+
+
+def verified(log: DataFrame, active: int, segment_col: str = "segment", crc_col: str = "crc", width: int | None = None) -> DataFrame:
+    """Rows without a ``frame_error``. In the active segment the log ends before the first bad row (a torn tail); in a sealed one a bad row is
+    an error. The first bad row of each segment is found by an aggregation, so no segment is gathered."""
+    error = frame_error(log.columns, width, crc_col)
+    bad = log.withColumn("what", error).filter("what is not null").groupBy(F.col(segment_col).alias("bad_segment")).agg(F.min(F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "what")).alias("bad"))
+    rows = log.join(bad, F.col(segment_col).eqNullSafe(F.col("bad_segment")), "left")
+    message = F.concat(F.lit("corrupt record in sealed segment "), F.col(segment_col).cast("string"), F.lit(" from seq "), F.col("bad.seq").cast("string"), F.lit(": "), F.col("bad.what"))
+    keep = F.when(F.col("bad").isNull(), F.lit(True)).when(F.col(segment_col) == active, F.col("seq") < F.col("bad.seq")).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(keep).drop("bad_segment", "bad")
 
 
 def snapshot_is_usable(snapshot_seq: int | None, manifest_seq: int, last_seq: int) -> bool:

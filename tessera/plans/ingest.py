@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from tessera.config import EngineConfig
 from tessera.functions import ids, vectors
 from tessera.functions.text import sentences, token_count
-from tessera.models import Embedder
-from tessera.operators.chunk import chunk
+from tessera.models import Embedder, Failure
+from tessera.operators.chunk import PATTERNS, chunk
 from tessera.operators.lexrank import stationary_scores
 
 
@@ -47,15 +47,15 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def embed_and_summarize(splits: DataFrame, embedder: Embedder, top: int, vec_type: str = "array<float>") -> DataFrame:
-    """Adds ``embedding`` and ``found`` (index, centrality, embedding of the ``top`` central sentences).
+    """Adds ``embedding``, ``error`` (why there is no embedding) and ``found`` (index, centrality, embedding of the ``top`` central sentences).
 
     A split and its sentences go to the model in one call, and a split's sentences are bounded by its size, so
     centrality is found where the vectors are made; nothing is shuffled.
     """
     names = splits.columns
     found = "array<struct<seq:int,centrality:double,embedding:array<float>>>"
-    schema = T.StructType([*splits.schema.fields, *T.StructType.fromDDL(f"embedding {vec_type}, found {found}").fields])
-    kinds = [pa.list_(pa.float32()), pa.list_(pa.struct([("seq", pa.int32()), ("centrality", pa.float64()), ("embedding", pa.list_(pa.float32()))]))]
+    schema = T.StructType([*splits.schema.fields, *T.StructType.fromDDL(f"embedding {vec_type}, error string, found {found}").fields])
+    kinds = [pa.list_(pa.float32()), pa.string(), pa.list_(pa.struct([("seq", pa.int32()), ("centrality", pa.float64()), ("embedding", pa.list_(pa.float32()))]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,15 +64,17 @@ def embed_and_summarize(splits: DataFrame, embedder: Embedder, top: int, vec_typ
                 texts, inner = batch.column(names.index("text")).to_pylist(), batch.column(names.index("sentences")).to_pylist()
                 flat = [t for text, s in zip(texts, inner, strict=True) for t in (text, *(s or ()))]
                 made = iter(embedder.embed(flat))
-                vectors, best = [], []
+                vectors, errors, best = [], [], []
                 for s in inner:
-                    vectors.append(next(made))
-                    own = [next(made) for _ in s or ()]
+                    v = next(made)
+                    errors.append(str(v) if isinstance(v, Failure) else "no vector" if v is None else None)
+                    vectors.append(None if errors[-1] else v)
+                    own = [None if isinstance(v, Failure) else v for v in (next(made) for _ in s or ())]
                     usable = [k for k, v in enumerate(own) if v is not None]
                     p = stationary_scores(np.array([own[k] for k in usable], float))
                     order = np.argsort(-np.round(p, 12), kind="stable")[:top]
                     best.append([{"seq": usable[k], "centrality": float(p[k]), "embedding": own[usable[k]]} for k in order])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip((vectors, best), kinds, strict=True))], [*names, "embedding", "found"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip((vectors, errors, best), kinds, strict=True))], [*names, "embedding", "error", "found"])
 
     return splits.mapInArrow(run, schema)
 
@@ -89,11 +91,12 @@ def process_documents(docs: DataFrame, config: EngineConfig, embedder: Embedder)
     """Chunk, embed and summarise documents (workspace_id, url, text).
 
     Sequence numbers count chunks before failures are dropped. A split whose vector can't be made goes to ``failures`` and the
-    document lives on without it. Vectors are rounded as an index of the scalar kind holds them.
+    document lives on without it. The budget of a chunk is in words, or in tokens of the file that ``hf_model_id`` names. Vectors are rounded as an index of the scalar kind holds them.
     """
     check_supported(config)
     base = docs.select("workspace_id", "url", "text").withColumn("doc_id", ids.doc_id(F.col("url")))
-    parts = chunk(base, "text", config.splitter.max_tokens, merge=config.splitter.merge_level is None)
+    own = config.splitter
+    parts = chunk(base, "text", own.max_tokens, merge=own.merge_level is None, patterns=own.patterns or PATTERNS, tokenizer=own.hf_model_id)
     parts = parts.withColumn("split_id", ids.split_id(F.col("doc_id"), F.col("seq_id"))).withColumn("sentences", sentences(F.col("text"), config.min_sentence_tokens))
     rows = embed_and_summarize(parts, embedder, config.summaries_per_split)
     if config.index.scalar_kind in ("F16", "BF16"):  # a model's vectors are floats, so F32 and F64 hold them as they are
@@ -118,7 +121,7 @@ def derive(rows: DataFrame, embedder: Embedder) -> Processed:
     ordered = F.array_sort(F.collect_list(F.struct("seq_id", "split_id", list_.alias("summary_ids"))))
     out = good.groupBy("workspace_id", "doc_id", "url").agg(ordered.alias("s"))
     out = out.select("workspace_id", "doc_id", "url", F.col("s.split_id").alias("split_ids"), F.array_distinct(F.flatten("s.summary_ids")).alias("summary_ids"))
-    failures = rows.filter("embedding is null").select("workspace_id", "doc_id", "url", "split_id", "seq_id")
+    failures = rows.filter("embedding is null").select("workspace_id", "doc_id", "url", "split_id", "seq_id", "error")
     return Processed(out, splits, summaries, failures, rows, embedder)
 
 

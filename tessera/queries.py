@@ -215,6 +215,21 @@ def search_documents_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("search_documents_nested", search_documents_nested)
 
 
+def search_documents_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested result, a row for each split: its summaries that were hit, and how many the document has in all."""
+    d = search_documents_nested(spark, sf_dir).withColumn("s", F.explode("splits"))
+    hit = F.col("s.summaries")
+    return d.select(
+        "workspace_id", "doc_id", "url", "doc_rank", "s.split_rank", "s.split_id", F.col("s.seq_id").cast("long").alias("seq_id"), "s.text", r6("s.query_distance").alias("query_distance"),
+        F.size(hit).cast("long").alias("n_hits"), F.try_element_at(hit, F.lit(1))["summary_id"].alias("first_hit"), F.size("summaries").cast("long").alias("n_all"),
+    )
+
+
+add("search_documents_flat", search_documents_flat, _BOTH + """, t AS (SELECT split_id, arg_min(summary_id, d) AS first_hit FROM mh GROUP BY 1), a AS (SELECT doc_id, count(*) AS n_all FROM m GROUP BY 1)
+SELECT k.workspace_id, k.doc_id, 'bench://doc/' || k.doc_id AS url, dense_rank() OVER (ORDER BY doc_distance, k.workspace_id, k.doc_id) AS doc_rank, split_rank, k.split_id, (k.split_id % 10) // 2 AS seq_id, 'split ' || k.split_id AS text,
+round(query_distance, 6) AS query_distance, n_summaries AS n_hits, first_hit, n_all FROM k JOIN a ON a.doc_id = k.doc_id LEFT JOIN t ON t.split_id = k.split_id""")
+
+
 def get_document_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's splits in recorded order with their number of summaries."""
     docs, s, m, _ = _texts(spark, sf_dir)
@@ -436,7 +451,8 @@ add("pool_stats", lambda spark, sf: stats.pool_stats(shard_stats(spark, sf)), f"
 
 def log_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log in segments of 1,000 numbers; in the last one a record in the middle is damaged, and the rest of it is cut."""
-    log = change_log(spark, sf_dir).withColumn("segment", F.floor(F.col("seq") / 1000).cast("long")).withColumn("crc", replay.checksum())
+    log = change_log(spark, sf_dir).withColumn("segment", F.floor(F.col("seq") / 1000).cast("long"))
+    log = log.withColumn("crc", replay.checksum(log.columns))
     last = log.agg(F.max("segment"), F.max("seq")).first()
     log = log.withColumn("crc", F.when((F.col("segment") == last[0]) & (F.col("seq") % 100 == 42), F.col("crc") + 1).otherwise(F.col("crc")))
     return replay.verified(log, last[0]).groupBy("segment").agg(F.count("*").alias("n_rows"), F.max("seq").alias("max_seq"))
@@ -557,7 +573,10 @@ def rerank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.return_text(rerank.rank_scores(scored.select("index", "score")), engine_free)
 
 
-add("rerank_texts", rerank_texts)
+_TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+add("rerank_texts", rerank_texts, f"""WITH q AS (SELECT {_TOKENS.format("(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)")} AS q), t AS (SELECT item_id, text, {_TOKENS.format("text")} AS w, q FROM benchmark, q),
+s AS (SELECT item_id, text, CAST(len(list_distinct(list_intersect(q, w))) AS DOUBLE) / len(list_distinct(q)) AS score FROM t WHERE len(w) > 0 AND len(q) + len(w) + 4 <= 512)
+SELECT item_id AS index, score, row_number() OVER (ORDER BY score DESC, item_id) - 1 AS rank, text FROM s""")
 
 
 def _legacy(spark: SparkSession, sf_dir: str) -> legacy.Legacy:

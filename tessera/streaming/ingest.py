@@ -30,14 +30,19 @@ def ingest_stream(documents: DataFrame, engine: Engine, checkpoint: str, **trigg
 CHANGES = "doc_id long, seq long, deleted boolean, n_splits long, n_summaries long"
 
 
-def replay_stream(log: DataFrame) -> DataFrame:
+def replay_stream(log: DataFrame, hold_ms: int | None = None) -> DataFrame:
     """Commits and deletes of a change-log stream, as they happen: (doc_id, seq, deleted, n_splits, n_summaries).
 
     The state of a document is what waits for its document row; commits clear it. The last change of a document by seq is its
-    state. Rows of a document must arrive in order of seq over batches; inside a batch they are put in order.
+    state. Rows of a document must arrive in order of seq over batches; inside a batch they are put in order. With
+    ``hold_ms`` what has waited so long without a document row is a torn insert, and is forgotten. That is for streams without an end: one
+    that is run until all input has been read (``availableNow``) would wait for the clock for ever.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         waiting = list(zip(*state.get, strict=True)) if state.exists else []
         rows = pd.concat(list(parts)).sort_values("seq")
         out = []
@@ -56,8 +61,10 @@ def replay_stream(log: DataFrame) -> DataFrame:
             waiting = []
         if waiting:
             state.update(([k for k, _ in waiting], [e for _, e in waiting]))
+            if hold_ms is not None:
+                state.setTimeoutDuration(hold_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["doc_id", "seq", "deleted", "n_splits", "n_summaries"])
 
-    return log.groupBy("doc_id").applyInPandasWithState(run, CHANGES, "kinds array<int>, entities array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("doc_id").applyInPandasWithState(run, CHANGES, "kinds array<int>, entities array<bigint>", "append", GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,14 +1,20 @@
 """Configuration, store, engine, replay, migration and streams."""
 
+import json
+import os
 import shutil
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig, IndexConfig, SplitterConfig, StorageConfig, load_config
-from tessera.models import HashingEmbedder, OverlapReranker
+from tessera.models import Failure, HashingEmbedder, HttpEmbedder, HttpReranker, OverlapReranker, score_column
 from tessera.operators import dml, replay
+from tessera.operators.chunk import chunk
 from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
 from tessera.plans.requests import Header, dispatch
@@ -332,10 +338,96 @@ def test_requests(engine, spark):
 
 
 def test_torn_tail_and_corruption(spark):
-    df = log(spark, [(1, n, 2, n, None, None) for n in range(1, 9)]).withColumn("segment", F.floor(F.col("seq") / 5)).withColumn("crc", replay.checksum())
+    df = log(spark, [(1, n, 2, n, None, None) for n in range(1, 9)]).withColumn("segment", F.floor(F.col("seq") / 5))
+    df = df.withColumn("crc", replay.checksum(df.columns))
     damage = lambda at: df.withColumn("crc", F.when(F.col("seq") == at, 0).otherwise(F.col("crc")))
     assert replay.verified(df, 1).count() == 8
     assert sorted(r.seq for r in replay.verified(damage(7), 1).collect()) == [1, 2, 3, 4, 5, 6]
     with pytest.raises(Exception, match="corrupt record in sealed segment 0 from seq 3"):
         replay.verified(damage(3), 1).collect()
     assert replay.snapshot_is_usable(5, 5, 5) and not replay.snapshot_is_usable(5, 5, 6) and not replay.snapshot_is_usable(None, 5, 5)
+
+
+def test_frames_are_checked_whole(spark):
+    rows = [(n, 2, 7, n, f"text {n}", [1.0, float(n)]) for n in range(1, 7)]
+    df = spark.createDataFrame(rows, "seq long, kind int, doc_id long, entity_id long, text string, embedding array<float>").withColumn("segment", F.lit(1))
+    df = df.withColumn("crc", replay.checksum(df.columns))
+    at = F.col("seq") == 4
+    for bad, what in (
+        (df.withColumn("text", F.when(at, "text 44").otherwise(F.col("text"))), "wrong checksum"), (df.withColumn("embedding", F.when(at, F.array(F.lit(1.0), F.lit(4.5)).cast("array<float>")).otherwise(F.col("embedding"))), "wrong checksum"),
+        (df.withColumn("kind", F.when(at, 9).otherwise(F.col("kind"))), "unknown kind"), (df.withColumn("embedding", F.when(at, F.slice("embedding", 1, 1)).otherwise(F.col("embedding"))), "wrong length"),
+        (df.withColumn("crc", F.when(~at, F.col("crc"))), "truncated"),
+    ):
+        assert sorted(r.seq for r in replay.verified(bad, 1, width=2).collect()) == [1, 2, 3]
+        with pytest.raises(Exception, match=f"segment 1 from seq 4: {what}"):
+            replay.verified(bad, 2, width=2).collect()
+    assert replay.verified(df, 1, width=2).count() == 6
+
+
+class Server(BaseHTTPRequestHandler):
+    """Vectors and scores by length of text; a text "slow" is answered late, "wrong" badly, and the first call of each "again" not at all."""
+
+    seen: set = set()
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        texts = body.get("input", body.get("texts"))
+        if "slow" in texts:
+            time.sleep(1.5)
+        if "again" in texts and not self.seen:
+            self.seen.add(1)
+            self.send_error(503)
+            return
+        if "wrong" in texts:
+            self.send_error(400)
+            return
+        answer = {"embeddings": [None if t == "none" else [float(len(t)), 1.0, 0.0][: 2 if t == "narrow" else 3] for t in texts]} if "input" in body else {"scores": [float(len(t)) for t in texts]}
+        data = json.dumps(answer).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def server():
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}/"
+    s.shutdown()
+
+
+def test_models_behind_a_server(spark, server):
+    model = HttpEmbedder(server, 3, timeout=0.5, retries=1, batch=1, pause=0.01)
+    got = model.embed(["abc", "again", "slow", "wrong", "none", "narrow", "abcd"])
+    assert (got[0], got[1], got[4], got[6]) == ([3.0, 1.0, 0.0], [5.0, 1.0, 0.0], None, [4.0, 1.0, 0.0])
+    assert [isinstance(g, Failure) for g in got] == [False, False, True, True, False, True, False]
+    p = process_documents(documents(spark, "w", a="A text of five words.", b="slow", c="wrong"), CONFIG, model)
+    errors = {r.url: r.error for r in p.failures.collect()}
+    assert {r.url for r in p.docs.collect()} == {"u://a"} and "400" in errors["u://c"] and "timed out" in errors["u://b"]
+    texts = spark.createDataFrame([(0, "ab"), (1, "wrong"), (2, "abcd")], "index int, text string")
+    scores = texts.withColumn("score", score_column("q", F.col("text"), HttpReranker(server, timeout=0.5, retries=0, batch=1))).collect()
+    assert [r.score for r in scores] == [2.0, None, 4.0] or [r.score for r in scores][1] != [r.score for r in scores][1]
+    assert all(isinstance(v, Failure) for v in HttpEmbedder("http://127.0.0.1:9/", 3, timeout=0.5, retries=0).embed(["a", "b"]))
+
+
+def test_chunks_by_tokens_and_own_patterns(spark):
+    path = os.path.join("/opt/tokenizers", "word_bpe_49k.json")
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files here")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    text = "Unbelievably long compounds, like internationalisation; stand here. " * 6 + "x" * 400
+    docs = spark.createDataFrame([(1, text), (2, None)], "id long, text string")
+    got = chunk(docs, "text", 12, tokenizer=path).orderBy("seq_id").collect()
+    assert [r.seq_id for r in got] == list(range(len(got))) and all(0 < r.token_len <= 12 for r in got)
+    assert all(r.token_len == len(tokenizer.encode(r.text, add_special_tokens=False).ids) for r in got)
+    assert "".join("".join(r.text for r in got).split()) == "".join(text.split())
+    assert [r.text for r in chunk(spark.createDataFrame([("a|b c|d",)], "text string"), "text", 1, patterns=[["|"]]).orderBy("seq_id").collect()] == ["a|", "b", "c|", "d"]
+    config = EngineConfig(index=CONFIG.index, splitter=SplitterConfig(max_tokens=12, hf_model_id=path, patterns=[["; "], [". "]]))
+    splits = process_documents(documents(spark, "w", a=text), config, HashingEmbedder(32)).splits.collect()
+    assert len(splits) > 6 and all(r.token_len <= 12 for r in splits)
