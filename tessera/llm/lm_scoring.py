@@ -193,6 +193,11 @@ def lookup(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
 _ROWS = "block long, kind int, shard int, keys binary, data binary"
 
 
+def by_block(docs: DataFrame) -> int:
+    """Partitions for rows that are dealt by block: some for each block, so that few tasks get more blocks than others."""
+    return max(8, min(8192, 4 * docs.rdd.getNumPartitions()))
+
+
 def trees(key: np.ndarray, count: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[ctw.Tree, slice]]:
     """Trees over consecutive parts of a shard's keys, of about ``most`` keys or one subtree, so that memory is bounded by it."""
     first = ctw._runs(key >> np.uint64(ctw.SHARD_BITS))
@@ -363,5 +368,5 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         columns = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(ids), n_train)), *map(pa.array, (unigram, total, size, bits))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
-    parts = answers.unionByName(made.filter(F.col("kind") == TEXT)).repartition("block").sortWithinPartitions("block", "kind", "shard")
+    parts = answers.unionByName(made.filter(F.col("kind") == TEXT)).repartition(by_block(docs), "block").sortWithinPartitions("block", "kind", "shard")
     return parts.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")

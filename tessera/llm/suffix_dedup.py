@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import give_back, save
-from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, squeeze, unsqueeze
+from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, by_block, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
 from tessera.llm.suffix_runs import SEED, Anchors, Group, Item, WordAnchors, common, decode_run, encode_run, merge_runs
 
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield from flush()
         give_back()
 
-    with_text = lambda df: df.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "shard")
+    with_text = lambda df: df.unionByName(texts).repartition(by_block(docs), "block").sortWithinPartitions("block", "kind", "shard")
     sorted_runs = save(with_text(halves).mapInArrow(runs, _ROWS))
 
     def chained(pieces: list[bytes]) -> Iterator[tuple[int, Item]]:
