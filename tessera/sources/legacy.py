@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import stats
@@ -21,6 +21,11 @@ class Legacy:
     filter_rows: DataFrame
 
 
+def read(spark: SparkSession, folder: str) -> Legacy:
+    """The five tables as Parquet below one folder."""
+    return Legacy(*(spark.read.parquet(f"{folder}/{name}") for name in ("documents", "splits", "summaries", "embeddings", "embedding_filter_info")))
+
+
 @dataclass
 class Migration:
     docs: DataFrame

@@ -114,8 +114,10 @@ class Store:
 
     def _write(self, number: int, tables: dict[str, DataFrame], label: str) -> dict:
         folder = f"{label}-{number:010d}-{uuid.uuid4().hex[:8]}"
+        # files end at about the size of a segment; vectors are most of a row
+        most = max(1, self.segment_bytes // (4 * self.manifest.n_embd + 512))
         for name, df in tables.items():
-            df.write.partitionBy("workspace_id").parquet(f"{self.root}/{name}/batch={folder}")
+            df.write.option("maxRecordsPerFile", most).partitionBy("workspace_id").parquet(f"{self.root}/{name}/batch={folder}")
         return {"number": number, "folder": folder, "tables": sorted(tables), "kind": label}
 
     def _read(self, name: str, commits: list[dict] | None = None) -> DataFrame:

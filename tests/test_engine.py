@@ -18,7 +18,8 @@ from tessera.operators.chunk import chunk
 from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
 from tessera.plans.requests import Header, dispatch
-from tessera.sources import legacy, readers
+from tessera.functions import ids
+from tessera.sources import legacy, migrate, readers
 from tessera.sources.store import Conflict, Store
 from tessera.streaming.ingest import ingest_stream, replay_stream
 
@@ -290,6 +291,35 @@ def test_migration(spark):
     assert {r.workspace_id: (r.n_read, r.n_written) for r in m.report.collect()} == {"A": (2, 2), "B": (2, 1), None: (4, 3)}
 
 
+def test_migration_from_files(spark, tmp_path, capsys):
+    tables = {
+        "documents": ([(1, "u1", [10], [100]), (2, "u2", [20], []), (3, "u3", [30], [])], "doc_id long, url string, split_ids array<bigint>, summary_ids array<bigint>"),
+        "splits": ([(10, 1, "one"), (20, 2, "two"), (30, 3, "three")], "split_id long, doc_id long, text string"),
+        "summaries": ([(100, 1, 10)], "summary_id long, doc_id long, split_id long"),
+        "embeddings": ([(10, [1.0, 0.0], 7), (100, [0.0, 1.0], 7), (20, [1.0, 1.0], 7)], "embedding_id long, embedding array<float>, model_id long"),
+        "embedding_filter_info": ([(10, 1, "A"), (20, 2, "B"), (30, 3, "B")], "embed_id long, doc_id long, user_uuid string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/old/{name}")
+    args = [f"file://{tmp_path}/old", f"file://{tmp_path}/new", "--model", "m", "--width", "2"]
+    assert migrate.main([*args, "--report-only"], spark) == 1 and not (tmp_path / "new").exists()
+    assert migrate.main(args, spark) == 1
+    said = capsys.readouterr().out
+    assert "B: 1 of 2 documents" in said and "all: 2 of 3 documents" in said and "failed for want of a split: 1" in said
+    model = spark.range(1).select(ids.model_id("m", 2)).first()[0]
+    store = Store(spark, f"file://{tmp_path}/new", model_id=model, n_embd=2)
+    assert {(r.workspace_id, r.url) for r in store.table("docs").collect()} == {("A", "u1"), ("B", "u2")}
+    assert {(r.split_id, r.text) for r in store.table("splits").collect()} == {(10, "one"), (20, "two")} and store.table("summaries").count() == 1
+
+
+def test_files_end_at_the_size_of_a_segment(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/store", EngineConfig(index=CONFIG.index, splitter=SplitterConfig(max_tokens=4)), HashingEmbedder(32))
+    e.store.segment_bytes = 10 * (4 * 32 + 512)
+    e.insert(documents(spark, "w", a="some words stand here. " * 60).coalesce(1))
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "store" / "splits").rglob("*.parquet")]
+    assert max(sizes) == 10 and sum(sizes) == e.store.table("splits").count() > 30
+
+
 def test_config(tmp_path):
     p = tmp_path / "c.toml"
     p.write_text('[index]\ndimensions = 384\nmetric_kind = "Cos"\n[splitter]\nmax_tokens = 512\n[embedding_model]\npath = "m"\nn_embd = 384\nn_ctx = 5\n[storage]\nfsync_interval_ms = 0\n')
