@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -78,14 +78,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Saved:
     """A DataFrame written to the shared folder, so that a lost executor costs only the tasks it ran."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, **figures: Column):
+        """``figures`` are aggregates over the rows, found while they are written."""
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession)
+        seen = Observation()
+        if figures:
+            df = df.observe(seen, *(c.alias(n) for n, c in figures.items()))
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
             df.write.mode("append").option("compression", "zstd").parquet(self.path)
         finally:
             self.spark.conf.set(CLEANUP, before)
+        self.figures = seen.get if figures else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -227,9 +232,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     a hub are never gathered, and every round is written to the shared folder. Nodes that occur
     in no edge do not appear. Self links keep a node alone.
     """
-    spark = edges.sparkSession
     ids = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
-    now = Saved(ids.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = {"rows": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now = Saved(ids.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **mark)
     seen: list[Saved] = []
 
     def star(frame: DataFrame, large: bool) -> DataFrame:
@@ -246,15 +251,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             out = out.unionByName(least.filter("u <> m").select("u", F.col("m").alias("v")))
         return out.filter("u <> v").distinct()
 
-    mark = None
     for _ in range(most):
-        after = Saved(star(star(now.df, True), False))
-        row = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = Saved(star(star(now.df, True), False), **mark)
         now.drop()
         while seen:
             seen.pop().drop()
-        now, same = after, tuple(row) == mark
-        mark = tuple(row)
+        now, same = after, after.figures == now.figures
         if same:
             break
     else:
