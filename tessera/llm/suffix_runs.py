@@ -90,24 +90,38 @@ class Anchors:
         self.at = anchor[self.first]
         self.text = np.searchsorted(ends, self.first, side="right")
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of half a string's bytes from each anchor on, and before it; 0 where no string of the anchor has all of them.
-
-        A string that begins within half its length before the anchor holds the first, any other the second.
-        """
-        right, left = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
-        if len(self.at):
-            half = self.length // 2
-            edge = self.at - (self.length - half)
-            r, lft = self.last >= edge, self.first < edge
-            right[r] = hash_of(self.prefix, self.at[r], half)
-            left[lft] = ~hash_of(self.prefix, self.at[lft] - half, half)
-        return right, left
+    def classes(self) -> Classes:
+        """The strings of each anchor in two classes: those that hold half a string's bytes from the anchor on, and the others,
+        which hold as many before it."""
+        half = self.length // 2
+        edge = self.at - (self.length - half)
+        r, lft = np.flatnonzero(self.last >= edge), np.flatnonzero(self.first < edge)
+        window = np.concatenate([self.at[r], self.at[lft] - half])
+        key = hash_of(self.prefix, window, half)
+        key[len(r) :] = ~key[len(r) :]
+        first = np.concatenate([np.maximum(self.first[r], edge[r]), self.first[lft]])
+        last = np.concatenate([self.last[r], np.minimum(self.last[lft], edge[lft] - 1)])
+        return Classes(np.concatenate([self.text[r], self.text[lft]]), self.begin, window, first, last + self.length, key)
+
+    def strings(self, context: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, begin and end of each string of a context."""
+        data = np.frombuffer(context, np.uint8)
+        begin = np.arange(len(data) - self.length + 1)
+        return hash_of(prefix_hash(data), begin, self.length), begin, begin + self.length
+
+
+class Classes:
+    """Classes of strings that share a window: in each text (of those that begin at ``begin``) where the window starts, where the class's first
+    string begins and its last one ends, and a hash of the window. A string is in one class, told by its bytes alone."""
+
+    def __init__(self, text: np.ndarray, begin: np.ndarray, window: np.ndarray, first: np.ndarray, end: np.ndarray, key: np.ndarray):
+        self.text, self.begin, self.window, self.first, self.end, self.key = text, begin, window, first, end, key
 
     def contexts(self, use: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, and in it where the anchor's strings begin, the anchor, and where they end) of some anchors."""
-        begin = self.begin[self.text[use]]
-        return zip(self.text[use].tolist(), (self.first[use] - begin).tolist(), (self.at[use] - begin).tolist(), (self.last[use] + self.length - begin).tolist(), strict=True)
+        """(text, and in it where the class's strings begin, the window, and where they end) of some classes."""
+        text = self.text[use]
+        begin = self.begin[text]
+        return zip(text.tolist(), *((x[use] - begin).tolist() for x in (self.first, self.window, self.end)), strict=True)
 
 
 def words_in(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,22 +168,25 @@ class WordAnchors:
         self.word = word[new]
         self.at, self.text = self.start[self.word], text[self.word]
 
-    def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the half of a string's words that begin with the anchor's, and that end before it; 0 as in ``Anchors``."""
-        right, left = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+    def classes(self) -> Classes:
+        """As in ``Anchors``; windows are half a string's words, from the anchor's on or before it."""
         half = self.words // 2
-        r, lft = self.last >= self.word + half - self.words, self.first <= self.word - half
-        if r.any():
-            right[r] = hash_of(self.prefix, self.at[r], self.stop[self.word[r] + half - 1] - self.at[r])
-        if lft.any():
-            begin = self.start[self.word[lft] - half]
-            left[lft] = ~hash_of(self.prefix, begin, self.at[lft] - begin)
-        return right, left
-
-    def contexts(self, use: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        begin = self.begin[self.text[use]]
-        first, last = self.start[self.first[use]], self.stop[self.last[use] + self.words - 1]
-        return zip(self.text[use].tolist(), (first - begin).tolist(), (self.at[use] - begin).tolist(), (last - begin).tolist(), strict=True)
+        edge = self.word + half - self.words
+        r, lft = np.flatnonzero(self.last >= edge), np.flatnonzero(self.first < edge)
+        word = np.concatenate([self.word[r], self.word[lft] - half])
+        window = self.start[word]
+        key = hash_of(self.prefix, window, self.stop[word + half - 1] - window)
+        key[len(r) :] = ~key[len(r) :]
+        first = np.concatenate([np.maximum(self.first[r], edge[r]), self.first[lft]])
+        last = np.concatenate([self.last[r], np.minimum(self.last[lft], edge[lft] - 1)])
+        # a hash of words isn't that of bytes
+        return Classes(np.concatenate([self.text[r], self.text[lft]]), self.begin, window, self.start[first], self.stop[last + self.words - 1], mixed(key))
+
+    def strings(self, context: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.frombuffer(context, np.uint8)
+        start, stop = words_in(data, np.zeros(1, np.int64))
+        begin, end = start[: len(start) - self.words + 1], stop[self.words - 1 :]
+        return mixed(hash_of(prefix_hash(data), begin, end - begin)), begin, end
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -268,11 +285,11 @@ FEW = 6
 
 
 class Group:
-    """Suffixes in merged order, each sharing SEED bytes or more with the one before, and what stands before their anchors.
+    """Suffixes in merged order that begin with the same window, and what stands before their windows.
 
-    ``shared`` has the lengths that the merge found neighbours to share. Two items hold the same string around their anchors if
+    ``shared`` has the lengths that the merge found neighbours to share. Two items hold the same string around their windows if
     they share enough to the right, which is the least of ``shared`` between them, and to the left, for which what
-    stands before the anchors is sorted from the anchor backwards. Bytes are compared, not hashes.
+    stands before the windows is sorted from there backwards. Bytes are compared, not hashes.
     """
 
     def __init__(self, items: list[tuple[bytes, bytes]], shared: list[int], times: list[int]):
@@ -295,12 +312,12 @@ class Group:
         return np.array([0, *self.shared[1:]]), np.array(order), np.array(left)
 
     def strings(self, length: int) -> list[tuple[int, int] | None]:
-        """Of each item where, in bytes from the anchor, its first string of ``length`` bytes that occurs twice begins (a number up
-        to 0) and its last one ends; None without any. All strings hold the anchor, so those between are covered as well."""
+        """Of each item where, in bytes from the start of the window, its first string of ``length`` bytes that occurs twice begins (a number
+        up to 0) and its last one ends; None without any. All strings hold the window, so those between are covered as well."""
         found: list[list[int] | None] = [None] * len(self.items)
 
         def note(i: int, least: int, most: int) -> None:
-            """Strings that begin from ``most`` to ``least`` bytes before the anchor occur twice."""
+            """Strings that begin from ``most`` to ``least`` bytes before the window occur twice."""
             at = found[i]
             found[i] = [min(least, at[0]), max(most, at[1])] if at else [least, most]
 
@@ -318,7 +335,7 @@ class Group:
 
     def _strings_of_many(self, length: int, note) -> None:
         right, order, left = self.parted()
-        # who shares enough with whom changes only at these distances from the anchor
+        # who shares enough with whom changes only at these distances from the window
         low, high = max(0, length - int(right.max())), int(left.max())
         edges = np.unique(np.concatenate([length - right, left + 1, [low, high + 1]]))
         edges = edges[(edges >= low) & (edges <= high + 1)].tolist()
@@ -329,7 +346,7 @@ class Group:
                 note(i, begin, end - 1)
 
     def words(self, words: int) -> list[tuple[int, int] | None]:
-        """As ``strings``, for strings of ``words`` whole words; anchors begin words."""
+        """As ``strings``, for strings of ``words`` whole words; windows begin words."""
         found: list[tuple[int, int] | None] = [None] * len(self.items)
         slots = [self._slots(suffix, left, words) for suffix, left in self.items]
 
@@ -366,7 +383,7 @@ class Group:
 
     @staticmethod
     def _slots(suffix: bytes, left: bytes, words: int) -> list[tuple[int, int]]:
-        """(bytes before the anchor, bytes from it on) of each string of ``words`` words."""
+        """(bytes before the window, bytes from it on) of each string of ``words`` words."""
         starts = [len(left) - m.start() for m in WORD.finditer(left)][::-1]
         ends = [m.end() for m in WORD.finditer(suffix)]
         return [(n and starts[n - 1], ends[words - n - 1]) for n in range(max(0, words - len(ends)), min(len(starts), words - 1) + 1)]
