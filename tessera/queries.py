@@ -312,7 +312,17 @@ WITH l AS (SELECT doc_id, i, regexp_replace(string_split(text, chr(10))[i], '^[
 n AS (SELECT doc_id, i, t, {_WORDS.format('t')} AS k FROM l WHERE t <> ''),
 c AS (SELECT *, CAST(floor(coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100.0) AS BIGINT) AS seq_id FROM n)
 SELECT doc_id, seq_id, string_agg(t, chr(10) ORDER BY i) AS text, CAST(sum(k) AS BIGINT) AS token_len, count(*) AS n_lines FROM c GROUP BY 1, 2""")
-add("chunk_documents", lambda spark, sf: chunking.chunk(table(spark, sf, "documents").select("doc_id", "text"), "text", 100))
+#: Chunks of at most 100 words of the documents in ``d`` (id, text): cut at lines, then at punctuation, then between words, as far as needed, and merged while they fit.
+_CHUNKS = f"""RECURSIVE {{d}},
+c0 AS (SELECT id, 0 AS a, text AS p FROM d WHERE {_WORDS.format('text')} <= 100 UNION ALL SELECT id, a, x[a] FROM (SELECT id, x, generate_subscripts(x, 1) AS a FROM (SELECT id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS x FROM d WHERE {_WORDS.format('text')} > 100))),
+c1 AS (SELECT id, a, 0 AS b, p FROM c0 WHERE {_WORDS.format('p')} <= 100 UNION ALL SELECT id, a, b, x[b] FROM (SELECT id, a, x, generate_subscripts(x, 1) AS b FROM (SELECT id, a, regexp_extract_all(p, '(?s).*?(?:\\. |! |\\? |, |; )|(?s).+$') AS x FROM c0 WHERE {_WORDS.format('p')} > 100))),
+c2 AS (SELECT id, a, b, 0 AS c, p FROM c1 WHERE {_WORDS.format('p')} <= 100 UNION ALL SELECT id, a, b, c, x[c] FROM (SELECT id, a, b, x, generate_subscripts(x, 1) AS c FROM (SELECT id, a, b, regexp_extract_all(p, '[ \\t\\n\\r]*(?:[^ \\t\\n\\r]+[ \\t\\n\\r]*){{{{1,100}}}}') AS x FROM c1 WHERE {_WORDS.format('p')} > 100))),
+c3 AS MATERIALIZED (SELECT id, p, {_WORDS.format('p')} AS size, row_number() OVER (PARTITION BY id ORDER BY a, b, c) AS n FROM c2),
+c4 AS (SELECT id, n, size AS total, 0 AS k FROM c3 WHERE n = 1 UNION ALL SELECT c3.id, c3.n, CASE WHEN total + size <= 100 THEN total + size ELSE size END, CASE WHEN total + size <= 100 THEN k ELSE k + 1 END FROM c4 JOIN c3 ON c3.id = c4.id AND c3.n = c4.n + 1),
+c5 AS (SELECT c3.id, k, regexp_replace(string_agg(p, '' ORDER BY c3.n), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') AS text FROM c3 JOIN c4 ON c3.id = c4.id AND c3.n = c4.n GROUP BY ALL),
+chunks AS MATERIALIZED (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS seq_id, text, CAST({_WORDS.format('text')} AS BIGINT) AS token_len FROM c5 WHERE text <> '')"""
+add("chunk_documents", lambda spark, sf: chunking.chunk(table(spark, sf, "documents").select("doc_id", "text"), "text", 100),
+    "WITH " + _CHUNKS.format(d="d AS (SELECT doc_id AS id, text FROM documents)") + " SELECT id AS doc_id, seq_id, text, token_len FROM chunks")
 _MD5 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 
 
@@ -532,7 +542,12 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process_documents(_incoming(spark, sf_dir), _config(), HashingEmbedder(64)).splits.select("workspace_id", "doc_id", "split_id", "seq_id", "token_len", F.size("summary_ids").alias("n_summaries"), F.size("embedding").alias("width"))
 
 
-add("ingest_documents", ingest_documents)
+_LETTER = "regexp_matches({}, '[\\p{{L}}\\p{{N}}_]')"
+#: Splits that have a vector, which takes a word character, with those of their sentences that can be summaries.
+_SPLITS = "WITH " + _CHUNKS.format(d="d AS (SELECT lang || ' doc://' || doc_id AS id, text FROM documents)") + f""",
+u AS (SELECT split_part(id, ' ', 1) AS workspace_id, {_MD5.format("split_part(id, ' ', 2)")} AS doc_id, seq_id, text, token_len FROM chunks WHERE {_LETTER.format('text')}),
+sp AS MATERIALIZED (SELECT *, {_MD5.format("doc_id || '/' || seq_id")} AS split_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: regexp_replace(x, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')), lambda x: {_WORDS.format('x')} >= 4 AND {_LETTER.format('x')}) AS sentences FROM u)"""
+add("ingest_documents", ingest_documents, _SPLITS + " SELECT workspace_id, doc_id, split_id, seq_id, token_len, CAST(least(2, len(sentences)) AS INTEGER) AS n_summaries, 64 AS width FROM sp")
 
 
 def ingest_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
