@@ -78,8 +78,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Saved:
     """A DataFrame written to the shared folder, so that a lost executor costs only the tasks it ran."""
 
-    def __init__(self, df: DataFrame, **figures: Column):
-        """``figures`` are aggregates over the rows, found while they are written."""
+    def __init__(self, df: DataFrame, by: str | None = None, **figures: Column):
+        """``figures`` are aggregates over the rows, found while they are written. Rows are kept apart ``by`` a column, if one is named, so
+        that those of one value can be dropped."""
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession)
         seen = Observation()
         if figures:
@@ -87,14 +88,15 @@ class Saved:
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.mode("append").option("compression", "zstd").parquet(self.path)
+            df.write.mode("append").option("compression", "zstd").parquet(self.path, partitionBy=by)
         finally:
             self.spark.conf.set(CLEANUP, before)
         self.figures = seen.get if figures else {}
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path).select(*df.columns)
 
-    def drop(self) -> None:
-        drop(self.spark, self.path)
+    def drop(self, part: str = "") -> None:
+        """Delete the rows, or those of a part ``column=value``, which must not be read again."""
+        drop(self.spark, f"{self.path}/{part}")
 
 
 def save(df: DataFrame) -> DataFrame:

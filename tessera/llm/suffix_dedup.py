@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import give_back, save
+from tessera.llm.common import Saved, give_back, save
 from tessera.llm.lm_scoring import _ROWS, Counts, _batch, _pieces, _rows, by_block, squeeze, unsqueeze
 from tessera.llm.shingles import mixed
 from tessera.llm.suffix_runs import Anchors, Group, Item, WordAnchors, common, decode_run, encode_run, merge_runs
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             nonlocal number, waiting, size
             counts = Counts()
             for part, piece in enumerate(_pieces(waiting)):
-                yield _batch([(number, TEXT, part, None, zstandard.compress(pickle.dumps(piece), 3))])
+                yield _batch([(number, TEXT, part, None, zstandard.compress(pickle.dumps(piece), 6))])
                 for anchors in sampled([d[1] for d in piece]):
                     classes = anchors.classes()
                     if len(classes.key):
@@ -136,7 +136,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield from close()
         give_back()
 
-    made = save(base.mapInArrow(blocks, _ROWS))
+    held = Saved(base.mapInArrow(blocks, _ROWS), by="kind")
+    made = held.df
     texts = made.filter(F.col("kind") == TEXT)
 
     def frequent(kinds: list[tuple[int, int, float]]):
@@ -235,6 +236,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     with_text = lambda df: df.unionByName(texts).repartition(by_block(docs), "block").sortWithinPartitions("block", "kind", "shard")
     sorted_runs = save(with_text(halves).mapInArrow(runs, _ROWS))
+    for kind in (HALVES, SAMPLE):  # of what was made only the texts are still needed
+        held.drop(f"kind={kind}")
 
     def chained(pieces: list[bytes]) -> Iterator[tuple[int, Item]]:
         before = b""
