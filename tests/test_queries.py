@@ -37,6 +37,19 @@ def test_query(spark, con, name, tmp_path):
         assert con.sql(f"({x}) EXCEPT ALL ({y})").fetchall() == []
 
 
+@pytest.mark.parametrize("name", ["engine_lifecycle"])
+def test_ingest_of_odd_texts(spark, tmp_path, name):
+    """The two words of some texts have the same component with opposite signs."""
+    lines = ["er thouat", "Er, er thouat thouat.", "thouat er\n" + "word " * 99, " ".join(["los"] * 50 + ["óñra"] * 50) + " and more", "er thouat er thouat. Another sentence of words.", "!!! ???", "", None, "_", "4"]
+    rows = [(10 * n + k, text, "en") for n, text in enumerate(lines) for k in (1, 3, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/in/documents.parquet/*.parquet'")
+    expected = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, f"{tmp_path}/in").select(*expected.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(expected.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
