@@ -37,7 +37,7 @@ def test_query(spark, con, name, tmp_path):
         assert con.sql(f"({x}) EXCEPT ALL ({y})").fetchall() == []
 
 
-@pytest.mark.parametrize("name", ["engine_lifecycle"])
+@pytest.mark.parametrize("name", ["engine_lifecycle", "ingest_documents"])
 def test_ingest_of_odd_texts(spark, tmp_path, name):
     """The two words of some texts have the same component with opposite signs."""
     lines = ["er thouat", "Er, er thouat thouat.", "thouat er\n" + "word " * 99, " ".join(["los"] * 50 + ["óñra"] * 50) + " and more", "er thouat er thouat. Another sentence of words.", "!!! ???", "", None, "_", "4"]
