@@ -8,13 +8,15 @@ import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import models
 from tessera.config import EngineConfig, IndexConfig, SplitterConfig, StorageConfig, load_config
 from tessera.models import Failure, HashingEmbedder, HttpEmbedder, HttpReranker, OverlapReranker, score_column
 from tessera.operators import dml, replay
-from tessera.operators.chunk import chunk
+from tessera.operators.chunk import BATCH_BYTES, chunk, text_slices
 from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
 from tessera.plans.requests import Header, dispatch
@@ -272,6 +274,34 @@ def test_ingest_stream(spark, tmp_path):
     assert len(e.retrieve("w", url="u://a").first().splits) == 1
 
 
+def test_python_gets_bounded_batches(spark):
+    docs = spark.range(60).coalesce(1).select("id", F.lit("word " * 40_000).alias("text"))
+    chunk(docs, "text", 100)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 60 * 200_000 and max(r.n for r in sizes) <= 2 * BATCH_BYTES
+    parts = list(text_slices(iter([pa.RecordBatch.from_pydict({"t": ["a" * 60, None, "b" * 300, "c" * 60, ""]}), pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())})]), 0, 100))
+    assert [p.column(0).to_pylist() for p in parts] == [["a" * 60, None], ["b" * 300], ["c" * 60, ""], []]
+
+
+def test_embedder_remembers_a_bounded_number_of_words():
+    for lo in range(0, 200_000, 1000):
+        HashingEmbedder(16).embed([" ".join(f"w{n}" for n in range(lo, lo + 500)), "x" * 100 + str(lo)])
+    assert len(models._places(16)) <= models._Places.MOST
+    assert not any(len(w) > models._Places.LONGEST for w in models._places(16))
+
+
+def test_embedders_with_and_without_arrays_agree(spark):
+    class Lists:
+        n_embd, path = 32, "hashing"
+
+        def embed(self, texts):
+            return HashingEmbedder(32).embed(texts)
+
+    docs = documents(spark, "w", **TEXT, d="!!! ... ???\n" + "word " * 25, e="!!! ??? ... !!! ok. " * 30, f="", g="er thouat er thouat")
+    found = [{t: sorted(map(str, getattr(process_documents(docs, CONFIG, e), t).collect())) for t in ("docs", "splits", "summaries", "failures")} for e in (Lists(), HashingEmbedder(32))]
+    assert found[0] == found[1] and found[0]["failures"] and found[0]["summaries"]
+
+
 def test_set_operations(spark):
     lists = spark.createDataFrame([([1, 2], [[2, 3], [3, 4]]), (None, [[5]]), ([], [[]])], "d array<bigint>, s array<array<bigint>>")
     got = lists.select(dml.extra_summary_ids(F.col("d"), F.col("s")), dml.owned_summary_ids(F.col("d"), F.col("s")), dml.distinct_summaries(F.col("d"), F.col("s")), dml.empty_as_null(F.col("d"))).collect()
