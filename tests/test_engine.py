@@ -20,6 +20,7 @@ from tessera.operators.chunk import BATCH_BYTES, chunk, text_slices
 from tessera.plans.engine import Engine
 from tessera.plans.ingest import process_documents
 from tessera.plans.requests import Header, dispatch
+from tessera.plans.search import search_documents
 from tessera.functions import ids
 from tessera.sources import legacy, migrate, readers
 from tessera.sources.store import Conflict, Store
@@ -274,6 +275,29 @@ def test_ingest_stream(spark, tmp_path):
     assert len(e.retrieve("w", url="u://a").first().splits) == 1
 
 
+def test_a_query_searches_once_and_a_batch_stages_what_it_stores(spark, engine):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    counted = counted.asNondeterministic()
+    tables = {t: engine.store.table(t) for t in ("docs", "splits", "summaries")}
+    for t in ("splits", "summaries"):
+        tables[t] = tables[t].withColumn("embedding", counted("embedding"))
+    text = "bread flour dough oven"
+    found = search_documents(*tables.values(), HashingEmbedder(32).embed([text])[0], k=3, workspaces=["w1", "w2"], query_text=text, reranker=OverlapReranker())
+    assert found.count() == engine.query(text, workspaces=["w1", "w2"], top_k=3, rerank=True).count() > 0
+    assert 0 < seen.value <= sum(engine.store.table(t).count() for t in ("splits", "summaries"))
+    staged = [n for n in engine.store._names("") if n.startswith("_staging-")]
+    assert len(staged) == 2
+    for name in staged:
+        assert "sentences" not in spark.read.parquet(f"{engine.store.root}/{name}/rows").columns
+        assert spark.read.schema("doc_id long").parquet(f"{engine.store.root}/{name}/bad").count() == 0
+
+
 def test_python_gets_bounded_batches(spark):
     docs = spark.range(60).coalesce(1).select("id", F.lit("word " * 40_000).alias("text"))
     chunk(docs, "text", 100)
