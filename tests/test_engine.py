@@ -265,6 +265,49 @@ def test_replay_stream_agrees(spark, tmp_path):
     assert len(last) == 20
 
 
+def test_replay_stream_keeps_few_states(spark, tmp_path):
+    """Documents share a state; those without an id too, and whole numbers stay exact beside nulls."""
+    big = 1 << 60
+    rows = [(d, 10 * n + at, k, e, sp, None) for n, d in enumerate([None, *range(big, big + 40)]) for at, k, e, sp in ((1, 2, big + 1, None), (2, 3, big + 2, None), (3, 1, None, [big + 1]))]
+    rows += [(d, 10_000 + d % 100, k, e, None, None) for d in range(big, big + 40) for k, e in (((2, big + 5),) if d % 3 else ((4, None),))]
+    df = log(spark, rows)
+    for part, batch in enumerate((df.filter("seq % 10 = 1 and seq < 10000"), df.filter("seq % 10 <> 1 or seq >= 10000"))):
+        batch.coalesce(1).write.parquet(f"{tmp_path}/log/p{part}")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log")
+    q = replay_stream(src, buckets=3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 4
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("doc_id", "seq", "deleted", "n_splits", "n_summaries").collect()), key=str)
+    want = [(d, 10 * n + 3, False, 1, 1) for n, d in enumerate([None, *range(big, big + 40)])] + [(d, 10_000 + d % 100, True, 0, 0) for d in range(big, big + 40) if d % 3 == 0]
+    assert got == sorted(want, key=str)
+
+
+def test_replay_stream_forgets_torn_inserts(spark, tmp_path):
+    put = lambda name, *rows: (log(spark, list(rows)).coalesce(1).write.parquet(f"{tmp_path}/new/{name}"), os.makedirs(f"{tmp_path}/log", exist_ok=True), os.rename(f"{tmp_path}/new/{name}", f"{tmp_path}/log/{name}"))
+    put("a", (1, 1, 2, 11, None, None), (2, 2, 2, 12, None, None))
+    src = spark.readStream.schema(log(spark, []).schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/log")
+    q = replay_stream(src, hold_ms=8000, buckets=1).writeStream.format("memory").queryName("held").option("checkpointLocation", f"{tmp_path}/c").start()
+
+    def wait(done):
+        end = time.time() + 40
+        while not done() and time.time() < end:
+            time.sleep(0.2)
+
+    states = lambda: (q.lastProgress or {"stateOperators": []})["stateOperators"]
+    held = lambda: sorted(map(tuple, spark.table("held").collect()))
+    try:
+        wait(lambda: states() and states()[0]["numRowsTotal"])
+        put("b", (2, 3, 1, None, None, None))
+        wait(held)
+        assert held() == [(2, 3, False, 1, 0)]
+        wait(lambda: not states()[0]["numRowsTotal"])
+        put("c", (1, 4, 1, None, None, None))
+        wait(lambda: len(held()) == 2)
+        assert held() == [(1, 4, False, 0, 0), (2, 3, False, 1, 0)]
+    finally:
+        q.stop()
+
+
 def test_ingest_stream(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/store", CONFIG, HashingEmbedder(32))
     rows = documents(spark, "w", **TEXT).withColumn("seq", F.lit(1)).unionByName(documents(spark, "w", a="A new version of this text stands here.").withColumn("seq", F.lit(2)))
