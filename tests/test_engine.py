@@ -341,6 +341,20 @@ def test_a_query_searches_once_and_a_batch_stages_what_it_stores(spark, engine):
         assert spark.read.schema("doc_id long").parquet(f"{engine.store.root}/{name}/bad").count() == 0
 
 
+def test_only_summaries_of_found_documents_are_scored(spark, engine):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(OverlapReranker):
+        def score(self, query, texts):
+            seen.add(len(texts))
+            return super().score(query, texts)
+
+    text = "bread flour dough oven"
+    tables = [engine.store.table(t) for t in ("docs", "splits", "summaries")]
+    rows = search_documents(*tables, HashingEmbedder(32).embed([text])[0], k=1, mode=1, workspaces=["w2"], query_text=text, reranker=Counted()).collect()
+    assert len(rows) == 1 and 0 < seen.value <= len(rows[0].summaries) < tables[2].count()
+
+
 def test_python_gets_bounded_batches(spark):
     docs = spark.range(60).coalesce(1).select("id", F.lit("word " * 40_000).alias("text"))
     chunk(docs, "text", 100)
