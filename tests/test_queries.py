@@ -50,6 +50,18 @@ def test_ingest_of_odd_texts(spark, tmp_path, name):
     assert sorted(map(tuple, got)) == sorted(expected.fetchall())
 
 
+@pytest.mark.parametrize("name", ["ingest_documents", "sentences_min4", "sentence_token_counts", "first_two_sentences", "sentence_window_ranks", "chunk_paragraph_lines", "passages_distinct_min32"])
+def test_texts_that_end_in_another_line_end(spark, tmp_path, name):
+    """U+0085, U+2028 and U+2029 aren't white space here, so what comes before them stays."""
+    lines = [f"{start}{white}{end}" for start in ("One two three", "A first sentence of six words. One two three") for white in (" ", "\t\n", "") for end in ("\u0085", "\u2028", "\u2029", "\u0085 ", "\u2028\n", " \r\n")]
+    spark.createDataFrame([(n, text, "en") for n, text in enumerate(lines)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/in/documents.parquet/*.parquet'")
+    expected = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, f"{tmp_path}/in").select(*expected.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(expected.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
